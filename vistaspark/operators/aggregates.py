@@ -149,7 +149,8 @@ def names_joined(df: DataFrame, key, name: str, order: str | None = None, sep: s
 def pending_by_type(det: DataFrame, cat: DataFrame, key: str = "id_catalogo", exam: str = "id_atencion",
                     type_col: str = "tipo", status: str = "estado", pending: str = "PENDIENTE") -> DataFrame:
     """Distinct pending requests per catalogue type, plus the overall total row."""
-    j = det.filter(F.upper(F.trim(F.col(status))) == pending).join(cat.select(key, type_col), key)
+    j = (det.filter(F.upper(F.trim(F.col(status))) == pending).select(key, exam)
+         .join(cat.select(key, type_col), key))
     per = j.groupBy(type_col).agg(F.count_distinct(exam).alias("pendientes"))
     total = j.agg(F.lit("TOTAL").alias(type_col), F.count_distinct(exam).alias("pendientes"))
     return per.unionByName(total)
@@ -309,8 +310,8 @@ def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
     n = len(ranges)
     parts = []
     for name, (lo, hi) in ranges.items():
-        lo_s = "CAST(NULL AS double)" if lo is None else repr(float(lo))
-        hi_s = "CAST(NULL AS double)" if hi is None else repr(float(hi))
+        lo_s = "CAST(NULL AS double)" if lo is None else f"CAST({float(lo)!r} AS double)"
+        hi_s = "CAST(NULL AS double)" if hi is None else f"CAST({float(hi)!r} AS double)"
         parts.append(f"'{name}', try_cast(`{name}` AS double), {lo_s}, {hi_s}")
     long = df.selectExpr(f"stack({n}, {', '.join(parts)}) AS (signo, valor, lo, hi)")
     out_ = (F.col("lo").isNotNull() & (F.col("valor") < F.col("lo"))) | (
