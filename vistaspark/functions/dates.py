@@ -29,7 +29,8 @@ def parse_ts(c, formats: Sequence[str] = TS_FORMATS) -> Column:
     """T5: text -> timestamp trying each layout in order; fraction and 'Z' dropped; else null."""
     s = F.trim(F.regexp_replace(col_of(c).cast("string"), "Z", ""))
     s = F.regexp_replace(s, r"\.\d*$", "")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    # wall-clock result (timestamp_ntz): independent of the session time zone
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def age_calendar(birth, as_of, max_age: int = 120) -> Column:
@@ -49,9 +50,8 @@ def age_months_rule(birth, as_of) -> Column:
 
 
 def days_between(start, end) -> Column:
-    """Whole days from ``start`` to ``end``; negative spans -> null."""
-    d = F.datediff(F.to_date(col_of(end)) if not isinstance(end, str) else F.lit(end).cast("date"),
-                   F.to_date(col_of(start)))
+    """Whole days from ``start`` to ``end`` (column names or Columns); negative -> null."""
+    d = F.datediff(F.to_date(col_of(end)), F.to_date(col_of(start)))
     return F.when(d >= 0, d)
 
 

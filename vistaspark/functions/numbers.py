@@ -29,7 +29,7 @@ def money(c) -> Column:
 
 
 def with_iva(sub, rate: str = IVA_RATE) -> tuple[Column, Column]:
-    """(iva, total) in decimal arithmetic, rounded to cents."""
-    s = money(sub)
-    iva = F.round(s * F.lit(rate).cast("decimal(4,2)"), 2).cast("decimal(20,2)")
-    return iva, (s + iva).cast("decimal(20,2)")
+    """(iva, total) in decimal arithmetic, rounded to cents. ``sub`` is a decimal column."""
+    s = col_of(sub)
+    iva = F.round(s * F.lit(rate).cast("decimal(4,2)"), 2).cast("decimal(38,2)")
+    return iva, (s + iva).cast("decimal(38,2)")

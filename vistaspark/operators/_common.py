@@ -26,9 +26,10 @@ def money_sum(c) -> Column:
     return F.sum(col_of(c).cast("decimal(18,2)")).cast("decimal(38,2)")
 
 
-def r4(c) -> Column:
-    """Round a double result to 4 places (reports and oracle compare at this precision)."""
-    return F.round(col_of(c).cast("double"), 4)
+def r6(c) -> Column:
+    """Round an aggregated double to 6 places: sums and means of doubles depend on the
+    order of addition in their last bits; rounding makes the reported value stable."""
+    return F.round(col_of(c).cast("double"), 6)
 
 
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
 from ..functions.text import contains_any, fold
-from ._common import as_list, col_of, money_sum, r4
+from ._common import as_list, col_of, money_sum, r6
 
 
 # ---------------------------------------------------------------- A1-A3 finance aggregates
@@ -25,7 +25,7 @@ def revenue_by(df: DataFrame, key, amount: str = "subtotal") -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_registros"),
         money_sum(amount).alias("total"),
-        r4(F.avg(amount)).alias("promedio"),
+        r6(F.avg(amount)).alias("promedio"),
         F.max(amount).alias("maximo"),
         F.min(amount).alias("minimo"),
     )
@@ -44,8 +44,8 @@ def top_by_sum(df: DataFrame, key, amount: str = "subtotal", k: int = 10) -> Dat
 def global_stats(df: DataFrame, c: str = "subtotal") -> DataFrame:
     """A3: mean, sample std, exact sum and count in one pass; empty input -> zeros."""
     return df.agg(
-        F.coalesce(r4(F.avg(c)), F.lit(0.0)).alias("media"),
-        F.coalesce(r4(F.stddev_samp(c)), F.lit(0.0)).alias("desviacion"),
+        F.coalesce(r6(F.avg(c)), F.lit(0.0)).alias("media"),
+        F.coalesce(r6(F.stddev_samp(c)), F.lit(0.0)).alias("desviacion"),
         F.coalesce(money_sum(c), F.lit(0).cast("decimal(38,2)")).alias("total"),
         F.count(c).alias("n"),
     )
@@ -112,9 +112,9 @@ def product_totals(df: DataFrame, product: str, qty: str, price: str) -> DataFra
     """Per product: quantity, mean price, rows, revenue sum(price * qty)."""
     return df.groupBy(product).agg(
         F.sum(qty).alias("cantidad_total"),
-        r4(F.avg(price)).alias("precio_promedio"),
+        r6(F.avg(price)).alias("precio_promedio"),
         F.count(F.lit(1)).alias("n_ventas"),
-        r4(F.sum(F.col(price) * F.col(qty))).alias("ingreso"),
+        r6(F.sum(F.col(price) * F.col(qty))).alias("ingreso"),
     )
 
 
@@ -206,10 +206,10 @@ def type_stats(df: DataFrame, key: str, amount: str = "subtotal", price: str = "
     """Per type: exact sum, mean, count, mean price, sample std of price."""
     return df.groupBy(key).agg(
         money_sum(amount).alias("total"),
-        r4(F.avg(amount)).alias("promedio"),
+        r6(F.avg(amount)).alias("promedio"),
         F.count(F.lit(1)).alias("n"),
-        r4(F.avg(price)).alias("precio_promedio"),
-        r4(F.stddev_samp(price)).alias("precio_std"),
+        r6(F.avg(price)).alias("precio_promedio"),
+        r6(F.stddev_samp(price)).alias("precio_std"),
     )
 
 
@@ -224,7 +224,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for a in cols:
         for b in cols:
             c = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
-            aggs.append(r4(c).alias(f"{a}__{b}"))
+            aggs.append(r6(c).alias(f"{a}__{b}"))
     wide = df.agg(*aggs)
     n = len(cols) * len(cols)
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a in cols for b in cols)
@@ -298,7 +298,7 @@ def revenue_share(df: DataFrame, key: str, amount: str = "subtotal") -> DataFram
     return df.groupBy(key).agg(
         money_sum(amount).alias("monto"),
         F.count(F.lit(1)).alias("n"),
-        r4(F.avg(amount)).alias("promedio_servicio"),
+        r6(F.avg(amount)).alias("promedio_servicio"),
     ).withColumn("porcentaje", pct(F.col("monto"), total))
 
 
@@ -335,11 +335,11 @@ def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | No
     fence = q3 + F.lit(k) * (q3 - q1)
     return df.agg(
         F.count(c).alias("n"),
-        r4(q1).alias("q1"),
-        r4(q2).alias("mediana"),
-        r4(q3).alias("q3"),
-        r4(q3 - q1).alias("iqr"),
-        r4(fence).alias("limite_superior"),
+        r6(q1).alias("q1"),
+        r6(q2).alias("mediana"),
+        r6(q3).alias("q3"),
+        r6(q3 - q1).alias("iqr"),
+        r6(fence).alias("limite_superior"),
         F.count_if(F.col(c) > fence).alias("atipicos"),
     )
 
@@ -361,8 +361,8 @@ def histogram(df: DataFrame, c: str, k: int | None = None) -> DataFrame:
     bins = spark.range(1).select(F.explode(F.sequence(F.lit(0), kk - 1)).alias("bin")).filter(n > 0)
     return bins.join(F.broadcast(counts), "bin", "left").select(
         "bin",
-        r4(lo + F.col("bin") * width).alias("desde"),
-        r4(lo + (F.col("bin") + 1) * width).alias("hasta"),
+        r6(lo + F.col("bin") * width).alias("desde"),
+        r6(lo + (F.col("bin") + 1) * width).alias("hasta"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
 
@@ -372,14 +372,14 @@ def box_stats(df: DataFrame, key: str, c: str) -> DataFrame:
     q = F.percentile(c, [0.0, 0.25, 0.5, 0.75, 1.0])
     return df.groupBy(key).agg(q.alias("_q"), F.count(c).alias("n")).select(
         key, "n",
-        r4(F.col("_q")[0]).alias("minimo"), r4(F.col("_q")[1]).alias("q1"), r4(F.col("_q")[2]).alias("mediana"),
-        r4(F.col("_q")[3]).alias("q3"), r4(F.col("_q")[4]).alias("maximo"),
+        r6(F.col("_q")[0]).alias("minimo"), r6(F.col("_q")[1]).alias("q1"), r6(F.col("_q")[2]).alias("mediana"),
+        r6(F.col("_q")[3]).alias("q3"), r6(F.col("_q")[4]).alias("maximo"),
     )
 
 
 def mean_age(df: DataFrame, age: str = "edad") -> DataFrame:
     """Mean over valid (non-null) ages."""
-    return df.agg(r4(F.avg(age)).alias("edad_promedio"), F.count(age).alias("n"))
+    return df.agg(r6(F.avg(age)).alias("edad_promedio"), F.count(age).alias("n"))
 
 
 def kpis(spark, metrics: Mapping[str, Column]) -> DataFrame:
@@ -392,14 +392,14 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = []
     for c in cols:
         aggs += [
-            F.count(c).alias(f"{c}__count"), r4(F.avg(c)).alias(f"{c}__mean"),
-            r4(F.stddev_samp(c)).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
+            F.count(c).alias(f"{c}__count"), r6(F.avg(c)).alias(f"{c}__mean"),
+            r6(F.stddev_samp(c)).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
             F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max"),
         ]
     wide = df.agg(*aggs)
     rows = ", ".join(
-        f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, round(`{c}__q`[0], 4), "
-        f"round(`{c}__q`[1], 4), round(`{c}__q`[2], 4), `{c}__max`"
+        f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, round(`{c}__q`[0], 6), "
+        f"round(`{c}__q`[1], 6), round(`{c}__q`[2], 6), `{c}__max`"
         for c in cols
     )
     return wide.selectExpr(
@@ -431,7 +431,7 @@ def inventory_summary(df: DataFrame, category: str, stock: str, price: str) -> D
         F.grouping(category).alias("_g"),
         F.count(F.lit(1)).alias("filas"),
         F.sum(stock).cast("long").alias("stock_total"),
-        r4(F.sum(F.col(stock) * F.col(price))).alias("valor_total"),
+        r6(F.sum(F.col(stock) * F.col(price))).alias("valor_total"),
         F.count_distinct(category).alias("categorias"),
     )
     return g.select(

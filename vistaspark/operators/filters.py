@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_list, col_of, r4
+from ._common import as_list, col_of, r6
 
 
 def clean_charges(df: DataFrame, qty: str = "cantidad", price: str = "precio", sub: str = "subtotal") -> DataFrame:
@@ -45,8 +45,8 @@ def derive_finance(df: DataFrame, date_col: str = "fecha", qty: str = "cantidad"
     return (
         df.withColumn("mes", F.month(date_col))
         .withColumn("anio", F.year(date_col))
-        .withColumn("margen", r4(F.try_divide(F.col(sub), F.col(price))))
-        .withColumn("precio_unitario", r4(F.try_divide(F.col(sub), F.col(qty))))
+        .withColumn("margen", F.try_divide(F.col(sub), F.col(price)))
+        .withColumn("precio_unitario", F.try_divide(F.col(sub), F.col(qty)))
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_list, col_of, dense_index, r4
+from ._common import as_list, col_of, dense_index, r6
 
 
 def sigma_outliers(df: DataFrame, key: str, c: str, k: float = 2.0) -> DataFrame:
@@ -22,8 +22,8 @@ def sigma_outliers(df: DataFrame, key: str, c: str, k: float = 2.0) -> DataFrame
     j = df.join(stats, key, "inner")
     dev = F.abs(F.col(c) - F.col("media"))
     return j.filter(F.col("desviacion").isNotNull() & (dev > F.lit(k) * F.col("desviacion"))).withColumn(
-        "media", r4("media")
-    ).withColumn("desviacion", r4("desviacion"))
+        "media", r6("media")
+    ).withColumn("desviacion", r6("desviacion"))
 
 
 def cash_cut(payments: DataFrame, date_col: str, start: str, end: str, amount: str, key: str,
@@ -70,7 +70,7 @@ def minmax(df: DataFrame, cols: Sequence[str], suffix: str = "_esc") -> DataFram
     out = df
     for c in cols:
         lo, hi = st[f"{c}_min"], st[f"{c}_max"]
-        out = out.withColumn(c + suffix, r4(F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))))
+        out = out.withColumn(c + suffix, r6(F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))))
     return out
 
 

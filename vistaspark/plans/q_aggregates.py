@@ -11,7 +11,7 @@ from ..operators.filters import band
 from . import vitals
 from .bind import AS_OF_ORDERS, with_roles
 from .registry import query
-from .sqlkit import contains_any, fold as sql_fold, money, pct, r4
+from .sqlkit import contains_any, fold as sql_fold, money, pct, r6
 
 # Binding parameters (catalogue words stand in for exam keywords).
 PROFILE_RULES = (
@@ -34,7 +34,7 @@ def profile_case_sql(x: str) -> str:
 
 @query("a1_revenue_by", sql=f"""
 {with_roles('cargos')}
-SELECT tipo, COUNT(*) AS n_registros, {money('subtotal')} AS total, {r4('AVG(subtotal)')} AS promedio,
+SELECT tipo, COUNT(*) AS n_registros, {money('subtotal')} AS total, {r6('AVG(subtotal)')} AS promedio,
        MAX(subtotal) AS maximo, MIN(subtotal) AS minimo
 FROM cargos GROUP BY tipo
 """)
@@ -53,7 +53,7 @@ def a2(t):
 
 @query("a3_global_stats", sql=f"""
 {with_roles('cargos')}
-SELECT COALESCE({r4('AVG(subtotal)')}, 0.0) AS media, COALESCE({r4('STDDEV_SAMP(subtotal)')}, 0.0) AS desviacion,
+SELECT COALESCE({r6('AVG(subtotal)')}, 0.0) AS media, COALESCE({r6('STDDEV_SAMP(subtotal)')}, 0.0) AS desviacion,
        COALESCE({money('subtotal')}, CAST(0 AS DECIMAL(38,2))) AS total, COUNT(subtotal) AS n
 FROM cargos
 """)
@@ -126,8 +126,8 @@ def a8(t):
 
 @query("a9_product_totals", sql=f"""
 {with_roles('cargos')}
-SELECT id_catalogo, SUM(cantidad) AS cantidad_total, {r4('AVG(precio)')} AS precio_promedio,
-       COUNT(*) AS n_ventas, {r4('SUM(precio * cantidad)')} AS ingreso
+SELECT id_catalogo, SUM(cantidad) AS cantidad_total, {r6('AVG(precio)')} AS precio_promedio,
+       COUNT(*) AS n_ventas, {r6('SUM(precio * cantidad)')} AS ingreso
 FROM cargos GROUP BY id_catalogo
 """)
 def a9(t):
@@ -238,7 +238,7 @@ BAND_CUTS = (1000.0, 1500.0)
 {with_roles('cargos')},
 b AS (SELECT *, CASE WHEN precio IS NULL THEN NULL WHEN precio < 1000.0 THEN 'Bajo'
                      WHEN precio < 1500.0 THEN 'Medio' ELSE 'Alto' END AS banda FROM cargos)
-SELECT banda, COUNT(*) AS n_registros, {money('subtotal')} AS total, {r4('AVG(subtotal)')} AS promedio,
+SELECT banda, COUNT(*) AS n_registros, {money('subtotal')} AS total, {r6('AVG(subtotal)')} AS promedio,
        MAX(subtotal) AS maximo, MIN(subtotal) AS minimo
 FROM b GROUP BY banda
 """)
@@ -249,7 +249,7 @@ def a20_band(t):
 @query("a20_revenue_by_month", sql=f"""
 {with_roles('cargos')}
 SELECT year(fecha) AS anio, month(fecha) AS mes, COUNT(*) AS n_registros, {money('subtotal')} AS total,
-       {r4('AVG(subtotal)')} AS promedio, MAX(subtotal) AS maximo, MIN(subtotal) AS minimo
+       {r6('AVG(subtotal)')} AS promedio, MAX(subtotal) AS maximo, MIN(subtotal) AS minimo
 FROM cargos GROUP BY year(fecha), month(fecha)
 """)
 def a20_month(t):
@@ -259,8 +259,8 @@ def a20_month(t):
 
 @query("a21_type_stats", sql=f"""
 {with_roles('cargos')}
-SELECT tipo, {money('subtotal')} AS total, {r4('AVG(subtotal)')} AS promedio, COUNT(*) AS n,
-       {r4('AVG(precio)')} AS precio_promedio, {r4('STDDEV_SAMP(precio)')} AS precio_std
+SELECT tipo, {money('subtotal')} AS total, {r6('AVG(subtotal)')} AS promedio, COUNT(*) AS n,
+       {r6('AVG(precio)')} AS precio_promedio, {r6('STDDEV_SAMP(precio)')} AS precio_std
 FROM cargos GROUP BY tipo
 """)
 def a21(t):
@@ -277,7 +277,7 @@ def _corr_sql() -> str:
             parts.append(
                 f"SELECT '{a}' AS var_a, '{b}' AS var_b, "
                 f"ROUND(CASE WHEN STDDEV_SAMP({a}) * STDDEV_SAMP({b}) = 0 THEN NULL "
-                f"ELSE COVAR_SAMP({a}, {b}) / (STDDEV_SAMP({a}) * STDDEV_SAMP({b})) END, 4) AS corr FROM cargos"
+                f"ELSE COVAR_SAMP({a}, {b}) / (STDDEV_SAMP({a}) * STDDEV_SAMP({b})) END, 6) AS corr FROM cargos"
             )
     return " UNION ALL ".join(parts)
 
@@ -352,7 +352,7 @@ def a27(t):
 
 @query("a28_revenue_share", sql=f"""
 {with_roles('cargos')},
-g AS (SELECT tipo, {money('subtotal')} AS monto, COUNT(*) AS n, {r4('AVG(subtotal)')} AS promedio_servicio
+g AS (SELECT tipo, {money('subtotal')} AS monto, COUNT(*) AS n, {r6('AVG(subtotal)')} AS promedio_servicio
       FROM cargos GROUP BY tipo),
 tot AS (SELECT {money('subtotal')} AS t FROM cargos)
 SELECT g.*, {pct('monto', '(SELECT t FROM tot)')} AS porcentaje FROM g
@@ -389,8 +389,8 @@ def a29(t):
 {with_roles('cargos')},
 q AS (SELECT quantile_cont(subtotal, 0.25) AS q1, quantile_cont(subtotal, 0.5) AS q2,
              quantile_cont(subtotal, 0.75) AS q3 FROM cargos)
-SELECT COUNT(subtotal) AS n, {r4('ANY_VALUE(q1)')} AS q1, {r4('ANY_VALUE(q2)')} AS mediana, {r4('ANY_VALUE(q3)')} AS q3,
-       {r4('ANY_VALUE(q3 - q1)')} AS iqr, {r4('ANY_VALUE(q3 + 1.5 * (q3 - q1))')} AS limite_superior,
+SELECT COUNT(subtotal) AS n, {r6('ANY_VALUE(q1)')} AS q1, {r6('ANY_VALUE(q2)')} AS mediana, {r6('ANY_VALUE(q3)')} AS q3,
+       {r6('ANY_VALUE(q3 - q1)')} AS iqr, {r6('ANY_VALUE(q3 + 1.5 * (q3 - q1))')} AS limite_superior,
        COUNT(*) FILTER (WHERE subtotal > q3 + 1.5 * (q3 - q1)) AS atipicos
 FROM cargos, q
 """)
@@ -407,7 +407,7 @@ b AS (SELECT CASE WHEN w.w > 0 THEN LEAST(CAST(FLOOR((subtotal - w.lo) / w.w) AS
              COUNT(*) AS n
       FROM cargos, w WHERE subtotal IS NOT NULL GROUP BY 1),
 bins AS (SELECT CAST(unnest(range(0, k)) AS INTEGER) AS bin FROM w WHERE n > 0)
-SELECT bins.bin, ROUND(w.lo + bins.bin * w.w, 4) AS desde, ROUND(w.lo + (bins.bin + 1) * w.w, 4) AS hasta,
+SELECT bins.bin, ROUND(w.lo + bins.bin * w.w, 6) AS desde, ROUND(w.lo + (bins.bin + 1) * w.w, 6) AS hasta,
        CAST(COALESCE(b.n, 0) AS BIGINT) AS n
 FROM bins CROSS JOIN w LEFT JOIN b USING (bin)
 """)
@@ -417,9 +417,9 @@ def a31(t):
 
 @query("a32_box_stats", sql=f"""
 {with_roles('cargos')}
-SELECT tipo, COUNT(subtotal) AS n, {r4('quantile_cont(subtotal, 0.0)')} AS minimo, {r4('quantile_cont(subtotal, 0.25)')} AS q1,
-       {r4('quantile_cont(subtotal, 0.5)')} AS mediana, {r4('quantile_cont(subtotal, 0.75)')} AS q3,
-       {r4('quantile_cont(subtotal, 1.0)')} AS maximo
+SELECT tipo, COUNT(subtotal) AS n, {r6('quantile_cont(subtotal, 0.0)')} AS minimo, {r6('quantile_cont(subtotal, 0.25)')} AS q1,
+       {r6('quantile_cont(subtotal, 0.5)')} AS mediana, {r6('quantile_cont(subtotal, 0.75)')} AS q3,
+       {r6('quantile_cont(subtotal, 1.0)')} AS maximo
 FROM cargos GROUP BY tipo
 """)
 def a32(t):
@@ -444,7 +444,7 @@ def age_sql(b: str, a: str) -> str:
 @query("a33_mean_age", sql=f"""
 {with_roles('atencion')}, b AS ({BIRTH_SQL}),
 e AS (SELECT {age_sql('fecnac', "DATE '2001-12-01'")} AS edad FROM b)
-SELECT {r4('AVG(edad)')} AS edad_promedio, COUNT(edad) AS n FROM e
+SELECT {r6('AVG(edad)')} AS edad_promedio, COUNT(edad) AS n FROM e
 """)
 def a33(t):
     return A.mean_age(birth_dates(t).select(age_calendar("fecnac", AS_OF_ORDERS).alias("edad")))
@@ -458,7 +458,7 @@ SELECT (SELECT COUNT(*) FROM pacientes) AS pacientes,
        (SELECT COUNT(DISTINCT a.Id_exp) FROM cargos d JOIN atencion a USING (id_atencion) JOIN catalogo c USING (id_catalogo)
         WHERE {contains_any(sql_fold('c.nombre'), [w.upper() for w in OCULAR_WORDS])}) AS pacientes_oculares,
        (SELECT {pct("COUNT(*) FILTER (WHERE ocupada = 1)", "COUNT(*)")} FROM camas) AS ocupacion,
-       (SELECT {r4('AVG(subtotal)')} FROM cargos) AS cargo_promedio
+       (SELECT {r6('AVG(subtotal)')} FROM cargos) AS cargo_promedio
 """)
 def a34(t):
     ocular = (t.cargos.select("id_atencion", "id_catalogo")
@@ -472,7 +472,7 @@ def a34(t):
         "estudios": t.cargos.select(F.count(F.lit(1))).scalar(),
         "pacientes_oculares": ocular.select(F.count_distinct("Id_exp")).scalar(),
         "ocupacion": t.camas.select(pct_(F.count_if(F.col("ocupada") == 1), F.count(F.lit(1)))).scalar(),
-        "cargo_promedio": t.cargos.select(F.round(F.avg("subtotal"), 4)).scalar(),
+        "cargo_promedio": t.cargos.select(F.round(F.avg("subtotal"), 6)).scalar(),
     })
 
 
@@ -480,9 +480,9 @@ def _describe_sql() -> str:
     parts = []
     for c in CORR_COLS:
         parts.append(
-            f"SELECT '{c}' AS columna, COUNT({c}) AS n, {r4(f'AVG({c})')} AS media, {r4(f'STDDEV_SAMP({c})')} AS desviacion, "
-            f"CAST(MIN({c}) AS DOUBLE) AS minimo, {r4(f'quantile_cont({c}, 0.25)')} AS q25, "
-            f"{r4(f'quantile_cont({c}, 0.5)')} AS q50, {r4(f'quantile_cont({c}, 0.75)')} AS q75, "
+            f"SELECT '{c}' AS columna, COUNT({c}) AS n, {r6(f'AVG({c})')} AS media, {r6(f'STDDEV_SAMP({c})')} AS desviacion, "
+            f"CAST(MIN({c}) AS DOUBLE) AS minimo, {r6(f'quantile_cont({c}, 0.25)')} AS q25, "
+            f"{r6(f'quantile_cont({c}, 0.5)')} AS q50, {r6(f'quantile_cont({c}, 0.75)')} AS q75, "
             f"CAST(MAX({c}) AS DOUBLE) AS maximo FROM cargos"
         )
     return " UNION ALL ".join(parts)
@@ -519,7 +519,7 @@ def a37(t):
 @query("a38_inventory_summary", sql=f"""
 {with_roles('catalogo')}
 SELECT CASE WHEN GROUPING(tipo) = 1 THEN 'TOTAL' ELSE tipo END AS tipo, COUNT(*) AS filas,
-       CAST(SUM(tamano) AS BIGINT) AS stock_total, {r4('SUM(tamano * precio)')} AS valor_total,
+       CAST(SUM(tamano) AS BIGINT) AS stock_total, {r6('SUM(tamano * precio)')} AS valor_total,
        COUNT(DISTINCT tipo) AS categorias
 FROM catalogo GROUP BY ROLLUP (tipo)
 """)

@@ -23,3 +23,23 @@ def open_attention_report(att: DataFrame, pat: DataFrame, charges: DataFrame) ->
         F.col("nombre").alias("paciente"),
         "total_cuenta",
     )
+
+
+def study_chain(det: DataFrame, att: DataFrame, pat: DataFrame, cat: DataFrame, staff: DataFrame) -> DataFrame:
+    """Detail -> attention -> patient -> catalogue -> doctor, one row per detail line.
+
+    Catalogue and staff joins are left joins on their unique keys; Spark broadcasts them
+    when the size check allows, and sort-merges otherwise.
+    """
+    a = att.select("id_atencion", "Id_exp", "fecha_ing")
+    p = pat.select("Id_exp", F.col("nombre").alias("paciente"), "area")
+    c = cat.select("id_catalogo", F.col("nombre").alias("examen"), F.col("tipo").alias("tipo_examen"))
+    m = staff.select(F.col("id_cama").alias("id_medico"), F.col("numero").alias("medico"),
+                     F.col("area").alias("area_medico"))
+    return (
+        det.select("id_atencion", "linea", "id_catalogo", "id_medico")
+        .join(a, "id_atencion").join(p, "Id_exp")
+        .join(c, "id_catalogo", "left").join(m, "id_medico", "left")
+        .select("id_atencion", "linea", "examen", "tipo_examen", "fecha_ing", "paciente", "area", "medico",
+                "area_medico")
+    )

@@ -7,8 +7,8 @@ def money(x: str) -> str:
     return MONEY.format(x=x)
 
 
-def r4(x: str) -> str:
-    return f"ROUND(CAST({x} AS DOUBLE), 4)"
+def r6(x: str) -> str:
+    return f"ROUND(CAST({x} AS DOUBLE), 6)"
 
 
 def pct(num: str, den: str) -> str:
