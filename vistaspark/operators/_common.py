@@ -80,3 +80,18 @@ def dense_index(df: DataFrame, order: Sequence, start: int | Column = 1, value:
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def rsig(c, digits: int = 11) -> Column:
+    """Round to ``digits`` significant digits (magnitude buckets 1e-3 .. 1e15).
+
+    Large sums of squares differ between engines in their last bits (order of addition);
+    a relative rounding keeps reported values stable where fixed decimals would not."""
+    x = col_of(c).cast("double")
+    a = F.abs(x)
+    out = None
+    for e in range(15, -4, -1):
+        cond = a >= float(10 ** e) if e >= 0 else a >= 10.0 ** e
+        val = F.round(x, digits - 1 - e)
+        out = F.when(cond, val) if out is None else out.when(cond, val)
+    return out.otherwise(F.round(x, digits + 3))

@@ -25,3 +25,12 @@ def fold(x: str) -> str:
 
 def contains_any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")" if words else "FALSE"
+
+
+def rsig(x: str, digits: int = 11) -> str:
+    """Twin of ``operators._common.rsig``."""
+    parts = []
+    for e in range(15, -4, -1):
+        lim = f"{float(10 ** e)!r}" if e >= 0 else repr(10.0 ** e)
+        parts.append(f"WHEN ABS(CAST({x} AS DOUBLE)) >= {lim} THEN ROUND(CAST({x} AS DOUBLE), {digits - 1 - e})")
+    return "(CASE " + " ".join(parts) + f" ELSE ROUND(CAST({x} AS DOUBLE), {digits + 3}) END)"
