@@ -410,6 +410,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def argmax_rows(df: DataFrame, cols: Sequence[str], key: str, keep: Sequence[str] = ()) -> DataFrame:
     """For each column, the row holding its maximum (ties -> smallest key)."""
     out = None
+    keep = [k for k in keep if k != key]
     for c in cols:
         one = (
             df.filter(F.col(c).isNotNull())

@@ -86,7 +86,7 @@ def delete_type(details: DataFrame, headers: DataFrame, doomed: DataFrame, key:
     """Delete detail lines matching ``doomed`` (anti join); delete a header only when it
     had lines and none remains (headers without lines at all are kept)."""
     on = [c for c in doomed.columns]
-    remaining = details.join(doomed, on, "left_anti")
+    remaining = details.join(doomed, on, "left_anti").select(*details.columns)
     had = details.select(key).distinct()
     keeps = remaining.select(key).distinct()
     emptied = had.join(keeps, key, "left_anti")

@@ -51,7 +51,9 @@ def alert_rate_stream(events: DataFrame, ranges: Mapping[str, tuple[float | None
                       ts: str = "ts", sign: str = "event_type", value: str = "value",
                       window: str = "1 hour", delay: str = "30 minutes") -> DataFrame:
     """Alerts / valid readings per sign per tumbling window; rows later than the
-    watermark (``delay`` behind the newest event seen) are dropped.
+    watermark (``delay`` behind the newest event seen) are dropped. Spark checks late rows
+    against the watermark of the previous micro-batch, so a row is dropped once the batch
+    that moved the watermark past it has been followed by one more.
 
     Watermarks need an instant (TIMESTAMP); a wall-clock (TIMESTAMP_NTZ) column is cast to
     one in the session zone, and window bounds are cast back for output."""
