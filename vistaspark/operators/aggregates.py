@@ -139,6 +139,14 @@ def nest_details(df: DataFrame, key, order: Sequence[str], fields: Sequence[str]
     )
 
 
+def first_values(df: DataFrame, key, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first value of each attribute per group, by an explicit order (``min_by`` of a
+    struct: a partial aggregate, so a hot group is reduced map-side)."""
+    return df.groupBy(*as_list(key)).agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(o) for o in order])).alias("_f")
+    ).select(*as_list(key), *[F.col(f"_f.{c}").alias(c) for c in cols])
+
+
 def names_joined(df: DataFrame, key, name: str, order: str | None = None, sep: str = ", ") -> DataFrame:
     """The names of each group joined with ', ' in a deterministic order."""
     o = F.col(order) if order else F.col(name)

@@ -538,3 +538,18 @@ FROM g
 """)
 def a39(t):
     return A.accounts_with_total(t.cargos, "id_atencion", "linea")
+
+
+@query("a11_first_values", sql=f"""
+{with_roles('cargos', 'atencion')},
+j AS (SELECT d.id_atencion, d.linea, d.id_catalogo, d.id_medico, d.subtotal, a.Id_exp, a.fecha_ing
+      FROM cargos d JOIN atencion a USING (id_atencion))
+SELECT id_atencion, Id_exp, fecha_ing, id_catalogo FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY id_atencion ORDER BY linea, id_catalogo, id_medico, subtotal) AS rn FROM j)
+WHERE rn = 1
+""")
+def a11(t):
+    j = t.cargos.select("id_atencion", "linea", "id_catalogo", "id_medico", "subtotal").join(
+        t.atencion.select("id_atencion", "Id_exp", "fecha_ing"), "id_atencion")
+    return A.first_values(j, "id_atencion", ["Id_exp", "fecha_ing", "id_catalogo"],
+                          ["linea", "id_catalogo", "id_medico", "subtotal"])

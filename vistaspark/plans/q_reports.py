@@ -441,3 +441,20 @@ WHERE a.status = 'ABIERTA'
 """)
 def v22(t):
     return reports.open_attention_report(t.atencion, t.pacientes, t.cargos)
+
+
+@query("v24_staff_sorted", sql=f"""
+{with_roles('camas')}
+SELECT id_cama AS id_medico, numero AS medico, nacion FROM camas ORDER BY nacion, numero, id_cama
+""")
+def v24c(t):
+    return t.camas.select(F.col("id_cama").alias("id_medico"), F.col("numero").alias("medico"), "nacion").orderBy(
+        "nacion", "medico", "id_medico")
+
+
+@query("v24_diagnosis_catalogue", sql=f"""
+{with_roles('diagnosticos')}
+SELECT DISTINCT lang, fuente FROM diagnosticos ORDER BY lang, fuente
+""")
+def v24d(t):
+    return t.diagnosticos.select("lang", "fuente").distinct().orderBy("lang", "fuente")

@@ -268,3 +268,19 @@ def t17(t):
     qtys = F.transform("q", lambda x: x["v"])
     items = lists.select("id_atencion", F.explode(AR.zip_items({"item": names, "cantidad": qtys})).alias("z"))
     return items.select("id_atencion", "z.item", "z.cantidad")
+
+
+@query("t6a_age_calendar", sql=f"""
+{with_roles('atencion')}, b AS ({BIRTH_SQL})
+SELECT Id_exp, {age_sql('fecnac', "DATE '2001-12-01'")} AS edad FROM b
+""")
+def t6a(t):
+    return birth_dates(t).select("Id_exp", D.age_calendar("fecnac", AS_OF_ORDERS).alias("edad"))
+
+
+@query("t6b_age_months", sql=f"""
+{with_roles('atencion')}, b AS ({BIRTH_SQL})
+SELECT Id_exp, {_months_rule_sql('fecnac', "DATE '2001-12-01'")} AS edad_meses FROM b
+""")
+def t6b(t):
+    return birth_dates(t).select("Id_exp", D.age_months_rule("fecnac", AS_OF_ORDERS).alias("edad_meses"))

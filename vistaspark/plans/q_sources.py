@@ -166,3 +166,22 @@ def s10(t):
 
 
 _ = (BASE_TABLES, FL)
+
+
+CARGOS_SCHEMA = T.StructType([
+    T.StructField("id_atencion", T.LongType()), T.StructField("linea", T.IntegerType()),
+    T.StructField("cantidad", T.DoubleType()), T.StructField("subtotal", T.DecimalType(18, 2)),
+    T.StructField("estado", T.StringType()), T.StructField("fecha", T.DateType()),
+])
+
+
+@query("s9_restore_tables", sql=f"""
+{with_roles('cargos')}
+SELECT id_atencion, linea, cantidad, CAST(subtotal AS DECIMAL(18,2)) AS subtotal, estado, fecha FROM cargos
+""")
+def s9(t):
+    src = t.cargos.select("id_atencion", "linea", "cantidad", F.col("subtotal").cast("decimal(18,2)").alias("subtotal"),
+                          "estado", "fecha")
+    path = S.scratch_path(t.spark, "restore")
+    paths = S.export_tables({"cargos": src}, path, "csv")
+    return S.restore_tables(t.spark, paths, {"cargos": CARGOS_SCHEMA}, "csv")["cargos"]

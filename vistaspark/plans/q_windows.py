@@ -119,3 +119,13 @@ def u4(t):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("linea", "tipo"))),
                                  lambda x: F.concat(F.lit(" "), x["tipo"], F.lit(" "))), ",,").alias("lista"))
     return lists.select("id_atencion", F.array_join(split_clean("lista", ","), "|").alias("tipos"))
+
+
+@query("w5_retain_latest_per_user", sql=f"""
+{with_roles('signos')}
+SELECT id_signo, fecha, id_usuario, signo, valor, props FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY id_usuario ORDER BY fecha DESC, id_signo DESC) AS rn FROM signos) WHERE rn <= 4
+""")
+def w5(t):
+    from ..sources.sinks import retain_latest
+    return retain_latest(t.signos, "id_usuario", "fecha", "id_signo", 4)
