@@ -88,36 +88,44 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     facts onto the patient base (no fan-out).
     """
     base = attentions.select("Id_exp").filter(F.col("Id_exp").isNotNull()).distinct()
+    # one join pass over the details; a header that already carries the patient skips the
+    # attention join
+    h = headers.select("id_examen", *(["Id_exp"] if "Id_exp" in headers.columns else ["id_atencion"]),
+                       F.col("fecha").alias("fecha_examen"))
+    d = details.join(h, "id_examen", "left")
+    if "Id_exp" not in headers.columns:
+        d = d.join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
     d = (
-        details.join(headers.select("id_examen", "id_atencion", F.col("fecha").alias("fecha_examen")), "id_examen", "left")
-        .join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
-        .filter(F.col("Id_exp").isNotNull())
+        d.filter(F.col("Id_exp").isNotNull())
         .withColumn("_cat", F.col("id_catalogo").try_cast("int"))
         .withColumn("_name", fold("nombre_examen"))
         .withColumn("_state", F.upper(F.coalesce(F.col("estado"), F.lit(""))))
         .withColumn("_date", F.to_date(F.coalesce(F.col("fecha_realizado"), F.col("fecha_examen"))))
     )
     cat, name = F.col("_cat"), F.col("_name")
-    ocular = _hit(rules.ocular_ids, rules.ocular_stems, cat, name)
-    retina = _hit(rules.retina_ids, rules.retina_stems, cat, name)
-    glaucoma = _hit(rules.glaucoma_ids, rules.glaucoma_stems, cat, name)
-    cornea = _hit(rules.cornea_ids, rules.cornea_stems, cat, name)
-    systemic = _hit(rules.systemic_ids, rules.systemic_stems, cat, name)
-
-    ocular_facts = d.filter(ocular).groupBy("Id_exp").agg(
-        F.count(F.lit(1)).alias("total_examenes_oculares"),
-        F.count_distinct("nombre_examen").alias("tipos_examenes_oculares"),
-        F.count_if(F.col("_state") == "REALIZADO").alias("examenes_realizados"),
-        F.count_if(F.col("_state") == "PENDIENTE").alias("examenes_pendientes"),
-        F.count_if(retina).alias("estudios_retina"),
-        F.count_if(glaucoma).alias("estudios_glaucoma"),
-        F.count_if(cornea).alias("estudios_corneales"),
-        F.min("_date").alias("primer_estudio"),
-        F.max("_date").alias("ultimo_estudio"),
+    d = d.withColumns({
+        "_oc": _hit(rules.ocular_ids, rules.ocular_stems, cat, name),
+        "_re": _hit(rules.retina_ids, rules.retina_stems, cat, name),
+        "_gl": _hit(rules.glaucoma_ids, rules.glaucoma_stems, cat, name),
+        "_co": _hit(rules.cornea_ids, rules.cornea_stems, cat, name),
+        "_sy": _hit(rules.systemic_ids, rules.systemic_stems, cat, name),
+    })
+    oc = F.col("_oc")
+    # all per-patient exam facts in one partial aggregate (family counts are over ocular exams)
+    facts = d.filter(oc | F.col("_sy")).groupBy("Id_exp").agg(
+        F.count_if(oc).alias("total_examenes_oculares"),
+        F.count_distinct(F.when(oc, F.col("nombre_examen"))).alias("tipos_examenes_oculares"),
+        F.count_if(oc & (F.col("_state") == "REALIZADO")).alias("examenes_realizados"),
+        F.count_if(oc & (F.col("_state") == "PENDIENTE")).alias("examenes_pendientes"),
+        F.count_if(oc & F.col("_re")).alias("estudios_retina"),
+        F.count_if(oc & F.col("_gl")).alias("estudios_glaucoma"),
+        F.count_if(oc & F.col("_co")).alias("estudios_corneales"),
+        F.min(F.when(oc, F.col("_date"))).alias("primer_estudio"),
+        F.max(F.when(oc, F.col("_date"))).alias("ultimo_estudio"),
+        F.count_if(F.col("_sy")).alias("marcadores_sistemicos"),
     ).withColumn("examenes_repetidos", F.col("total_examenes_oculares") - F.col("tipos_examenes_oculares"))
-    systemic_facts = d.filter(systemic).groupBy("Id_exp").agg(F.count(F.lit(1)).alias("marcadores_sistemicos"))
 
-    risk = base.join(ocular_facts, "Id_exp", "left").join(systemic_facts, "Id_exp", "left")
+    risk = base.join(facts, "Id_exp", "left")
     if diagnoses is not None:
         text = fold(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in diag_text_cols]))
         dhit = contains_any(text, [_fold_word(s) for s in rules.diagnosis_stems])

@@ -210,8 +210,14 @@ def b8b(t):
 
 
 def _admit(t):
-    docs = (t.cargos.select("id_atencion", "id_medico").join(t.atencion.select("id_atencion", "Id_exp"), "id_atencion")
-            .groupBy("Id_exp").agg(F.array_sort(F.collect_set(F.col("id_medico").cast("string"))).alias("medicos")))
+    from pyspark.sql import Window
+
+    # at most five doctors per patient: a top-5 window (planned as a WindowGroupLimit, so a
+    # patient with many lines keeps only five rows per task before the shuffle)
+    pairs = (t.cargos.select("id_atencion", F.col("id_medico").cast("string").alias("id_medico"))
+             .join(t.atencion.select("id_atencion", "Id_exp"), "id_atencion").select("Id_exp", "id_medico").distinct())
+    top5 = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("Id_exp").orderBy("id_medico"))).filter("_r <= 5")
+    docs = top5.groupBy("Id_exp").agg(F.array_sort(F.collect_list("id_medico")).alias("medicos"))
     req = t.pacientes.filter("saldo < 0").select("Id_exp").join(docs, "Id_exp", "left")
     free = t.camas.filter("ocupada = 0")
     mx = t.atencion.select(F.max("id_atencion")).scalar()

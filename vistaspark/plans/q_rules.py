@@ -28,7 +28,9 @@ def relapse_inputs(t):
     det = t.cargos.select(F.col("id_atencion").alias("id_examen"), "id_catalogo", "estado",
                           F.col("fecha").alias("fecha_realizado")).join(
         t.catalogo.select("id_catalogo", F.col("nombre").alias("nombre_examen")), "id_catalogo", "left")
-    headers = t.atencion.select(F.col("id_atencion").alias("id_examen"), "id_atencion", F.col("fecha_ing").alias("fecha"))
+    # the exam header of this binding is the attention itself, so it carries the patient
+    headers = t.atencion.select(F.col("id_atencion").alias("id_examen"), "id_atencion", "Id_exp",
+                                F.col("fecha_ing").alias("fecha"))
     atts = t.atencion.select("id_atencion", "Id_exp")
     diags = t.diagnosticos.select(F.col("id_diagnostico").alias("id_atencion"), "texto")
     return det, headers, atts, diags
