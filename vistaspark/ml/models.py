@@ -250,19 +250,34 @@ def pca_summary(df: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "componente int, varianza double, acumulada double")
 
 
+def _in_parallel(fn, items, parallelism: int):
+    """Run independent fits concurrently (as Spark ML's tuning classes do with ``parallelism``):
+    each fit is a series of small Spark jobs, so several of them keep the executors busy."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if parallelism <= 1:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, items))
+
+
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42,
-                 iters: int = 20) -> DataFrame:
-    """Inertia (training cost) and silhouette for each k in 2..min(10, n-1)."""
+                 iters: int = 20, parallelism: int = 8) -> DataFrame:
+    """Inertia (training cost) and silhouette for each k in 2..min(10, n-1).
+
+    The scaled input is persisted once; the fits for different k are independent and run
+    ``parallelism`` at a time. Each fit is seeded, so results do not depend on the order."""
     scaled = _scaled(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = scaled.count()
         ks = list(ks) if ks else list(range(2, min(10, n - 1) + 1))
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        rows = []
-        for k in ks:
+
+        def fit(k):
             model = KMeans(k=k, seed=seed, maxIter=iters, featuresCol="features", predictionCol="cluster").fit(scaled)
-            sil = ev.evaluate(model.transform(scaled))
-            rows.append((k, float(model.summary.trainingCost), float(sil)))
+            return (k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(scaled))))
+
+        rows = _in_parallel(fit, ks, parallelism)
     finally:
         scaled.unpersist()
     out = df.sparkSession.createDataFrame(rows, "k int, inercia double, silueta double")
@@ -270,7 +285,7 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None =
 
 
 def trial_grid(df: DataFrame, cols: Sequence[str], comps: Sequence[int], ks: Sequence[int], seed: int = 42,
-               top: int = 5) -> DataFrame:
+               top: int = 5, parallelism: int = 8) -> DataFrame:
     """M24 (re-aimed): really fit every (PCA components, k) pair and rank by silhouette."""
     scaled = _scaled(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -280,9 +295,12 @@ def trial_grid(df: DataFrame, cols: Sequence[str], comps: Sequence[int], ks: Seq
             pca = PCA(k=min(c, len(cols)), inputCol="features", outputCol="pca").fit(scaled)
             proj = pca.transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
             var = float(sum(pca.explainedVariance.toArray()))
-            for k in ks:
+
+            def fit(k, proj=proj, c=c, var=var):
                 km = KMeans(k=k, seed=seed, maxIter=20, featuresCol="pca", predictionCol="cluster").fit(proj)
-                rows.append((int(c), int(k), float(ev.evaluate(km.transform(proj))), var))
+                return (int(c), int(k), float(ev.evaluate(km.transform(proj))), var)
+
+            rows += _in_parallel(fit, list(ks), parallelism)
             proj.unpersist()
     finally:
         scaled.unpersist()

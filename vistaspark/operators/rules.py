@@ -76,13 +76,31 @@ def _steps(c: Column, steps: Sequence[tuple[int, int]]) -> Column:
     return out.otherwise(0)
 
 
+def exam_flags(df: DataFrame, rules: RelapseRules, id_col: str = "id_catalogo", name_col: str = "nombre_examen"
+               ) -> DataFrame:
+    """Family flags of exams (ocular / retina / glaucoma / cornea / systemic) from id and name."""
+    d = df.withColumn("_cat", F.col(id_col).try_cast("int")).withColumn("_name", fold(name_col))
+    cat, name = F.col("_cat"), F.col("_name")
+    return d.withColumns({
+        "_oc": _hit(rules.ocular_ids, rules.ocular_stems, cat, name),
+        "_re": _hit(rules.retina_ids, rules.retina_stems, cat, name),
+        "_gl": _hit(rules.glaucoma_ids, rules.glaucoma_stems, cat, name),
+        "_co": _hit(rules.cornea_ids, rules.cornea_stems, cat, name),
+        "_sy": _hit(rules.systemic_ids, rules.systemic_stems, cat, name),
+    }).drop("_cat", "_name")
+
+
 def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame, diagnoses: DataFrame | None,
-                 rules: RelapseRules, as_of: str, diag_text_cols: Sequence[str] = ("texto",)) -> DataFrame:
+                 rules: RelapseRules, as_of: str, diag_text_cols: Sequence[str] = ("texto",),
+                 catalogue: DataFrame | None = None) -> DataFrame:
     """Ocular-relapse risk score (0-15), level and main profile per patient.
 
     details: id_examen, id_catalogo, nombre_examen, estado, fecha_realizado
-    headers: id_examen, id_atencion, fecha ; attentions: id_atencion, Id_exp
+    headers: id_examen, id_atencion, fecha [, Id_exp] ; attentions: id_atencion, Id_exp
     diagnoses: id_atencion + text columns.
+    catalogue: optional (id_catalogo, nombre_examen). When given, the exam families are decided
+    once per catalogue item and joined to the details by id (the names come from it), instead
+    of folding and matching the name on every detail row.
 
     Everything is partial aggregation per patient, then left joins of one-row-per-patient
     facts onto the patient base (no fan-out).
@@ -95,24 +113,25 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     d = details.join(h, "id_examen", "left")
     if "Id_exp" not in headers.columns:
         d = d.join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
+    d = d.filter(F.col("Id_exp").isNotNull())
+    if catalogue is not None:
+        flags = exam_flags(catalogue.select("id_catalogo", "nombre_examen"), rules)
+        d = d.drop("nombre_examen").join(flags, "id_catalogo", "left").fillna(
+            {"_oc": False, "_re": False, "_gl": False, "_co": False, "_sy": False})
+        # ids alone still decide for items missing from the catalogue
+        cat = F.col("id_catalogo").try_cast("int")
+        for flag, ids in (("_oc", rules.ocular_ids), ("_re", rules.retina_ids), ("_gl", rules.glaucoma_ids),
+                          ("_co", rules.cornea_ids), ("_sy", rules.systemic_ids)):
+            d = d.withColumn(flag, F.col(flag) | F.coalesce(cat.isin(list(ids)), F.lit(False)))
+    else:
+        d = exam_flags(d, rules)
     d = (
-        d.filter(F.col("Id_exp").isNotNull())
-        .withColumn("_cat", F.col("id_catalogo").try_cast("int"))
-        .withColumn("_name", fold("nombre_examen"))
-        .withColumn("_state", F.upper(F.coalesce(F.col("estado"), F.lit(""))))
+        d.withColumn("_state", F.upper(F.coalesce(F.col("estado"), F.lit(""))))
         .withColumn("_date", F.to_date(F.coalesce(F.col("fecha_realizado"), F.col("fecha_examen"))))
     )
-    cat, name = F.col("_cat"), F.col("_name")
-    d = d.withColumns({
-        "_oc": _hit(rules.ocular_ids, rules.ocular_stems, cat, name),
-        "_re": _hit(rules.retina_ids, rules.retina_stems, cat, name),
-        "_gl": _hit(rules.glaucoma_ids, rules.glaucoma_stems, cat, name),
-        "_co": _hit(rules.cornea_ids, rules.cornea_stems, cat, name),
-        "_sy": _hit(rules.systemic_ids, rules.systemic_stems, cat, name),
-    })
     oc = F.col("_oc")
     # all per-patient exam facts in one partial aggregate (family counts are over ocular exams)
-    facts = d.filter(oc | F.col("_sy")).groupBy("Id_exp").agg(
+    facts = d.groupBy("Id_exp").agg(
         F.count_if(oc).alias("total_examenes_oculares"),
         F.count_distinct(F.when(oc, F.col("nombre_examen"))).alias("tipos_examenes_oculares"),
         F.count_if(oc & (F.col("_state") == "REALIZADO")).alias("examenes_realizados"),
@@ -124,6 +143,7 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
         F.max(F.when(oc, F.col("_date"))).alias("ultimo_estudio"),
         F.count_if(F.col("_sy")).alias("marcadores_sistemicos"),
     ).withColumn("examenes_repetidos", F.col("total_examenes_oculares") - F.col("tipos_examenes_oculares"))
+    facts = facts.filter((F.col("total_examenes_oculares") > 0) | (F.col("marcadores_sistemicos") > 0))
 
     risk = base.join(facts, "Id_exp", "left")
     if diagnoses is not None:

@@ -26,8 +26,7 @@ STAR_RULES = RelapseRules(
 
 def relapse_inputs(t):
     det = t.cargos.select(F.col("id_atencion").alias("id_examen"), "id_catalogo", "estado",
-                          F.col("fecha").alias("fecha_realizado")).join(
-        t.catalogo.select("id_catalogo", F.col("nombre").alias("nombre_examen")), "id_catalogo", "left")
+                          F.col("fecha").alias("fecha_realizado"))
     # the exam header of this binding is the attention itself, so it carries the patient
     headers = t.atencion.select(F.col("id_atencion").alias("id_examen"), "id_atencion", "Id_exp",
                                 F.col("fecha_ing").alias("fecha"))
@@ -38,7 +37,8 @@ def relapse_inputs(t):
 
 def relapse(t):
     det, headers, atts, diags = relapse_inputs(t)
-    return R.relapse_risk(det, headers, atts, diags, STAR_RULES, AS_OF_ORDERS)
+    cat = t.catalogo.select("id_catalogo", F.col("nombre").alias("nombre_examen"))
+    return R.relapse_risk(det, headers, atts, diags, STAR_RULES, AS_OF_ORDERS, catalogue=cat)
 
 
 def _hit_sql(ids, stems) -> str:
