@@ -248,9 +248,9 @@ def a20_band(t):
 
 @query("a20_revenue_by_month", sql=f"""
 {with_roles('cargos')}
-SELECT year(fecha) AS anio, month(fecha) AS mes, COUNT(*) AS n_registros, {money('subtotal')} AS total,
+SELECT CAST(year(fecha) AS INTEGER) AS anio, CAST(month(fecha) AS INTEGER) AS mes, COUNT(*) AS n_registros, {money('subtotal')} AS total,
        {r6('AVG(subtotal)')} AS promedio, MAX(subtotal) AS maximo, MIN(subtotal) AS minimo
-FROM cargos GROUP BY year(fecha), month(fecha)
+FROM cargos GROUP BY 1, 2
 """)
 def a20_month(t):
     c = t.cargos.withColumn("anio", F.year("fecha")).withColumn("mes", F.month("fecha"))
@@ -306,7 +306,7 @@ c AS (SELECT COALESCE(CAST(area AS VARCHAR), 'Sin dato') AS categoria, COUNT(*)
 top AS (SELECT * FROM c ORDER BY n DESC, categoria LIMIT 3),
 tot AS (SELECT COUNT(*) AS t FROM pacientes),
 u AS (SELECT categoria, n FROM top
-      UNION ALL SELECT 'Otros', (SELECT t FROM tot) - (SELECT COALESCE(SUM(n), 0) FROM top)
+      UNION ALL SELECT 'Otros', CAST((SELECT t FROM tot) - (SELECT COALESCE(SUM(n), 0) FROM top) AS BIGINT)
       WHERE (SELECT t FROM tot) - (SELECT COALESCE(SUM(n), 0) FROM top) > 0)
 SELECT categoria, n, {pct('n', '(SELECT t FROM tot)')} AS porcentaje FROM u
 """)
@@ -435,10 +435,10 @@ BIRTH_SQL = "SELECT Id_exp, MIN(fecha_ing) AS fecnac FROM atencion GROUP BY Id_e
 
 
 def age_sql(b: str, a: str) -> str:
-    return (f"CASE WHEN (year({a}) - year({b}) - CASE WHEN month({a}) < month({b}) OR (month({a}) = month({b}) "
+    return (f"CAST(CASE WHEN (year({a}) - year({b}) - CASE WHEN month({a}) < month({b}) OR (month({a}) = month({b}) "
             f"AND day({a}) < day({b})) THEN 1 ELSE 0 END) BETWEEN 0 AND 120 THEN "
             f"(year({a}) - year({b}) - CASE WHEN month({a}) < month({b}) OR (month({a}) = month({b}) "
-            f"AND day({a}) < day({b})) THEN 1 ELSE 0 END) END")
+            f"AND day({a}) < day({b})) THEN 1 ELSE 0 END) END AS INTEGER)")
 
 
 @query("a33_mean_age", sql=f"""

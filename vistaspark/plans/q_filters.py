@@ -46,7 +46,7 @@ def f3(t):
 
 @query("f4_derive_finance", sql=f"""
 {with_roles('cargos')}
-SELECT *, month(fecha) AS mes, year(fecha) AS anio,
+SELECT *, CAST(month(fecha) AS INTEGER) AS mes, CAST(year(fecha) AS INTEGER) AS anio,
        CASE WHEN precio = 0 THEN NULL ELSE subtotal / precio END AS margen,
        CASE WHEN cantidad = 0 THEN NULL ELSE subtotal / cantidad END AS precio_unitario
 FROM cargos
@@ -145,7 +145,7 @@ def f12(t):
 
 @query("f13_overdue", sql=f"""
 {with_roles('cargos')}
-SELECT *, date_diff('day', fecha, DATE '{AS_OF_ORDERS}') AS dias FROM cargos
+SELECT *, CAST(date_diff('day', fecha, DATE '{AS_OF_ORDERS}') AS INTEGER) AS dias FROM cargos
 WHERE upper(trim(estado)) = 'PENDIENTE' AND date_diff('day', fecha, DATE '{AS_OF_ORDERS}') > 7
 """)
 def f13(t):

@@ -199,7 +199,7 @@ def m12(t):
 @query("m13_simple_fit", sql=f"""
 {with_roles('cargos')}
 SELECT {r6('regr_intercept(subtotal, cantidad)')} AS b0, {r6('regr_slope(subtotal, cantidad)')} AS b1,
-       {r6('regr_r2(subtotal, cantidad)')} AS r2, regr_count(subtotal, cantidad) AS n
+       {r6('regr_r2(subtotal, cantidad)')} AS r2, CAST(regr_count(subtotal, cantidad) AS BIGINT) AS n
 FROM cargos
 """)
 def m13(t):
@@ -210,7 +210,7 @@ def m13(t):
 {FEAT_ROLES}, {FEATURES_SQL},
 f AS (SELECT * FROM feat WHERE edad IS NOT NULL AND edad >= 0),
 a AS (SELECT regr_slope(monto, edad) AS b1, regr_intercept(monto, edad) AS b0, regr_r2(monto, edad) AS r2,
-             var_pop(monto) AS v, regr_count(monto, edad) AS n FROM f)
+             var_pop(monto) AS v, CAST(regr_count(monto, edad) AS BIGINT) AS n FROM f)
 SELECT {rsig('b0')} AS b0, {rsig('b1')} AS b1, {r6('r2')} AS r2, {rsig('v')} AS mse_naive,
        {rsig('(1 - r2) * v')} AS mse_modelo,
        {r6('(v - (1 - r2) * v) / NULLIF(v, 0) * 100')} AS mejora_pct, n FROM a

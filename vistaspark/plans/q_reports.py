@@ -261,8 +261,8 @@ dm AS (SELECT m.id_atencion, string_agg(c.numero, ', ' ORDER BY c.numero) AS med
        FROM (SELECT DISTINCT id_atencion, id_medico FROM cargos) m JOIN camas c ON m.id_medico = c.id_cama GROUP BY 1)
 SELECT bs.area, bs.id_cama, bs.numero, bs.estado_cama, bs.id_atencion_actual, a.Id_exp, a.fecha_ing,
        pa.nombre AS paciente, pa.edad, dm.medicos,
-       CASE WHEN date_diff('day', a.fecha_ing, DATE '2001-12-01') >= 0 THEN date_diff('day', a.fecha_ing, DATE '2001-12-01') END
-         AS dias_estancia
+       CAST(CASE WHEN date_diff('day', a.fecha_ing, DATE '2001-12-01') >= 0 THEN date_diff('day', a.fecha_ing, DATE '2001-12-01') END
+         AS INTEGER) AS dias_estancia
 FROM bs LEFT JOIN atencion a ON bs.id_atencion_actual = a.id_atencion LEFT JOIN pa ON a.Id_exp = pa.Id_exp
 LEFT JOIN dm ON bs.id_atencion_actual = dm.id_atencion
 """)

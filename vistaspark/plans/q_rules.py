@@ -126,7 +126,7 @@ LAB_LIMITS = {"click": (100.0, 126.0), "view": (5.7, 6.5), "signup": (100.0, 126
 @query("r2_threshold_risk", sql=f"""
 {with_roles('signos')},
 m AS (SELECT id_usuario AS Id_exp, signo AS prueba, MAX(valor) AS valor_max FROM signos GROUP BY 1, 2),
-l AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {m}, {h})" for k, (m, h) in LAB_LIMITS.items())})
+l AS (SELECT * FROM (VALUES {', '.join(f"('{k}', CAST({m} AS DOUBLE), CAST({h} AS DOUBLE))" for k, (m, h) in LAB_LIMITS.items())})
       AS v(prueba, limite_medio, limite_alto))
 SELECT m.prueba, m.Id_exp, m.valor_max, l.limite_medio, l.limite_alto,
        CASE WHEN valor_max >= limite_alto THEN 'ALTO' WHEN valor_max >= limite_medio THEN 'MEDIO' ELSE 'BAJO' END AS nivel

@@ -127,7 +127,7 @@ def t6(t):
 @query("t7_days_between", sql=f"""
 {with_roles('cargos', 'atencion')}
 SELECT d.id_atencion, d.linea,
-       CASE WHEN date_diff('day', a.fecha_ing, d.fecha) >= 0 THEN date_diff('day', a.fecha_ing, d.fecha) END AS dias
+       CAST(CASE WHEN date_diff('day', a.fecha_ing, d.fecha) >= 0 THEN date_diff('day', a.fecha_ing, d.fecha) END AS INTEGER) AS dias
 FROM cargos d JOIN atencion a USING (id_atencion)
 """)
 def t7(t):
