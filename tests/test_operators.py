@@ -264,3 +264,22 @@ def test_regression_metrics_exact(spark):
     pred = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "label double, prediction double")
     r = MM.regression_metrics(pred).first()
     assert r.mae == pytest.approx(1 / 3, abs=1e-6) and r.r2 == pytest.approx(0.75, abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def test_ranked_quantiles_equal_exact_percentile(spark, n):
+    rng = np.random.default_rng(n)
+    vals = [(float(v),) for v in rng.integers(0, 20, size=n)] + [(None,)]
+    df = spark.createDataFrame(vals, "x double").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    ranked = A.ranked_quantiles(df, "x", probs).first().q
+    exact = df.select(F.percentile("x", probs)).first()[0]
+    assert ranked == pytest.approx(exact, abs=1e-9)
+
+
+def test_window_group_limit_before_shuffle(spark):
+    from vistaspark.sources.sinks import retain_latest
+
+    df = spark.range(0, 1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("ts"), F.col("id").alias("k"))
+    plan = retain_latest(df, "g", "ts", "k", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
 from ..functions.text import contains_any, fold
-from ._common import as_list, col_of, money_sum, r6
+from ._common import as_list, col_of, dense_index, money_sum, r6
 
 
 # ---------------------------------------------------------------- A1-A3 finance aggregates
@@ -331,24 +331,56 @@ def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
     ).withColumn("porcentaje", pct("alertas", "validos"))
 
 
-def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | None = None) -> DataFrame:
+def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``), by distributed ranking.
+
+    The values are range-partitioned and numbered (:func:`dense_index`), the ranks around each
+    position (n - 1) * p are picked with one conditional aggregate, and the two neighbours are
+    interpolated. Nothing is merged in one task, so it holds for any number of distinct values.
+    Returns one row with an array ``q`` of the quantiles (null on empty input).
+    """
+    vals = df.select(F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    n = vals.select(F.count(F.lit(1))).scalar()
+    ranked = dense_index(vals, ["_x"], start=0, index_name="_i")
+    picks = []
+    for j, p in enumerate(probs):
+        h = (n - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        picks += [F.max(F.when(F.col("_i") == lo, F.col("_x"))).alias(f"_lo{j}"),
+                  F.max(F.when(F.col("_i") == hi, F.col("_x"))).alias(f"_hi{j}")]
+    row = ranked.agg(*picks)
+    qs = []
+    for j, p in enumerate(probs):
+        h = (n - 1) * F.lit(float(p))
+        lo_v, hi_v = F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        qs.append(lo_v + (h - F.floor(h)) * (hi_v - lo_v))
+    return row.select(F.array(*qs).alias("q"))
+
+
+def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | None = None,
+                method: str = "exact") -> DataFrame:
     """Quartiles (linear interpolation), IQR, upper fence and rows above it.
 
-    Exact ``percentile`` by default; pass ``approx_accuracy`` for bounded memory at scale.
+    ``method="exact"``: Spark's ``percentile`` (a value -> count map merged in one task: fine
+    when distinct values are bounded, e.g. money in cents). ``method="rank"``: exact by
+    distributed ranking (:func:`ranked_quantiles`), for unbounded value domains.
+    ``approx_accuracy``: ``percentile_approx`` with bounded memory.
     """
-    q = (F.percentile(c, [0.25, 0.5, 0.75]) if approx_accuracy is None
-         else F.percentile_approx(c, [0.25, 0.5, 0.75], approx_accuracy).cast("array<double>"))
-    qs = df.agg(q.alias("q")).scalar()  # one scalar subquery, referenced three times
+    if approx_accuracy is not None:
+        qs = df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], approx_accuracy).cast("array<double>").alias("q")).scalar()
+    elif method == "rank":
+        qs = ranked_quantiles(df, c, [0.25, 0.5, 0.75]).scalar()
+    else:
+        qs = df.agg(F.percentile(c, [0.25, 0.5, 0.75]).alias("q")).scalar()  # one scalar subquery
     q1, q2, q3 = qs[0], qs[1], qs[2]
     fence = q3 + F.lit(k) * (q3 - q1)
-    return df.agg(
-        F.count(c).alias("n"),
-        r6(q1).alias("q1"),
-        r6(q2).alias("mediana"),
-        r6(q3).alias("q3"),
-        r6(q3 - q1).alias("iqr"),
-        r6(fence).alias("limite_superior"),
-        F.count_if(F.col(c) > fence).alias("atipicos"),
+    # every output is a scalar of one pass; the row is assembled in a projection (the ranked
+    # quantiles are not usable inside an aggregate: their numbering uses the partition id)
+    n = df.select(F.count(c)).scalar()
+    above = df.filter(F.col(c) > fence).select(F.count(F.lit(1))).scalar()
+    return df.sparkSession.range(1).select(
+        n.alias("n"), r6(q1).alias("q1"), r6(q2).alias("mediana"), r6(q3).alias("q3"), r6(q3 - q1).alias("iqr"),
+        r6(fence).alias("limite_superior"), above.alias("atipicos"),
     )
 
 

@@ -149,19 +149,33 @@ def stock_risk(stock, sales, hi_stock: float = 10, hi_sales: float = 100, mid_st
     return F.when((s < hi_stock) & (v > hi_sales), "Alto").when(s < mid_stock, "Medio").otherwise("Bajo")
 
 
-def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """nulls -> exact column median (one scalar subquery for all columns)."""
-    med = df.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in cols])).scalar()
+def impute_median(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
+    """nulls -> exact column median. ``method="exact"``: Spark's ``percentile`` (one
+    scalar subquery for all columns); ``method="rank"``: distributed ranking per column."""
+    if method == "rank":
+        from .aggregates import ranked_quantiles
+
+        meds = {c: ranked_quantiles(df, c, [0.5]).scalar()[0] for c in cols}
+    else:
+        med = df.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in cols])).scalar()
+        meds = {c: med[c] for c in cols}
     out = df
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), med[c]))
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), meds[c]))
     return out
 
 
-def label_by(df: DataFrame, c: str, threshold: float | str = "median", name: str = "etiqueta") -> DataFrame:
-    """F16: binary label: ``c >= median`` (exact), or ``c > threshold`` for a fixed number."""
+def label_by(df: DataFrame, c: str, threshold: float | str = "median", name: str = "etiqueta",
+             method: str = "exact") -> DataFrame:
+    """F16: binary label: ``c >= median`` (exact; ``method="rank"`` ranks distributedly), or
+    ``c > threshold`` for a fixed number."""
     if threshold == "median":
-        m = df.select(F.percentile(c, 0.5)).scalar()
+        if method == "rank":
+            from .aggregates import ranked_quantiles
+
+            m = ranked_quantiles(df, c, [0.5]).scalar()[0]
+        else:
+            m = df.select(F.percentile(c, 0.5)).scalar()
         return df.withColumn(name, F.when(F.col(c) >= m, 1).otherwise(0))
     return df.withColumn(name, F.when(F.col(c) > F.lit(threshold), 1).otherwise(0))
 

@@ -395,7 +395,7 @@ SELECT COUNT(subtotal) AS n, {r6('ANY_VALUE(q1)')} AS q1, {r6('ANY_VALUE(q2)')}
 FROM cargos, q
 """)
 def a30(t):
-    return A.iqr_summary(t.cargos, "subtotal")
+    return A.iqr_summary(t.cargos, "subtotal", method="rank")
 
 
 @query("a31_histogram", sql=f"""

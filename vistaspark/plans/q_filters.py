@@ -178,7 +178,7 @@ def f14(t):
 SELECT id_catalogo, tamano, COALESCE(CAST(ventas AS DOUBLE), (SELECT quantile_cont(ventas, 0.5) FROM s)) AS ventas FROM s
 """)
 def f15(t):
-    return FL.impute_median(sales_per_part(t), ["ventas"])
+    return FL.impute_median(sales_per_part(t), ["ventas"], method="rank")
 
 
 @query("f16_label_by", sql=f"""
@@ -188,7 +188,7 @@ SELECT id_atencion, linea, subtotal,
 FROM cargos
 """)
 def f16(t):
-    return FL.label_by(t.cargos.select("id_atencion", "linea", "subtotal"), "subtotal", "median")
+    return FL.label_by(t.cargos.select("id_atencion", "linea", "subtotal"), "subtotal", "median", method="rank")
 
 
 @query("f16_label_fixed", sql=f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,7 +10,9 @@ from pyspark.sql import SparkSession
 def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vistaspark") -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
-    On a cluster the session comes from the launcher; this is only for local runs.
+    On a cluster the session comes from the launcher; this is only for local runs. The
+    checkpoint folder is whatever the environment names (``spark.checkpoint.dir``); only when
+    nothing does is a scratch folder chosen (see :func:`checkpoint_dir`).
     """
     builder = (
         SparkSession.builder.master(master)
@@ -25,11 +26,6 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vis
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
-    if not os.environ.get("SPARK_CHECKPOINT_DIR_SET"):
-        # local runs only: a fresh scratch folder of our own (clusters name a shared one)
-        builder = builder.config(
-            "spark.checkpoint.dir", tempfile.mkdtemp(prefix="vistaspark-ckpt-", dir="/tmp")
-        )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -42,9 +38,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the launcher sets it to shared storage and we only read it. When it is
     unset (a bare local session) a scratch folder is used, which is only valid locally.
     """
-    conf = spark.sparkContext.getConf()
-    current = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="vistaspark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
+        return current
+    existing = sc.getCheckpointDir()  # a folder already chosen for this context
+    if existing:
+        return existing
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="vistaspark-ckpt-", dir="/tmp"))
+    return sc.getCheckpointDir()
