@@ -341,17 +341,16 @@ def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame
     """
     vals = df.select(F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     n = vals.select(F.count(F.lit(1))).scalar()
-    ranked = dense_index(vals, ["_x"], start=0, index_name="_i")
-    picks = []
+    ranked = dense_index(vals, ["_x"], start=0, index_name="_i").withColumn("_n", n)
+    picks = [F.first("_n").alias("_n")]
     for j, p in enumerate(probs):
-        h = (n - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        picks += [F.max(F.when(F.col("_i") == lo, F.col("_x"))).alias(f"_lo{j}"),
-                  F.max(F.when(F.col("_i") == hi, F.col("_x"))).alias(f"_hi{j}")]
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        picks += [F.max(F.when(F.col("_i") == F.floor(h), F.col("_x"))).alias(f"_lo{j}"),
+                  F.max(F.when(F.col("_i") == F.ceil(h), F.col("_x"))).alias(f"_hi{j}")]
     row = ranked.agg(*picks)
     qs = []
     for j, p in enumerate(probs):
-        h = (n - 1) * F.lit(float(p))
+        h = (F.col("_n") - 1) * F.lit(float(p))
         lo_v, hi_v = F.col(f"_lo{j}"), F.col(f"_hi{j}")
         qs.append(lo_v + (h - F.floor(h)) * (hi_v - lo_v))
     return row.select(F.array(*qs).alias("q"))
@@ -366,19 +365,22 @@ def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | No
     distributed ranking (:func:`ranked_quantiles`), for unbounded value domains.
     ``approx_accuracy``: ``percentile_approx`` with bounded memory.
     """
+    probs = [0.25, 0.5, 0.75]
     if approx_accuracy is not None:
-        qs = df.agg(F.percentile_approx(c, [0.25, 0.5, 0.75], approx_accuracy).cast("array<double>").alias("q")).scalar()
+        qrow = df.agg(F.percentile_approx(c, probs, approx_accuracy).cast("array<double>").alias("q"))
     elif method == "rank":
-        qs = ranked_quantiles(df, c, [0.25, 0.5, 0.75]).scalar()
+        qrow = ranked_quantiles(df, c, probs)
     else:
-        qs = df.agg(F.percentile(c, [0.25, 0.5, 0.75]).alias("q")).scalar()  # one scalar subquery
-    q1, q2, q3 = qs[0], qs[1], qs[2]
+        qrow = df.agg(F.percentile(c, probs).alias("q"))
+    q1, q2, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
     fence = q3 + F.lit(k) * (q3 - q1)
-    # every output is a scalar of one pass; the row is assembled in a projection (the ranked
-    # quantiles are not usable inside an aggregate: their numbering uses the partition id)
+    # the quartiles are columns of the one-row frame; the fence reaches the second pass as one
+    # scalar subquery (ranked quantiles are not usable inside an aggregate: their numbering
+    # uses the partition id)
+    fence_s = qrow.select(fence).scalar()
     n = df.select(F.count(c)).scalar()
-    above = df.filter(F.col(c) > fence).select(F.count(F.lit(1))).scalar()
-    return df.sparkSession.range(1).select(
+    above = df.filter(F.col(c) > fence_s).select(F.count(F.lit(1))).scalar()
+    return qrow.select(
         n.alias("n"), r6(q1).alias("q1"), r6(q2).alias("mediana"), r6(q3).alias("q3"), r6(q3 - q1).alias("iqr"),
         r6(fence).alias("limite_superior"), above.alias("atipicos"),
     )
