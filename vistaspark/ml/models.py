@@ -196,16 +196,19 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, vec: str, label: s
                                  "rl": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
         Q = np.stack(q["qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         R = np.stack(r["rv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        rid = r["rid"].to_numpy()
-        rl = r["rl"].to_numpy()
+        rid, rl, qid = r["rid"].to_numpy(), r["rl"].to_numpy(), q["qid"].to_numpy()
         m = min(kk, len(r))
-        out = []
-        for i in range(len(q)):
-            diff = R - Q[i]
-            d2 = np.einsum("ij,ij->i", diff, diff)  # exact squared distances to this block
-            order = np.lexsort((rid, d2))[:m]
-            out.append(pd.DataFrame({"qid": int(q["qid"].iat[i]), "rid": rid[order], "rl": rl[order], "d2": d2[order]}))
-        return pd.concat(out, ignore_index=True)
+        # exact squared distances, a chunk of queries at a time (bounded memory per task)
+        step = max(1, int(2_000_000 // max(1, R.shape[0] * R.shape[1])))
+        parts = []
+        for s0 in range(0, len(Q), step):
+            diff = Q[s0:s0 + step, None, :] - R[None, :, :]
+            d2 = np.einsum("ijk,ijk->ij", diff, diff)
+            order = np.lexsort((np.broadcast_to(rid, d2.shape), d2), axis=1)[:, :m]  # by distance, then id
+            rows = np.arange(d2.shape[0])[:, None]
+            parts.append(pd.DataFrame({"qid": np.repeat(qid[s0:s0 + step], m), "rid": rid[order].ravel(),
+                                       "rl": rl[order].ravel(), "d2": d2[rows, order].ravel()}))
+        return pd.concat(parts, ignore_index=True)
 
     cands = te_rep.groupBy("tb", "rb").cogroup(tr_rep.groupBy("tb", "rb")).applyInPandas(
         block_topk, "qid long, rid long, rl long, d2 double")
