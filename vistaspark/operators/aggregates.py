@@ -339,9 +339,12 @@ def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame
     interpolated. Nothing is merged in one task, so it holds for any number of distinct values.
     Returns one row with an array ``q`` of the quantiles (null on empty input).
     """
-    vals = df.select(F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    # a row id breaks ties, so even a value held by a third of the rows is spread over many
+    # range partitions (equal sort keys could not be split)
+    vals = (df.select(F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+            .withColumn("_t", F.monotonically_increasing_id()))
     n = vals.select(F.count(F.lit(1))).scalar()
-    ranked = dense_index(vals, ["_x"], start=0, index_name="_i").withColumn("_n", n)
+    ranked = dense_index(vals, ["_x", "_t"], start=0, index_name="_i").withColumn("_n", n)
     picks = [F.first("_n").alias("_n")]
     for j, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))

@@ -70,6 +70,12 @@ def assign_ids(df: DataFrame, current_max: Column, order: Sequence, name: str =
     return dense_index(df, order, start=current_max + 1, index_name=name)
 
 
+def append_log(df: DataFrame, path: str, batch_id: int) -> None:
+    """Append audit rows (filtered beforehand, F17) to the log table, one folder per batch:
+    a retried or replayed batch overwrites its own folder instead of appending twice."""
+    df.write.mode("overwrite").parquet(f"{path}/lote={batch_id}")
+
+
 def repair_dates(df: DataFrame, cols: Sequence[str], as_date: bool = True) -> DataFrame:
     """Re-type text dates in the listed columns (T5 layouts); unparseable -> null."""
     from ..functions.dates import parse_ts

@@ -166,14 +166,10 @@ WHERE NOT COALESCE(starts_with(signo, 'view'), FALSE) AND fecha > TIMESTAMP '202
 def b6(t):
     path = S.scratch_path(t.spark, "logs")
     logs = drop_prefixes(t.signos.select("id_signo", "fecha", "id_usuario", "signo"), "signo", ["view"])
-    B_append_log(logs, path)
-    B_append_log(S.changed_since(logs, "fecha", "2024-01-20 00:00:00"), path)  # a second batch appended
-    return t.spark.read.parquet(path)
-
-
-def B_append_log(df, path):
-    """Append audit rows (already filtered by F17) to the log table."""
-    df.write.mode("append").parquet(path)
+    B.append_log(logs, path, 1)
+    B.append_log(S.changed_since(logs, "fecha", "2024-01-20 00:00:00"), path, 2)  # a second batch
+    B.append_log(S.changed_since(logs, "fecha", "2024-01-20 00:00:00"), path, 2)  # replayed: no duplicates
+    return t.spark.read.parquet(path).drop("lote")
 
 
 @query("b7_repair_dates", sql=f"""
