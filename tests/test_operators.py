@@ -283,3 +283,15 @@ def test_window_group_limit_before_shuffle(spark):
     df = spark.range(0, 1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("ts"), F.col("id").alias("k"))
     plan = retain_latest(df, "g", "ts", "k", 4)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_grouped_ranked_quantiles_with_hot_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in rng.integers(0, 50, size=300)] + [("b", 1.0), ("b", 4.0), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r.g: r.q for r in A.ranked_quantiles(df, "x", probs, by=["g"]).collect()}
+    exp = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()}
+    assert got.keys() == exp.keys()
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], abs=1e-9)

@@ -331,32 +331,38 @@ def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
     ).withColumn("porcentaje", pct("alertas", "validos"))
 
 
-def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame:
+def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile``), by distributed ranking.
 
-    The values are range-partitioned and numbered (:func:`dense_index`), the ranks around each
-    position (n - 1) * p are picked with one conditional aggregate, and the two neighbours are
-    interpolated. Nothing is merged in one task, so it holds for any number of distinct values.
-    Returns one row with an array ``q`` of the quantiles (null on empty input).
+    Rows are range-partitioned on (group, value, row id) and numbered (:func:`dense_index`);
+    a group's local rank is its global rank minus the group's first rank (one partial
+    aggregate per group). The ranks around each position (n - 1) * p are picked with one
+    conditional aggregate and interpolated. The row id breaks ties, so a group or a value
+    holding a third of the rows is still spread over many range partitions, and nothing is
+    merged in one task. Returns one row per group with an array ``q`` (one row, no groups,
+    when ``by`` is empty; null quantiles on empty input).
     """
-    # a row id breaks ties, so even a value held by a third of the rows is spread over many
-    # range partitions (equal sort keys could not be split)
-    vals = (df.select(F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    by = list(by)
+    vals = (df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
             .withColumn("_t", F.monotonically_increasing_id()))
-    n = vals.select(F.count(F.lit(1))).scalar()
-    ranked = dense_index(vals, ["_x", "_t"], start=0, index_name="_i").withColumn("_n", n)
+    ranked = dense_index(vals, [*by, "_x", "_t"], start=0, index_name="_i")
+    if by:
+        starts = ranked.groupBy(*by).agg(F.min("_i").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        ranked = ranked.join(starts, by).withColumn("_i", F.col("_i") - F.col("_s"))
+    else:
+        ranked = ranked.withColumn("_n", vals.select(F.count(F.lit(1))).scalar())
     picks = [F.first("_n").alias("_n")]
     for j, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
         picks += [F.max(F.when(F.col("_i") == F.floor(h), F.col("_x"))).alias(f"_lo{j}"),
                   F.max(F.when(F.col("_i") == F.ceil(h), F.col("_x"))).alias(f"_hi{j}")]
-    row = ranked.agg(*picks)
+    row = ranked.groupBy(*by).agg(*picks)
     qs = []
     for j, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
         lo_v, hi_v = F.col(f"_lo{j}"), F.col(f"_hi{j}")
         qs.append(lo_v + (h - F.floor(h)) * (hi_v - lo_v))
-    return row.select(F.array(*qs).alias("q"))
+    return row.select(*by, F.array(*qs).alias("q"))
 
 
 def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | None = None,
@@ -412,10 +418,18 @@ def histogram(df: DataFrame, c: str, k: int | None = None) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, key: str, c: str) -> DataFrame:
-    """Five-number summary per group (exact percentiles)."""
-    q = F.percentile(c, [0.0, 0.25, 0.5, 0.75, 1.0])
-    return df.groupBy(key).agg(q.alias("_q"), F.count(c).alias("n")).select(
+def box_stats(df: DataFrame, key: str, c: str, method: str = "exact") -> DataFrame:
+    """Five-number summary per group (exact percentiles). ``method="rank"`` ranks within
+    groups distributedly (:func:`ranked_quantiles`) instead of merging each group's value map
+    in one task."""
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    if method == "rank":
+        counts = df.groupBy(key).agg(F.count(c).alias("n"))
+        qd = ranked_quantiles(df, c, probs, by=[key]).withColumnRenamed("q", "_q")
+        j = counts.join(qd, key, "left")
+    else:
+        j = df.groupBy(key).agg(F.percentile(c, probs).alias("_q"), F.count(c).alias("n"))
+    return j.select(
         key, "n",
         r6(F.col("_q")[0]).alias("minimo"), r6(F.col("_q")[1]).alias("q1"), r6(F.col("_q")[2]).alias("mediana"),
         r6(F.col("_q")[3]).alias("q3"), r6(F.col("_q")[4]).alias("maximo"),
@@ -432,16 +446,19 @@ def kpis(spark, metrics: Mapping[str, Column]) -> DataFrame:
     return spark.range(1).select(*[v.alias(k) for k, v in metrics.items()])
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles, max per column, as rows (exact quartiles)."""
+def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
+    """Count, mean, std, min, quartiles, max per column, as rows (exact quartiles;
+    ``method="rank"`` takes them from :func:`ranked_quantiles`)."""
     aggs = []
     for c in cols:
         aggs += [
             F.count(c).alias(f"{c}__count"), r6(F.avg(c)).alias(f"{c}__mean"),
             r6(F.stddev_samp(c)).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-            F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max"),
-        ]
+            F.max(c).cast("double").alias(f"{c}__max"),
+        ] + ([] if method == "rank" else [F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q")])
     wide = df.agg(*aggs)
+    if method == "rank":  # quartiles join the one-row aggregate as projected scalars
+        wide = wide.select("*", *[ranked_quantiles(df, c, [0.25, 0.5, 0.75]).scalar().alias(f"{c}__q") for c in cols])
     rows = ", ".join(
         f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, round(`{c}__q`[0], 6), "
         f"round(`{c}__q`[1], 6), round(`{c}__q`[2], 6), `{c}__max`"

@@ -423,7 +423,7 @@ SELECT tipo, COUNT(subtotal) AS n, {r6('quantile_cont(subtotal, 0.0)')} AS minim
 FROM cargos GROUP BY tipo
 """)
 def a32(t):
-    return A.box_stats(t.cargos, "tipo", "subtotal")
+    return A.box_stats(t.cargos, "tipo", "subtotal", method="rank")
 
 
 def birth_dates(t):
@@ -493,7 +493,7 @@ def _describe_sql() -> str:
 {_describe_sql()}
 """)
 def a35(t):
-    return A.describe(t.cargos, CORR_COLS)
+    return A.describe(t.cargos, CORR_COLS, method="rank")
 
 
 @query("a36_argmax_rows", sql=f"""
