@@ -295,3 +295,14 @@ def test_grouped_ranked_quantiles_with_hot_group(spark):
     assert got.keys() == exp.keys()
     for g in exp:
         assert got[g] == pytest.approx(exp[g], abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["finance", "clinical", "unsupervised"])
+def test_batch_analyses_write_every_section(spark, name):
+    from vistaspark.plans.analyses import ANALYSES, run_analysis
+
+    out = S.scratch_path(spark, f"analysis-{name}")
+    written = run_analysis(spark, name, "/root/testdata/sf0.001", out, "t1")
+    assert len(written) >= 5
+    back = spark.read.json(f"{out}/{name}/run_id=t1")
+    assert sorted(r.section for r in back.select("section").distinct().collect()) == sorted(written)

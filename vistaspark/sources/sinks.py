@@ -26,9 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_results(df: DataFrame, path: str, run_id: str, section: str, fmt: str = "json") -> None:
-    """One result table per analysis phase, partitioned by section (overwrite per run)."""
+    """One result table per analysis phase, partitioned by section. Dynamic partition
+    overwrite replaces only this section of this run, so phases can be written one by one and
+    a rerun of a phase rewrites it instead of duplicating it."""
     (df.withColumn("run_id", F.lit(run_id)).withColumn("section", F.lit(section))
-     .write.mode("overwrite").partitionBy("section").format(fmt).save(f"{path}/run_id={run_id}"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("section")
+     .format(fmt).save(f"{path}/run_id={run_id}"))
 
 
 def write_extract(df: DataFrame, where: Column | str, path: str, fmt: str = "csv") -> None:
