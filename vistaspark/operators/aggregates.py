@@ -381,11 +381,13 @@ def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | No
         qrow = ranked_quantiles(df, c, probs)
     else:
         qrow = df.agg(F.percentile(c, probs).alias("q"))
+    # with method="rank" the ranking runs twice (for the output row and for the fence of the
+    # second pass): it contains the partition id, so Spark does not reuse it, and caching would
+    # let later queries read a stale result
     q1, q2, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
     fence = q3 + F.lit(k) * (q3 - q1)
     # the quartiles are columns of the one-row frame; the fence reaches the second pass as one
-    # scalar subquery (ranked quantiles are not usable inside an aggregate: their numbering
-    # uses the partition id)
+    # scalar subquery (ranked quantiles are not usable inside an aggregate)
     fence_s = qrow.select(fence).scalar()
     n = df.select(F.count(c)).scalar()
     above = df.filter(F.col(c) > fence_s).select(F.count(F.lit(1))).scalar()

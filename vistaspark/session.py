@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vistaspark") -> SparkSession:
+def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vistaspark",
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
     On a cluster the session comes from the launcher; this is only for local runs. The
@@ -26,6 +27,8 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vis
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
