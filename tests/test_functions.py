@@ -108,3 +108,20 @@ def test_zip_items_pads_and_drops_blank_names(spark):
     df = spark.createDataFrame([(["ibuprofeno", " ", "paracetamol"], ["400mg"])], "n array<string>, d array<string>")
     out = df.select(F.explode(AR.zip_items({"medicamento": "n", "dosis": "d"})).alias("z")).select("z.*").collect()
     assert [tuple(r) for r in out] == [("ibuprofeno", "400mg"), ("paracetamol", "")]
+
+
+def test_clinical_exam_profiles_fold_accents(spark):
+    out = one(spark, TX.classify("x"), [("Tonometría de aplanación",), ("OCT macular",), ("Paquimetría",),
+                                        ("Biometría ocular",), ("Agudeza visual",), ("Biometría hemática",), ("Rayos X",)])
+    assert out == ["Glaucoma", "Retina y macula", "Cornea", "Catarata", "Vision y refraccion", "Catarata", "Otros estudios"]
+    hit = TX.contains_any(TX.fold("x"), TX.OCULAR_KEYWORDS)
+    assert one(spark, hit, [("Campimetría",), ("Rayos X",)]) == [True, False]
+
+
+def test_lab_threshold_levels(spark):
+    from vistaspark.operators.rules import threshold_risk
+
+    labs = spark.createDataFrame([(1, "Glucosa", 99.0), (1, "Glucosa", 110.0), (2, "Glucosa", 130.0),
+                                  (3, "Hemoglobina Glicosilada", 5.0)], "Id_exp long, prueba string, valor double")
+    out = {(r.Id_exp, r.prueba): r.nivel for r in threshold_risk(labs).collect()}
+    assert out == {(1, "Glucosa"): "MEDIO", (2, "Glucosa"): "ALTO", (3, "Hemoglobina Glicosilada"): "BAJO"}

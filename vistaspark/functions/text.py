@@ -31,6 +31,21 @@ def _fold_table(lo: int = 0x00C0, hi: int = 0x024F) -> tuple[str, str, str]:
 
 _FOLD_FROM, _FOLD_TO, _FOLD_GONE = _fold_table()
 
+# Keywords that mark an ocular exam, and the exam-profile rules in priority
+# order (first match wins; anything else is "Otros estudios").
+OCULAR_KEYWORDS = ("OJO", "OCULAR", "OFTALMO", "OPTICO", "OPTICA", "RETINA", "MACULA", "OCT", "FONDO", "GLAUCOMA",
+                   "TONOMETRIA", "CAMPIMETRIA", "CORNEA", "PAQUIMETRIA", "TOPOGRAFIA", "ANGIOGRAFIA", "CATARATA",
+                   "CRISTALINO", "REFRACCION", "AGUDEZA", "BIOMETRIA")
+EXAM_PROFILE_RULES = (
+    ("Retina y macula", ("RETINA", "MACULA", "OCT", "FONDO", "ANGIOGRAFIA")),
+    ("Glaucoma", ("GLAUCOMA", "TONOMETRIA", "CAMPIMETRIA", "PRESION")),
+    ("Cornea", ("CORNEA", "PAQUIMETRIA", "TOPOGRAFIA")),
+    ("Catarata", ("CATARATA", "CRISTALINO", "BIOMETRIA")),
+    ("Vision y refraccion", ("REFRACCION", "AGUDEZA", "OPTICA")),
+)
+EXAM_PROFILE_DEFAULT = "Otros estudios"
+
+
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
@@ -53,7 +68,8 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return cond
 
 
-def classify(c, rules: Sequence[tuple[str, Sequence[str]]], default: str, folded: bool = False) -> Column:
+def classify(c, rules: Sequence[tuple[str, Sequence[str]]] = EXAM_PROFILE_RULES, default: str = EXAM_PROFILE_DEFAULT,
+             folded: bool = False) -> Column:
     """First rule whose keyword occurs in the folded text wins (priority = list order)."""
     text = col_of(c) if folded else fold(c)
     out = None

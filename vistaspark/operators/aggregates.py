@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
-from ..functions.text import contains_any, fold
+from ..functions.text import OCULAR_KEYWORDS, contains_any, fold
 from ._common import as_list, col_of, dense_index, money_sum, r6
 
 
@@ -283,7 +283,7 @@ def rank_items(df: DataFrame, item: str, match: Column, n: int = 7) -> DataFrame
     return ranked_match.withColumn("coincide", F.lit(True)).unionByName(ranked_all.withColumn("coincide", F.lit(False)))
 
 
-def patients_with(df: DataFrame, patient: str, text_cols: Sequence[str], words: Sequence[str]) -> DataFrame:
+def patients_with(df: DataFrame, patient: str, text_cols: Sequence[str], words: Sequence[str] = OCULAR_KEYWORDS) -> DataFrame:
     """Distinct patients and rows with a keyword hit in any of the text columns."""
     hit = F.lit(False)
     for c in text_cols:

@@ -198,7 +198,13 @@ def relapse_summary(risk: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R2-R5
-def threshold_risk(labs: DataFrame, limits: Mapping[str, tuple[float, float]], patient: str = "Id_exp",
+# Lab limits (medium, high) per test: glucose pre-diabetic 100 / diabetic 126,
+# HbA1c 5.7 / 6.5, blood chemistry 100 / 126, lipid profile 200 / 200 (normal < 200, high > 200).
+LAB_LIMITS = {"Glucosa": (100.0, 126.0), "Hemoglobina Glicosilada": (5.7, 6.5), "Química Sanguínea": (100.0, 126.0),
+              "Perfil Lipídico": (200.0, 200.0)}
+
+
+def threshold_risk(labs: DataFrame, limits: Mapping[str, tuple[float, float]] = LAB_LIMITS, patient: str = "Id_exp",
                    test: str = "prueba", value: str = "valor") -> DataFrame:
     """R2: per patient and test: max value and level (>= high limit ALTO, >= medium MEDIO,
     else BAJO). The high/medium reading of the limits is ours (only outputs survive)."""
