@@ -306,3 +306,38 @@ def test_batch_analyses_write_every_section(spark, name):
     assert len(written) >= 5
     back = spark.read.json(f"{out}/{name}/run_id=t1")
     assert sorted(r.section for r in back.select("section").distinct().collect()) == sorted(written)
+
+
+def test_band_edges(spark):
+    df = spark.createDataFrame([(99.99,), (100.0,), (299.99,), (300.0,), (None,)], "p double")
+    assert [r[0] for r in df.select(FL.band("p")).collect()] == ["Bajo", "Medio", "Medio", "Alto", None]
+    amounts = spark.createDataFrame([(0.0,), (100.0,), (499.99,), (500.0,), (1000.0,)], "x double")
+    out = {r.rango: r.n for r in FL.amount_distribution(amounts, "x").collect()}
+    assert out == {"0-100": 1, "100-500": 2, "500-1000": 1, "1000+": 1}
+
+
+def test_overdue_exactly_seven_days_is_not_overdue(spark):
+    df = spark.createDataFrame([("PENDIENTE", dt.date(2024, 1, 24)), ("pendiente", dt.date(2024, 1, 23)),
+                                ("REALIZADO", dt.date(2023, 1, 1))], "e string, d date")
+    out = [(r.e, r.dias) for r in FL.overdue(df, "e", "d", "2024-01-31", 7).collect()]
+    assert out == [("pendiente", 8)]
+
+
+def test_relapse_levels_at_exact_thresholds(spark):
+    # 4 points -> MEDIO, 8 points -> ALTO (thresholds are inclusive)
+    def patient(pid, exams):
+        return [(pid * 100 + i, cat, name, "REALIZADO", dt.date(2024, 1, 1)) for i, (cat, name) in enumerate(exams)]
+
+    # patient 10: 2 ocular exams (1) + retina 1 (1) + glaucoma 1 (1) + 2 systemic markers (1) = 4
+    # patient 20: 5 ocular exams (3) + retina 2 (2) + glaucoma 1 (1) + cornea 1 (1) + 2 systemic (1) = 8
+    det_rows = (patient(1, [(5, "a"), (3, "b"), (17, "x"), (18, "y")])
+                + patient(2, [(5, "a"), (7, "b"), (3, "c"), (9, "d"), (1, "e"), (17, "x"), (18, "y")]))
+    det = spark.createDataFrame([(r[0] // 100, r[1], r[2], r[3], r[4]) for r in det_rows],
+                                "id_examen long, id_catalogo long, nombre_examen string, estado string, fecha_realizado date")
+    hdr = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1)), (2, 2, dt.date(2024, 1, 1))],
+                                "id_examen long, id_atencion long, fecha date")
+    att = spark.createDataFrame([(1, 10), (2, 20)], "id_atencion long, Id_exp long")
+    dx = spark.createDataFrame([(1, "sano")], "id_atencion long, texto string")
+    out = {r.Id_exp: (r.score_recaida, r.nivel_riesgo_recaida) for r in
+           R.relapse_risk(det, hdr, att, dx, R.CLINICAL_RULES, "2024-02-01").collect()}
+    assert out == {10: (4, "MEDIO"), 20: (8, "ALTO")}
