@@ -341,3 +341,11 @@ def test_relapse_levels_at_exact_thresholds(spark):
     out = {r.Id_exp: (r.score_recaida, r.nivel_riesgo_recaida) for r in
            R.relapse_risk(det, hdr, att, dx, R.CLINICAL_RULES, "2024-02-01").collect()}
     assert out == {10: (4, "MEDIO"), 20: (8, "ALTO")}
+
+
+def test_duplicate_keys_fingerprint_equals_plain(spark):
+    rows = [(i, t) for i, t in enumerate(["a", "b", "a", "c", None, None, "b", "a", "d"])]
+    df = spark.createDataFrame(rows, "id long, t string")
+    plain = sorted(tuple(r) for r in A.duplicate_keys(df, "t", "id", fingerprint=False).collect())
+    fp = sorted(tuple(r) for r in A.duplicate_keys(df, "t", "id").collect())
+    assert fp == plain == [("a", 0, 3), ("a", 2, 3), ("a", 7, 3), ("b", 1, 2), ("b", 6, 2)]

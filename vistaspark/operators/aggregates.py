@@ -164,14 +164,23 @@ def pending_by_type(det: DataFrame, cat: DataFrame, key: str = "id_catalogo", ex
     return per.unionByName(total)
 
 
-def duplicate_keys(df: DataFrame, key: str, row_id: str) -> DataFrame:
+def duplicate_keys(df: DataFrame, key: str, row_id: str, fingerprint: bool = True) -> DataFrame:
     """Every row whose key occurs more than once, with the key's count.
 
-    Counts are a partial aggregate; the offending rows come back through a semi join,
-    one row each (a hot key never becomes one giant array).
+    Counts are a partial aggregate and the offending rows come back through a join, one row
+    each (a hot key never becomes one giant array). With ``fingerprint`` (for long keys such as
+    whole texts) the first shuffle carries only an 8-byte hash of the key; only rows whose hash
+    repeats are grouped by the key itself, so the answer stays exact (a hash collision never
+    merges different keys) while unique rows never ship their key across the network.
     """
-    dups = df.groupBy(key).agg(F.count(F.lit(1)).alias("veces")).filter("veces > 1")
-    return df.select(key, row_id).join(dups, key, "inner")
+    if not fingerprint:
+        dups = df.groupBy(key).agg(F.count(F.lit(1)).alias("veces")).filter("veces > 1")
+        return df.select(key, row_id).join(dups, key, "inner")
+    d = df.select(key, row_id, F.xxhash64(F.col(key)).alias("_h"))
+    repeated = d.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_h")
+    cand = d.join(repeated, "_h", "left_semi")
+    dups = cand.groupBy("_h", key).agg(F.count(F.lit(1)).alias("veces")).filter("veces > 1")
+    return cand.join(dups, ["_h", key], "inner").select(key, row_id, "veces")
 
 
 def max_key(df: DataFrame, key: str) -> DataFrame:
