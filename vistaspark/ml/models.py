@@ -19,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark import StorageLevel
 
 from .metrics import regression_metrics
@@ -322,5 +321,3 @@ def trial_grid(df: DataFrame, cols: Sequence[str], comps: Sequence[int], ks: Seq
     out = df.sparkSession.createDataFrame(rows, "componentes int, k int, silueta double, varianza double")
     return out.orderBy(F.desc("silueta"), "componentes", "k").limit(top)
 
-
-_ = (T,)

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_list, col_of, r6
+from ._common import as_list, col_of
 
 
 def clean_charges(df: DataFrame, qty: str = "cantidad", price: str = "precio", sub: str = "subtotal") -> DataFrame:

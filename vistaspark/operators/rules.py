@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, factor_list, fold
-from ._common import as_list, rule_table
+from ._common import rule_table
 
 
 def _fold_word(w: str) -> str:
@@ -352,5 +352,3 @@ def executive_summary(spark: SparkSession, metrics: Mapping[str, Column], models
         F.lit("hallazgos").alias("seccion"), F.col("regla").alias("clave"), F.col("texto").alias("valor"))
     return head.unionByName(best).unionByName(ins)
 
-
-_ = (as_list,)

@@ -8,7 +8,6 @@ from ..operators import filters as FL
 from . import vitals
 from .bind import AS_OF_ORDERS, with_roles
 from .registry import query
-from .sqlkit import r6
 
 CARGOS_COLS = ("id_atencion, linea, id_catalogo, id_medico, cantidad, subtotal, precio, descuento, impuesto, "
                "tipo, estado, linestatus, fecha")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_ts
-from .tables import conform
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
