@@ -232,13 +232,16 @@ def clinical_metrics(t):
     risk = relapse(t)
     one = lambda df: df.select(F.count(F.lit(1))).scalar()
     from ..functions.numbers import pct as pct_
+    # both patient segments come from one pass over the feature table
+    seg = f.agg(F.struct(F.count_if((F.col("visitas") <= 2) & (F.col("edad") > 50)).alias("mayores"),
+                         F.count_if(F.col("visitas") > 2).alias("frecuentes"))).scalar()
     return R.metrics_table(t.spark, {
         "ocupacion_pct": t.camas.select(pct_(F.count_if(F.col("ocupada") == 1), F.count(F.lit(1)))).scalar(),
         "anomalias_signos": one(out_of_range(vitals.wide(t.signos), vitals.RANGES)),
         "anomalias_examenes": one(sigma_outliers(t.cargos, "id_catalogo", "subtotal", 2.0)),
-        "adultos_mayores": one(f.filter((F.col("visitas") <= 2) & (F.col("edad") > 50))),
-        "alta_frecuencia": one(f.filter(F.col("visitas") > 2)),
-        "riesgo_alto_ocular": one(risk.filter("nivel_riesgo_recaida = 'ALTO'")),
+        "adultos_mayores": seg["mayores"],
+        "alta_frecuencia": seg["frecuentes"],
+        "riesgo_alto_ocular": risk.select(F.count_if(F.col("nivel_riesgo_recaida") == "ALTO")).scalar(),
     })
 
 
