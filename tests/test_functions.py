@@ -125,3 +125,18 @@ def test_lab_threshold_levels(spark):
                                   (3, "Hemoglobina Glicosilada", 5.0)], "Id_exp long, prueba string, valor double")
     out = {(r.Id_exp, r.prueba): r.nivel for r in threshold_risk(labs).collect()}
     assert out == {(1, "Glucosa"): "MEDIO", (2, "Glucosa"): "ALTO", (3, "Hemoglobina Glicosilada"): "BAJO"}
+
+
+def test_fold_equals_nfkd_ascii_fold(spark):
+    """T1 against Python's own NFKD -> ASCII -> upper -> strip, on random mixed strings."""
+    import random
+    import unicodedata
+
+    pool = ([chr(c) for c in range(0x20, 0x7F)] + [" ", "\t", "\n"] + [chr(c) for c in range(0xA0, 0x250)]
+            + [chr(c) for c in range(0x1E00, 0x1F00)] + list("¼½¾ﬁﬂﬃĲǄ⅓Ⅻ²ＡＺａｚ１") + ["\u0301", "\u4e2d", "\u0394"])
+    rng = random.Random(11)
+    rows = [("".join(rng.choice(pool) for _ in range(rng.randint(0, 40))),) for _ in range(400)]
+    got = one(spark, TX.fold("x"), rows)
+    exp = [unicodedata.normalize("NFKD", r[0]).encode("ascii", "ignore").decode("ascii").upper().strip(" \t\n")
+           for r in rows]
+    assert got == exp

@@ -11,25 +11,36 @@ from pyspark.sql import functions as F
 from ._util import col_of
 
 
-def _fold_table(lo: int = 0x00C0, hi: int = 0x024F) -> tuple[str, str, str]:
-    """translate() tables built by rule: NFKD of each Latin code point, ASCII part kept.
+# Code-point ranges whose NFKD form can keep ASCII letters or digits: Latin-1 supplement,
+# Latin extended A/B, Latin extended additional, super/subscripts, number forms, ligatures and
+# fullwidth forms. Everything else non-ASCII is dropped by the fold, as NFKD + ASCII would.
+_FOLD_RANGES = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2150, 0x218F), (0xFB00, 0xFB06),
+                (0xFF01, 0xFF5E))
 
-    Returns (from_chars, to_chars, deleted_chars): characters whose decomposition keeps
-    exactly one ASCII letter are mapped, the rest of the range is deleted.
-    """
-    src, dst, gone = [], [], []
-    for cp in range(lo, hi + 1):
-        ch = chr(cp)
-        ascii_part = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(ascii_part) == 1:
-            src.append(ch)
-            dst.append(ascii_part)
-        else:
-            gone.append(ch)
-    return "".join(src), "".join(dst), "".join(gone)
 
+def _fold_table(ranges=_FOLD_RANGES) -> tuple[str, str, str, dict[str, str]]:
+    """translate() tables built by rule: the ASCII part of each code point's NFKD form.
 
-_FOLD_FROM, _FOLD_TO, _FOLD_GONE = _fold_table()
+    Returns (from_chars, to_chars, deleted_chars, multi): one ASCII character -> mapped, none ->
+    deleted, several (ligatures, fractions, digraphs) -> ``multi`` for string replacement.
+    """
+    src, dst, gone, multi = [], [], [], {}
+    for lo, hi in ranges:
+        for cp in range(lo, hi + 1):
+            ch = chr(cp)
+            ascii_part = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+            if len(ascii_part) == 1:
+                src.append(ch)
+                dst.append(ascii_part)
+            elif ascii_part:
+                multi[ch] = ascii_part
+            else:
+                gone.append(ch)
+    return "".join(src), "".join(dst), "".join(gone), multi
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_GONE, _FOLD_MULTI = _fold_table()
+_FOLD_MULTI_CLASS = "[" + "".join(_FOLD_MULTI) + "]"
 
 # Keywords that mark an ocular exam, and the exam-profile rules in priority
 # order (first match wins; anything else is "Otros estudios").
@@ -55,6 +66,12 @@ def strip_ws(c) -> Column:
 def fold(c) -> Column:
     """NFKD fold -> drop non-ASCII -> upper -> strip; null -> ''."""
     x = F.coalesce(col_of(c).cast("string"), F.lit(""))
+    # the few characters that decompose to several letters (ligatures, fractions, digraphs) are
+    # replaced first, only in the rare texts that contain one
+    multi = x
+    for ch, rep in _FOLD_MULTI.items():
+        multi = F.replace(multi, F.lit(ch), F.lit(rep))
+    x = F.when(x.rlike(_FOLD_MULTI_CLASS), multi).otherwise(x)
     x = F.translate(x, _FOLD_FROM + _FOLD_GONE, _FOLD_TO)  # unmapped tail chars are deleted
     x = F.regexp_replace(x, r"[^\x00-\x7F]", "")
     return strip_ws(F.upper(x))
