@@ -40,7 +40,6 @@ def _fold_table(ranges=_FOLD_RANGES) -> tuple[str, str, str, dict[str, str]]:
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_GONE, _FOLD_MULTI = _fold_table()
-_FOLD_MULTI_CLASS = "[" + "".join(_FOLD_MULTI) + "]"
 
 # Keywords that mark an ocular exam, and the exam-profile rules in priority
 # order (first match wins; anything else is "Otros estudios").
@@ -66,14 +65,16 @@ def strip_ws(c) -> Column:
 def fold(c) -> Column:
     """NFKD fold -> drop non-ASCII -> upper -> strip; null -> ''."""
     x = F.coalesce(col_of(c).cast("string"), F.lit(""))
-    # the few characters that decompose to several letters (ligatures, fractions, digraphs) are
-    # replaced first, only in the rare texts that contain one
-    multi = x
+    mapped = F.translate(x, _FOLD_FROM + _FOLD_GONE, _FOLD_TO)  # one ASCII letter kept, or deleted
+    ascii_only = F.regexp_replace(mapped, r"[^\x00-\x7F]", "")
+    # characters that decompose to several letters (ligatures, fractions, digraphs) are left by
+    # translate; only a text that lost characters to the ASCII filter can hold one, so only such
+    # rare texts take the replacement chain
+    multi = mapped
     for ch, rep in _FOLD_MULTI.items():
         multi = F.replace(multi, F.lit(ch), F.lit(rep))
-    x = F.when(x.rlike(_FOLD_MULTI_CLASS), multi).otherwise(x)
-    x = F.translate(x, _FOLD_FROM + _FOLD_GONE, _FOLD_TO)  # unmapped tail chars are deleted
-    x = F.regexp_replace(x, r"[^\x00-\x7F]", "")
+    x = F.when(F.length(ascii_only) < F.length(mapped), F.regexp_replace(multi, r"[^\x00-\x7F]", "")) \
+        .otherwise(ascii_only)
     return strip_ws(F.upper(x))
 
 
