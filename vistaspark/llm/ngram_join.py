@@ -329,7 +329,7 @@ def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     tagged = docs.withColumns({"_d": F.coalesce("doc_id", last), "_node": F.xxhash64(text_or_empty()),
                                "_words": text_or_empty().rlike("[^\\x20\\x09-\\x0D]")})
     words = tagged.where("_words").join(kept, ["_d", "_node"], "left_semi").dropDuplicates(["_d", "_node"])
-    return words.union(tagged.where("not _words")).select(*docs.columns)
+    return words.select(*docs.columns).union(tagged.where("not _words").select(*docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

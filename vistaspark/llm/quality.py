@@ -137,7 +137,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = LE
     rows = materialise(named, "quality")
     names = [r.metric for r in rules]
     limits = thresholds(sketches(rows.where("not base_failed"), names), rules, least_rows)
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    # written, so that the join below knows its size: broadcast if small, else a skew-aware shuffle
+    limits = materialise(limits.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "limits")
     joined = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     fine = ~F.col("base_failed")
     for r in rules:
@@ -150,6 +151,78 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = LE
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
+def keep_good(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` (text, lang, source, ...) that are kept, with all their columns."""
+    packed = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    return judge(packed, **parameters).where("kept").select("_row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *BASE_COLUMNS)
+
+
+def oracle_sql() -> str:
+    """The same features, sketches and thresholds in DuckDB."""
+    names = [r.metric for r in RULES]
+    cell = "CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
+    q = lambda p: f"min(cell) FILTER (WHERE 100 * upto >= {p} * n) AS q{p}"
+    pick = lambda p: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.q{p} WHEN l.n >= {LEAST_ROWS} THEN l.q{p} ELSE a.q{p} END AS t{p}"
+    bounds, fine = [], []
+    for r in RULES:
+        bounds.append(f"max(t50 + greatest({r.factor} * (t50 - t25), {r.slack})) FILTER (WHERE metric = '{r.metric}') AS hi_{r.metric}")
+        fine.append(f"{r.metric} <= hi_{r.metric}")
+        if r.below:
+            bounds.append(f"max(t50 - greatest({r.factor} * (t75 - t50), {r.slack})) FILTER (WHERE metric = '{r.metric}') AS lo_{r.metric}")
+            fine.append(f"{r.metric} >= lo_{r.metric}")
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n_row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM docs),
+windows AS (
+  SELECT n_row, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS x
+  FROM (SELECT n_row, w, unnest(range(1, len(w) - 1)) AS i FROM cut WHERE len(w) >= 3)),
+repeated AS (
+  SELECT n_row, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT n_row, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT n_row, i, count(*) OVER (PARTITION BY n_row, x) AS c FROM windows) WHERE c > 1)
+  GROUP BY n_row),
+features AS (
+  SELECT n_row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM cut LEFT JOIN repeated USING (n_row)),
+rows_ AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         1000 * n_symbols // greatest(word_chars, 1) AS symbol_share,
+         1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_share,
+         1000 * n_repeat_words // greatest(n_words, 1) AS repeat_share,
+         100 * word_chars // greatest(n_words, 1) AS word_length
+  FROM features),
+cells AS (
+  SELECT lang, source, metric, {cell} AS cell, count(*) AS c
+  FROM (SELECT lang, source, unnest({names}) AS metric, unnest([{", ".join(names)}]) AS v FROM rows_ WHERE NOT base_failed)
+  GROUP BY ALL),
+leveled AS (
+  SELECT 0 AS level, * FROM cells
+  UNION ALL SELECT 1, lang, NULL, metric, cell, sum(c) FROM cells GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, metric, cell, sum(c) FROM cells GROUP BY ALL),
+running AS (
+  SELECT *, sum(c) OVER (PARTITION BY level, lang, source, metric ORDER BY cell) AS upto,
+         sum(c) OVER (PARTITION BY level, lang, source, metric) AS n FROM leveled),
+quantiles AS (
+  SELECT level, lang, source, metric, any_value(n) AS n, {q(25)}, {q(50)}, {q(75)}
+  FROM running GROUP BY level, lang, source, metric),
+picked AS (
+  SELECT o.lang, o.source, o.metric, {pick(25)}, {pick(50)}, {pick(75)}
+  FROM quantiles o JOIN quantiles l ON l.level = 1 AND l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang
+  JOIN quantiles a ON a.level = 3 AND a.metric = o.metric WHERE o.level = 0),
+limits AS (SELECT lang, source, {", ".join(bounds)} FROM picked GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND {" AND ".join(fine)}, false) AS kept
+FROM rows_ r LEFT JOIN limits m ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source
+"""

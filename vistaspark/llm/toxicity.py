@@ -199,7 +199,7 @@ _workers: dict[tuple, Voters] = {}
 
 
 def vote(docs: DataFrame, stems: list[Stem]) -> DataFrame:
-    """``docs`` (doc_id, text) -> (doc_id, pattern long)."""
+    """``docs`` (doc_id, rid, text) -> (doc_id, rid, pattern long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tuple(stems)
@@ -209,10 +209,10 @@ def vote(docs: DataFrame, stems: list[Stem]) -> DataFrame:
         voters = _workers[key]
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.record_batch({"doc_id": part.column(0), "pattern": pa.array(
-                    list(map(voters.pattern, part.column(1).to_pylist())), pa.int64())})
+                yield pa.record_batch({"doc_id": part.column(0), "rid": part.column(1), "pattern": pa.array(
+                    list(map(voters.pattern, part.column(2).to_pylist())), pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id long, pattern long")
+    return docs.mapInArrow(run, "doc_id long, rid long, pattern long")
 
 
 # --- label model and classifier ---------------------------------------------------------------
@@ -322,15 +322,16 @@ def fit_classifier(patterns: DataFrame, model: LabelModel, votes: int, bits: int
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text, ...) and ``labels`` (doc_id, toxic, ...) -> (doc_id, held_out, score,
-    predicted), one row for each row of ``docs``.
+    """``docs`` (doc_id, text, ...) and ``labels`` (doc_id, toxic, ...) -> (doc_id, rid, held_out, score,
+    predicted), one row for each row of ``docs``; ``rid`` is the hash of the text.
 
     Only the text is scored. Labels other than 0 and 1 are ignored. Null and empty texts are scored
     like texts without a vote; null doc_ids are not held out and not learned from; repeated rows
     come out as often as they came in. Without labels of both classes every score is 0. An empty
     table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("rid"),
+                       text_or_empty().alias("text"))
     stems = induce_stems(labelled_sample(rows, labels))
     voters = Voters(stems)
     voted = materialise(vote(rows, voters.stems), "votes")
@@ -350,9 +351,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         for i in range(voters.bits):
             odds = odds + F.when(F.getbit("pattern", F.lit(i)) == 1, float(w[i])).otherwise(0.0)
         value = 1 / (1 + F.exp(-odds))
-    return (voted.select("doc_id", held_out.alias("held_out"), value.alias("score"))
+    return (voted.select("doc_id", "rid", held_out.alias("held_out"), value.alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """``docs`` without the rows predicted toxic; equal texts have one verdict."""
+    rejected = materialise(score(docs, labels, **parameters).where("predicted = 1")
+                           .select(F.col("rid").alias("_rid")).distinct(), "toxic")
+    return docs.withColumn("_rid", F.xxhash64(text_or_empty())).join(rejected, "_rid", "left_anti").select(*docs.columns)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
