@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,8 +39,9 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "vis
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; registered with the context.
 
-    On a cluster the launcher sets it to shared storage and we only read it. When it is
-    unset (a bare local session) a scratch folder is used, which is only valid locally.
+    On a cluster the launcher sets it to shared storage and we only read it. When it is unset a
+    scratch folder is chosen for a session in one process; any other master raises, as each
+    executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -50,5 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()  # a folder already chosen for this context
     if existing:
         return existing
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="vistaspark-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
