@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import materialise, shuffle_partitions, table, text_or_empty
+from ._io import shuffle_partitions, table, text_or_empty
 from ._text import slices
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 SEGMENT_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 4
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -76,8 +76,9 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-CUT = ("chunk long, doc_ids array<long>, counts array<int>, positions binary, "
-       "bucket int, n_words int, words_size int, words binary, at binary")
+#: A row is a segment of texts (key: its chunk) or a word list (key: -1 - its bucket).
+CUT = ("key long, chunk long, doc_ids array<long>, counts array<int>, positions binary, "
+       "n_words int, words_size int, words binary, at binary")
 
 
 def _cut(pattern: str, buckets: int):
@@ -94,8 +95,8 @@ def _cut(pattern: str, buckets: int):
             n = len(next(iter(columns.values())))
             return pa.record_batch([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
-        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-                            ("positions", pa.binary()), ("bucket", pa.int32()), ("n_words", pa.int32()),
+        schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+                            ("positions", pa.binary()), ("n_words", pa.int32()),
                             ("words_size", pa.int32()), ("words", pa.binary()), ("at", pa.binary())])
 
         def word_lists() -> pa.RecordBatch:
@@ -110,7 +111,7 @@ def _cut(pattern: str, buckets: int):
                 packed.append((len(raw), 4 * len(raw) + int(sizes.sum()), _pack([sizes, *raw]),
                                _pack([_planes(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)))])))
             n, size, words, at = zip(*packed, strict=True)
-            return rows(chunk=[chunk] * len(lists), bucket=list(lists), n_words=n, words_size=size, words=words, at=at)
+            return rows(key=[-1 - b for b in lists], chunk=[chunk] * len(lists), n_words=n, words_size=size, words=words, at=at)
 
         for batch in batches:
             for piece in slices(batch, "text", SEGMENT_BYTES):
@@ -120,7 +121,7 @@ def _cut(pattern: str, buckets: int):
                     counts.append(len(words))
                     for w in words:
                         found.append(numbers.setdefault(w, len(numbers)))
-                yield rows(chunk=[part << 32 | serial], doc_ids=[piece.column(0).to_pylist()], counts=[counts],
+                yield rows(key=[part << 32 | serial], chunk=[part << 32 | serial], doc_ids=[piece.column(0).to_pylist()], counts=[counts],
                            positions=[_pack([_planes(np.array(found, "<u4"))])])
                 held += piece.nbytes
                 if held >= CHUNK_BYTES:
@@ -136,32 +137,31 @@ def _cut(pattern: str, buckets: int):
 MERGED = "chunk long, at binary, n_words int, sizes binary, n_ids int, ids binary"
 
 
-def _merge_bucket(path: str):
-    """All word lists of one bucket -> the ids of their words, list by list. Each distinct word is
-    merged once."""
+def _merge(path: str):
+    """Rows of CUT, dealt by key -> the ids of the word lists' words, list by list. All lists that
+    can hold a word are in one partition, where it is merged once."""
 
-    def run(lists: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = _merger(path), {}
-        out: dict[str, list] = {name: [] for name in ("chunk", "at", "n_words", "sizes", "n_ids", "ids")}
-        for row in lists.to_pylist():
-            n, raw = row["n_words"], _unpack(row["words"], row["words_size"])
-            ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) + 4 * n
-            begin, merged = 4 * n, []
-            for end in ends.tolist():
-                word = raw[begin:end]
-                begin = end
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
-                merged.append(ids)
-            sizes = np.fromiter(map(len, merged), "<u4", n) // 4
-            joined = np.frombuffer(b"".join(merged), "<u4")
-            for name, value in (("chunk", row["chunk"]), ("at", row["at"]), ("n_words", n),
-                                ("sizes", _pack([_planes(sizes)])), ("n_ids", len(joined)),
-                                ("ids", _pack([_planes(joined)]))):
-                out[name].append(value)
-        return pa.table({k: pa.array(v, {"chunk": pa.int64(), "n_words": pa.int32(), "n_ids": pa.int32()}.get(k, pa.binary()))
-                         for k, v in out.items()})
+        for batch in batches:
+            lists = batch.select(["chunk", "n_words", "words_size", "words", "at"]).filter(batch.column("words").is_valid())
+            for row in lists.to_pylist():
+                n, raw = row["n_words"], _unpack(row["words"], row["words_size"])
+                ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) + 4 * n
+                begin, merged = 4 * n, []
+                for end in ends.tolist():
+                    word = raw[begin:end]
+                    begin = end
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+                    merged.append(ids)
+                sizes = np.fromiter(map(len, merged), "<u4", n) // 4
+                joined = np.frombuffer(b"".join(merged), "<u4")
+                yield pa.record_batch({
+                    "chunk": pa.array([row["chunk"]], pa.int64()), "at": pa.array([row["at"]], pa.binary()),
+                    "n_words": pa.array([n], pa.int32()), "sizes": pa.array([_pack([_planes(sizes)])], pa.binary()),
+                    "n_ids": pa.array([len(joined)], pa.int32()), "ids": pa.array([_pack([_planes(joined)])], pa.binary())})
 
     return run
 
@@ -180,7 +180,9 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     first[place] = np.cumsum(np.r_[0, size[:-1]]) if len(size) else 0
     length[place] = size
     doc_ids, arrays = [], []
-    for row in texts.to_pylist():
+    for row in texts.select(["doc_ids", "counts", "positions"]).to_pylist():
+        if row["doc_ids"] is None:  # a word list
+            continue
         counts = np.array(row["counts"], np.int64)
         at = _numbers(_unpack(row["positions"], 4 * int(counts.sum())))
         lengths = length[at]
@@ -202,14 +204,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     come out as they are; an empty table gives no rows; other columns are ignored.
     """
     path, pattern = path or ranks_path(), pattern or split_pattern()
-    buckets = shuffle_partitions(docs.sparkSession) * BUCKETS_PER_PARTITION
-    cut = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-                      .mapInArrow(_cut(pattern, buckets), CUT), "bpe-cut")
-    texts = cut.where("bucket is null").select("chunk", "doc_ids", "counts", "positions")
-    words = (cut.where("bucket is not null").select("chunk", "bucket", "n_words", "words_size", "words", "at")
-             .groupBy("bucket").applyInArrow(_merge_bucket(path), MERGED))
-    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
-        lambda a, b: _reassemble(a, b), "doc_id long, ids array<int>")
+    n = shuffle_partitions(docs.sparkSession)
+    # one shuffle deals segments by chunk and word lists by bucket; both readers use it whole, so
+    # that Spark plans it once
+    cut = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+           .mapInArrow(_cut(pattern, n * BUCKETS_PER_PARTITION), CUT).repartition(n, "key"))
+    merged = cut.mapInArrow(_merge(path), MERGED).repartition(n, "chunk")
+    return cut.groupBy("key").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
