@@ -33,8 +33,11 @@ from ._text import mix, row_sets, slices
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 75
-SKETCH_BITS = 2048
+LEAST_SKETCH_BITS = 512  # and at least four bits an element
+SIGNATURE_BYTES = 5  # kept of a signature beside its bucket
 BUCKETS_PER_PARTITION = 4
+FIRST_GROUPS = 6
+FILTER_BITS = 1 << 27  # most bits of a broadcast Bloom filter
 
 
 def difference_bound(a, b, percent: int):
@@ -68,9 +71,46 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS cells (low hash bits)."""
-    return np.packbits(np.bincount((elements & np.uint64(SKETCH_BITS - 1)).astype(np.int64),
-                                   minlength=SKETCH_BITS) & 1).tobytes()
+    """Parity of the number of elements in each cell (low hash bits); the cells are a power of two
+    that grows with the set, so that unrelated large sets differ in many of them too."""
+    bits = max(LEAST_SKETCH_BITS, 1 << (4 * len(elements) - 1).bit_length())
+    cells = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(cells.astype(bool), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches as one matrix for each length, compared pair by pair; the longer one of a pair is
+    folded (the parity of a coarser cell is the exclusive or of its halves)."""
+
+    def __init__(self, sketches: list[bytes]):
+        lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.length, self.row = lengths, np.zeros(len(lengths), np.int64)
+        self.matrix: dict[tuple[int, int], np.ndarray] = {}
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            self.row[at] = np.arange(len(at))
+            self.matrix[n, n] = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), -1)
+
+    def folded(self, length: int, to: int) -> np.ndarray:
+        if (length, to) not in self.matrix:
+            x = self.folded(length, 2 * to)
+            self.matrix[length, to] = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+        return self.matrix[length, to]
+
+    def differing(self, at: np.ndarray, other: Sketches, to: np.ndarray) -> np.ndarray:
+        """Number of differing cells of self[at] and other[to], pair by pair."""
+        out = np.zeros(len(at), np.int64)
+        pairs = self.length[at] << 32 | other.length[to]
+        for code in np.unique(pairs).tolist():
+            la, lb = code >> 32, code & 0xFFFFFFFF
+            n = min(la, lb)
+            x, y = self.folded(la, n), other.folded(lb, n)
+            rows = np.flatnonzero(pairs == code)
+            most = max(1, (4 << 20) // n)
+            for k in range(0, len(rows), most):
+                r = rows[k: k + most]
+                out[r] = np.bitwise_count(x[self.row[at[r]]] ^ y[other.row[to[r]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _seed_free_hash(values: np.ndarray) -> np.ndarray:
@@ -96,7 +136,8 @@ def _profile(size: int):
 
 def _sign(size: int, percent: int, buckets: int):
     """(node, text) -> (bucket, sigs, nodes): one row for each bucket and piece of input, with the
-    8-byte signatures and their nodes side by side. Texts seen before in the task are left out."""
+    signatures (SIGNATURE_BYTES beyond the bucket number) and their nodes side by side. Texts seen
+    before in the task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -111,9 +152,10 @@ def _sign(size: int, percent: int, buckets: int):
             sig, node, target = sig[order], node[order], target[order]
             bounds = np.searchsorted(target, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(bounds))
+            short = (sig // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
             return pa.record_batch({
                 "bucket": pa.array(used.astype(np.int32)),
-                "sigs": pa.array([sig[bounds[b]: bounds[b + 1]].tobytes() for b in used], pa.binary()),
+                "sigs": pa.array([short[bounds[b]: bounds[b + 1]].tobytes() for b in used], pa.binary()),
                 "nodes": pa.array([node[bounds[b]: bounds[b + 1]].tobytes() for b in used], pa.binary())})
 
         for batch in batches:
@@ -138,7 +180,8 @@ def _sign(size: int, percent: int, buckets: int):
 
 def _groups_of_bucket(table_: pa.Table) -> pa.Table:
     """One bucket's signatures -> its distinct groups of two or more nodes: (gid, pivot, node)."""
-    sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table_.column("sigs").to_pylist()])
+    short = np.frombuffer(b"".join(table_.column("sigs").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BYTES)
+    sig = np.pad(short, ((0, 0), (0, 8 - SIGNATURE_BYTES))).view("<u8").ravel()
     node = np.concatenate([np.frombuffer(x, np.int64) for x in table_.column("nodes").to_pylist()])
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
@@ -158,21 +201,56 @@ def _groups_of_bucket(table_: pa.Table) -> pa.Table:
     return pa.table({"gid": gid, "pivot": pivot, "node": node})
 
 
-def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops rows whose node the task has passed on before (copies of one text)."""
-    seen: set[int] = set()
-    for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        keep = [not (x in seen or seen.add(x)) for x in nodes]
-        yield batch if all(keep) else batch.filter(pa.array(keep))
+def _filter_cells(nodes: np.ndarray, bits: int) -> np.ndarray:
+    """Three cells of a Bloom filter for each node."""
+    x = nodes.view(np.uint64)
+    return np.stack([mix(x + np.uint64(k)) & np.uint64(bits - 1) for k in (1, 2, 3)], axis=1).astype(np.int64)
 
 
-# --- candidates and links --------------------------------------------------------------------
+def _bloom(nodes: DataFrame) -> np.ndarray | None:
+    """Bloom filter of the nodes (16 bits each), or None when it would exceed FILTER_BITS. Its words
+    are combined on the executors; only the filter itself comes to the driver."""
+    bits = max(1 << 10, 1 << (16 * nodes.count()).bit_length())
+    if bits > FILTER_BITS:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_filter_cells(np.asarray(batch.column(0)), bits).ravel()] = True
+        words = np.packbits(own, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.record_batch({"i": pa.array(at), "word": pa.array(words[at])})
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+    out = np.zeros(bits // 64, np.int64)
+    for r in nodes.mapInArrow(run, "i long, word long").groupBy("i").agg(F.bit_or("word").alias("word")).toLocalIterator():
+        out[r["i"]] = r["word"]
+    return out
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One (node, text) for each of ``nodes``. Copies of a text that one task holds are sent once;
+    a Bloom filter of the nodes, when small enough, keeps other texts out of the shuffle."""
+    bloom = _bloom(nodes)
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes = np.asarray(batch.column(0))
+            keep = np.ones(len(nodes), bool)
+            if shared.value is not None:
+                cells = _filter_cells(nodes, 64 * len(shared.value))
+                keep = ((shared.value[cells >> 6] >> (cells & 63)) & 1).all(axis=1)
+            keep = [bool(k) and not (x in seen or seen.add(x)) for k, x in zip(keep, nodes.tolist(), strict=True)]
+            if any(keep):
+                yield batch.filter(pa.array(keep))
+
+    return texts.mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+# --- candidates and links --------------------------------------------------------------------
+
 def _possible(na, nb, differing, percent: int):
     return (np.maximum(na, nb) * percent <= np.minimum(na, nb) * 100) & (differing <= difference_bound(na, nb, percent))
 
@@ -183,7 +261,8 @@ def _bounded(percent: int):
             if not batch.num_rows:
                 continue
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            differing = np.bitwise_count(_bits(col["sketch_a"]) ^ _bits(col["sketch_b"])).sum(axis=1, dtype=np.int64)
+            rows = np.arange(batch.num_rows)
+            differing = Sketches(col["sketch_a"].to_pylist()).differing(rows, Sketches(col["sketch_b"].to_pylist()), rows)
             keep = _possible(np.asarray(col["n_a"]), np.asarray(col["n_b"]), differing, percent)
             yield pa.record_batch({"u": col["u"], "v": col["v"]}).filter(pa.array(keep))
 
@@ -192,17 +271,22 @@ def _bounded(percent: int):
 
 def _across(percent: int):
     """One mixed group -> pairs of members with different labels that pass the sketch bound. The
-    largest component's members are only compared with the others."""
+    largest component's members are only compared with the others. ``first`` holds a member's
+    least groups: a pair that has one of them in common, before this group, is left to that one."""
 
     def run(table_: pa.Table) -> pa.Table:
-        node, label = np.asarray(table_["node"]), np.asarray(table_["label"])
-        n, bits = np.asarray(table_["n"]), _bits(table_["sketch"].combine_chunks())
+        node, label, n = (np.asarray(table_[name]) for name in ("node", "label", "n"))
         values, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
         order = np.argsort(inverse == np.argmax(counts), kind="stable")  # the largest one last
-        node, label, n, bits = node[order], label[order], n[order], bits[order]
+        node, label, n = node[order], label[order], n[order]
+        sketches = Sketches(table_["sketch"].combine_chunks().take(pa.array(order)).to_pylist())
+        gid = table_["gid"][0].as_py()
+        first = np.full((len(node), FIRST_GROUPS), gid, np.int64)  # padded with this group
+        for i, groups in zip(np.argsort(order), table_["first"].to_pylist(), strict=True):
+            first[i, : len(groups)] = groups
         others = len(node) - int(counts.max())
         us, vs = [], []
-        block = max(1, (8 << 20) // (SKETCH_BITS // 8 * max(1, len(node))))
+        block = max(1, (8 << 20) // len(node))
         for i in range(0, others, block):
             rows = slice(i, min(i + block, others))
             near = np.maximum(n[rows, None], n[None, i:]) * percent <= np.minimum(n[rows, None], n[None, i:]) * 100
@@ -211,8 +295,12 @@ def _across(percent: int):
             a, b = a[a < b], b[a < b]
             for k in range(0, len(a), 1 << 16):
                 x, y = a[k: k + (1 << 16)], b[k: k + (1 << 16)]
-                differing = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                ok = _possible(n[x], n[y], differing, percent)
+                earlier = np.zeros(len(x), bool)
+                for c in range(FIRST_GROUPS):
+                    own = first[x, c]
+                    earlier |= (own < gid) & (first[y] == own[:, None]).any(axis=1)
+                x, y = x[~earlier], y[~earlier]
+                ok = _possible(n[x], n[y], sketches.differing(x, sketches, y), percent)
                 us.append(node[x[ok]])
                 vs.append(node[y[ok]])
         empty = np.zeros(0, np.int64)
@@ -254,9 +342,9 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     salted = materialise(pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(16)).cast("int")), "pairs")
     sides = salted.select(F.col("u").alias("node"), "u", "v", "salt").union(
         salted.select(F.col("v").alias("node"), F.lit(None).cast("long"), "v", "salt").distinct())
-    needed = materialise(  # one text for each node that a pair names
-        texts.join(sides.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    return (sides.join(needed, "node").drop("node").repartition(shuffle_partitions(texts.sparkSession), "v", "salt")
+    # one text for each node that a pair names; the list is written, so that the join knows its size
+    named = materialise(sides.select("node").distinct(), "named")
+    return (sides.join(_texts_of(texts, named), "node").drop("node").repartition(shuffle_partitions(texts.sparkSession), "v", "salt")
             .sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
             .select("v", "salt", "u", "text")
             .mapInArrow(_verify(size, percent), "u long, v long"))
@@ -278,38 +366,40 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     texts = rows.select("node", "text")
     profile = materialise(
         rows.mapInArrow(_profile(size), "doc_id long, node long, n long, sketch binary"), "profile")
-    nodes = profile.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = materialise(profile.where("n > 0").groupBy("node").agg(
+        F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least")), "nodes")
+    sketches = nodes.select("node", "n", "sketch")
 
     buckets = shuffle_partitions(spark) * BUCKETS_PER_PARTITION
     groups = materialise(
         texts.mapInArrow(_sign(size, percent, buckets), "bucket int, sigs binary, nodes binary")
-        .groupBy("bucket").applyInArrow(_groups_of_bucket, "gid long, pivot long, node long"), "groups")
-    unique_texts = texts.mapInArrow(_first_in_task, "node long, text string")
+        .groupBy("bucket").applyInArrow(_groups_of_bucket, "gid long, pivot long, node long")
+        .dropDuplicates(["gid", "node"]), "groups")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = nodes.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        a = sketches.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        b = sketches.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         return pairs.join(a, "u").join(b, "v").mapInArrow(_bounded(percent), "u long, v long")
 
     stars = groups.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    linked = materialise(_links(bounded(stars), unique_texts, size, percent), "links")
+    linked = materialise(_links(bounded(stars), texts, size, percent), "links")
     labels = connected_components(linked)
 
     # members of one group that the stars left in different components
-    labelled = (groups.select("gid", "node").distinct().join(labels, "node", "left")
+    labelled = (groups.select("gid", "node").join(labels, "node", "left")
                 .select("gid", "node", F.coalesce("label", "node").alias("label")))
     mixed = (labelled.groupBy("gid").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("c > 2 and lo <> hi").select("gid"))
-    rest = (labelled.join(mixed, "gid", "left_semi").join(nodes, "node")
-            .groupBy("gid").applyInArrow(_across(percent), "u long, v long").distinct())
-    rest = materialise(rest.join(stars, ["u", "v"], "left_anti"), "rest")
+    mixed = materialise(labelled.join(mixed, "gid", "left_semi"), "mixed")
+    first = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, FIRST_GROUPS).alias("first"))
+    rest = (mixed.join(sketches.join(first, "node"), "node").groupBy("gid").applyInArrow(_across(percent), "u long, v long").distinct())
+    rest = materialise(rest, "rest")
     if not rest.isEmpty():
-        more = materialise(_links(rest, unique_texts, size, percent), "links")
+        more = materialise(_links(rest, texts, size, percent), "links")
         if not more.isEmpty():
             labels = connected_components(linked.union(more))
 
-    least = profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, "node", "left").select(
+    named = nodes.select("node", "least").join(labels, "node", "left").select(
         "node", "least", F.coalesce("label", "node").alias("label"))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = named.join(component, "label").select("node", "label", "component_id")
