@@ -169,11 +169,10 @@ def test_upsert_is_idempotent(spark):
     assert sorted(tuple(r) for r in twice.collect()) == exp
 
 
-def test_delete_type_keeps_headers_without_lines(spark):
+def test_delete_where_keeps_headers_without_lines(spark):
     det = spark.createDataFrame([(1, "LAB"), (1, "RX"), (2, "RX")], "id_atencion long, tipo string")
     hdr = spark.createDataFrame([(1,), (2,), (3,)], "id_atencion long")
-    doomed = spark.createDataFrame([("RX",)], "tipo string")
-    d, h = B.delete_type(det, hdr, doomed)
+    d, h = B.delete_where(det, hdr, F.col("tipo") == "RX")
     assert [tuple(r) for r in d.collect()] == [(1, "LAB")]
     assert sorted(r.id_atencion for r in h.collect()) == [1, 3]
 

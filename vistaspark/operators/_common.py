@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,14 +50,19 @@ def dense_index(df: DataFrame, order: Sequence, start: int | Column = 1, value:
     """Global 1-based row number (and optional running sum of ``value``) in ``order``.
 
     A window without PARTITION BY would pull every row into one task. Instead the rows are
-    range-partitioned on the (total) order, numbered and summed inside each partition, and
-    each partition's offset comes from a per-partition totals table whose size is bounded
-    by the partition count (broadcast is safe), then added back.
+    range-partitioned on the (total) order and written to the shared folder with their partition
+    number: range bounds come from a sample, and two evaluations of one plan may cut differently,
+    so both the totals and the rows must read the same written split. Rows are numbered and summed
+    inside each partition; each partition's offset comes from a totals table whose size is bounded
+    by the partition count (broadcast is safe).
     """
     order_cols = [col_of(o) for o in order]
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
+    split = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dense-index-{uuid.uuid4().hex[:12]}"
+    split.write.parquet(path)
+    ranged = spark.read.schema(split.schema).parquet(path)
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     local = ranged.withColumn("_rn", F.row_number().over(w))
     aggs = [F.count(F.lit(1)).alias("_cnt")]

@@ -87,16 +87,14 @@ def repair_dates(df: DataFrame, cols: Sequence[str], as_date: bool = True) -> Da
     return out
 
 
-def delete_type(details: DataFrame, headers: DataFrame, doomed: DataFrame, key: str = "id_atencion"
-                ) -> tuple[DataFrame, DataFrame]:
-    """Delete detail lines matching ``doomed`` (anti join); delete a header only when it
-    had lines and none remains (headers without lines at all are kept)."""
-    on = [c for c in doomed.columns]
-    remaining = details.join(doomed, on, "left_anti").select(*details.columns)
-    had = details.select(key).distinct()
-    keeps = remaining.select(key).distinct()
-    emptied = had.join(keeps, key, "left_anti")
-    return remaining, headers.join(emptied, key, "left_anti")
+def delete_where(details: DataFrame, headers: DataFrame, doomed: Column, key: str = "id_atencion"
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Delete detail lines for which ``doomed`` is true (null: kept); delete a header only when
+    it had lines and none remains (headers without lines at all are kept). The predicate needs no
+    join; what is left of each header is one partial aggregate."""
+    kept = ~F.coalesce(doomed, F.lit(False))
+    emptied = details.groupBy(key).agg(F.max(kept).alias("_left")).where("not _left").select(key)
+    return details.where(kept), headers.join(emptied, key, "left_anti")
 
 
 def admit(requests: DataFrame, free_beds: DataFrame, current_max: Column, as_of: str, order: Sequence[str],

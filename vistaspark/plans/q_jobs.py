@@ -184,8 +184,7 @@ def b7(t):
 
 def _delete_r(t):
     det = t.cargos.select("id_atencion", "linea", "id_catalogo", "tipo")
-    doomed = t.cargos.filter("tipo = 'R'").select("tipo").distinct()
-    return B.delete_type(det, t.atencion.select("id_atencion", "Id_exp"), doomed)
+    return B.delete_where(det, t.atencion.select("id_atencion", "Id_exp"), F.col("tipo") == "R")
 
 
 @query("b8_remaining_details", sql=f"""

@@ -93,8 +93,7 @@ def m4(t):
 
 @query("m5_importances")
 def m5(t):
-    _, models = MD.fit_regressors(t.cargos, ["cantidad", "precio"], "subtotal", "id_atencion", trees=20, depth=5,
-                                  iters=10)
+    _, models = MD.fit_regressors(t.cargos, ["cantidad", "precio"], "subtotal", "id_atencion")
     return MD.importances(models["random_forest"], ["cantidad", "precio"], t.spark)
 
 
@@ -300,7 +299,7 @@ def m23(t):
 
 @query("m24_trial_grid")
 def m24(t):
-    return MD.trial_grid(features(t), FEATURE_COLS, [2, 3], [2, 3, 4])
+    return MD.trial_grid(features(t), FEATURE_COLS, [2, 3, 4], list(range(2, 9)))
 
 
 @query("m25_cluster_issues")

@@ -33,7 +33,9 @@ def load_tables(spark: SparkSession, root: str, names: Sequence[str], fmt: str =
                 df = reader.option("database", root).option("collection", name).load()
             else:
                 df = reader.load(f"{root.rstrip('/')}/{name}.{_EXT.get(fmt, fmt)}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else is a fault, not an absent table
+                raise
             missing.append(name)
             if name in schemas:
                 tables[name] = spark.createDataFrame([], schemas[name])
