@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a proven or special word is worth 1 + 2^32, a merged one its number of tokens
-        words = worker_words("count", path, len, lambda: dict.fromkeys(proven.value, 1 + (1 << 32)))
+        words = worker_words("count", path, len, sum, lambda: dict.fromkeys(proven.value, 1 + (1 << 32)))
         words.special = dict.fromkeys(words.special, 1 + (1 << 32))
         for batch in batches:
             for part in slices(batch, "text"):

@@ -24,7 +24,7 @@ from .word_bpe import packed_ids, tokenizer_path, worker_words
 
 END_ID = 2
 BITS = 16  # ids below 49,408
-TOKENS_PER_SHARD = 8 << 20
+TOKENS_PER_SHARD = 2 << 20
 BYTES_PER_PARTITION = 16 << 20
 RANK_STEP = 512  # bits between two entries of a rank directory
 
@@ -144,7 +144,7 @@ def _write_range(path: str, end_id: int, bits: int, most: int):
     """One sorted range of (doc_id, text) -> its matrices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, serial = worker_words("ids", path, packed_ids), TaskContext.get().partitionId(), 0
+        words, part, serial = worker_words("ids", path, packed_ids, b"".join), TaskContext.get().partitionId(), 0
         end = packed_ids([end_id])
         doc_ids: list = []
         counts: list[int] = []

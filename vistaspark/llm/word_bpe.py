@@ -20,6 +20,7 @@ KEPT_WORDS = 600_000
 
 _special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 #: Outside of these ranges (Latin, Cyrillic, common punctuation) the library normalises.
+_controls = re.compile("[\x1c-\x1f]")
 _unusual = re.compile("[^\x00-ɏЀ-ҁ‐-‧₠-₿]")
 
 
@@ -44,10 +45,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def _tokens(text: str) -> list[str]:
+    """Pieces between white space; str.split also cuts at four control characters that are not
+    White_Space, so texts with them stay whole."""
+    return [text] if _controls.search(text) else text.split()
+
+
 class Words:
-    """Cuts texts into words and looks up what ``value`` makes of a word's ids."""
+    """Cuts texts into words and looks up what ``value`` makes of a word's ids. ``join`` makes one
+    value of several; values of whole white-space-delimited tokens are kept too, as no word spans
+    white space."""
 
-    def __init__(self, path: str, value, start: dict | None = None):
+    def __init__(self, path: str, value, join, start: dict | None = None):
         import regex
 
         self.find = regex.compile(WORDS).findall
@@ -62,7 +71,16 @@ class Words:
                     self[word] = found
                 return found
 
-        self.known = Known(start or {})
+        cut, known = self.words, Known(start or {})
+
+        class Tokens(dict):
+            def __missing__(self, token):
+                found = join(map(known.__getitem__, cut(token)))
+                if len(self) < kept:
+                    self[token] = found
+                return found
+
+        self.known, self.tokens = known, Tokens()
         self.special = {s: value([i]) for s, i in SPECIAL.items()}
 
     def words(self, text: str) -> list[str]:
@@ -75,16 +93,15 @@ class Words:
         return self.find(text)
 
     def values(self, text: str) -> list:
-        """The value of every word and special string of the text, in order."""
-        get = self.known.__getitem__
+        """The values of the text's tokens and special strings, in order."""
         if "<|" not in text or not _special.search(text):
-            return list(map(get, self.words(text)))
+            return list(map(self.tokens.__getitem__, _tokens(text)))
         out = []
         for piece in _special.split(text):
             if piece in self.special:
                 out.append(self.special[piece])
             else:
-                out.extend(map(get, self.words(piece)))
+                out.extend(map(self.tokens.__getitem__, _tokens(piece)))
         return out
 
 
@@ -95,8 +112,8 @@ def packed_ids(ids: list[int]) -> bytes:
 _workers: dict[tuple, Words] = {}
 
 
-def worker_words(kind: str, path: str, value, start=None) -> Words:
+def worker_words(kind: str, path: str, value, join, start=None) -> Words:
     """The process's own instance, kept between tasks."""
     if (kind, path) not in _workers:
-        _workers[kind, path] = Words(path, value, start() if start else None)
+        _workers[kind, path] = Words(path, value, join, start() if start else None)
     return _workers[kind, path]
