@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
@@ -113,6 +114,16 @@ def test_wavelet_files_hold_the_library_ids(spark, texts):
     assert found == expected
 
 
+def test_pieces_give_the_library_ids():
+    texts = ["", " ", "a\tb\n\nA  b", "<|endoftext|>x <|startoftext|>", "<|x <|endoftext", "e\u0301 \u0301\u00a0z\u2003y",
+             "a\x1cb\x85c", "Σς ΑΣ İ ﬁ ＡＢ 中文 👍🏽", "it's 'S we'LL 1234", "long" * 5000, "Straße ÉTÉ été", "\u00e9\n\u0301x"]
+    library, words = word_bpe.load(word_bpe.tokenizer_path()), word_bpe.Words(word_bpe.tokenizer_path(), word_bpe.packed_ids, b"".join)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # new tokens, then kept ones
+        assert [x.tolist() for x in word_bpe.text_ids(words, pa.array(texts))] == expected
+    assert word_bpe.text_ids(words, pa.array([], pa.string())) == []
+
+
 def test_wavelet_files_odd_rows(spark, odd_docs, no_docs, tmp_path):
     wavelet.write_shards(odd_docs, f"{tmp_path}/odd", tokens_per_shard=50)
     rows = wavelet.document_digests(wavelet.read_shards(spark, f"{tmp_path}/odd")).collect()

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ._io import shared_path, shuffle_partitions, table, text_or_empty
 from ._text import slices
-from .word_bpe import packed_ids, tokenizer_path, worker_words
+from .word_bpe import packed_ids, text_ids, tokenizer_path, worker_words
 
 END_ID = 2
 BITS = 16  # ids below 49,408
 TOKENS_PER_SHARD = 2 << 20
 BYTES_PER_PARTITION = 16 << 20
+BYTES_PER_PIECE = 16 << 20  # of text, encoded together
 RANK_STEP = 512  # bits between two entries of a rank directory
 
 
@@ -50,7 +51,7 @@ class WaveletMatrix:
             planes.append(packed)
             ranks.append(np.r_[np.uint32(0), np.cumsum(per_step, dtype=np.uint32)])
             zeros.append(len(x) - int(one.sum()))
-            x = np.concatenate([x[~one], x[one]])
+            x = np.concatenate([x.take(np.flatnonzero(~one)), x.take(np.flatnonzero(one))])
         return cls(len(ids), bits, np.array(planes), np.array(ranks), np.array(zeros, np.int64))
 
     def to_bytes(self) -> tuple[bytes, bytes]:
@@ -124,8 +125,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[plane], count=self.n, bitorder="little").view(bool) if self.n else np.zeros(0, bool)
             z = int(self.zeros[plane])
             before = np.empty_like(x)
-            before[~one] = x[:z]
-            before[one] = x[z:] | x.dtype.type(1 << (self.bits - 1 - plane))
+            before[np.flatnonzero(~one)] = x[:z]
+            before[np.flatnonzero(one)] = x[z:] | x.dtype.type(1 << (self.bits - 1 - plane))
             x = before
         return x
 
@@ -145,7 +146,8 @@ def _write_range(path: str, end_id: int, bits: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, serial = worker_words("ids", path, packed_ids, b"".join), TaskContext.get().partitionId(), 0
-        end = packed_ids([end_id])
+        kind = np.uint16 if bits <= 16 else np.uint32
+        end = np.array([end_id], kind)
         doc_ids: list = []
         counts: list[int] = []
         ids: list[np.ndarray] = []
@@ -158,13 +160,12 @@ def _write_range(path: str, end_id: int, bits: int, most: int):
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _shard_type(), strict=True)], schema=_shard_type())
 
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
-                for doc_id, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                    own = np.frombuffer(b"".join(words.values(text)) + end, "<u4")
+            for piece in slices(batch, "text", BYTES_PER_PIECE):
+                for doc_id, own in zip(piece.column("doc_id").to_pylist(), text_ids(words, piece.column("text")), strict=True):
                     doc_ids.append(doc_id)
-                    counts.append(len(own))
-                    ids.append(own.astype(np.uint16) if bits <= 16 else own)
-                    held += len(own)
+                    counts.append(len(own) + 1)
+                    ids += [own.astype(kind), end]
+                    held += len(own) + 1
                     if held >= most:
                         yield matrix()
                         doc_ids, counts, ids, held, serial = [], [], [], 0, serial + 1

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 FILE = "word_bpe_49k.json"
 #: The file's split pattern (white space as Unicode's White_Space) and its special strings.
@@ -60,6 +63,7 @@ class Words:
         import regex
 
         self.find = regex.compile(WORDS).findall
+        self.find_in_lines = regex.compile(WORDS + r"|\n").findall
         tokenizer = load(path)
         self.normalise = tokenizer.normalizer.normalize_str
         merge, letters, kept = tokenizer.model.tokenize, byte_letters(), KEPT_WORDS
@@ -80,7 +84,7 @@ class Words:
                     self[token] = found
                 return found
 
-        self.known, self.tokens = known, Tokens()
+        self.known, self.tokens, self.join, self.kept = known, Tokens(), join, kept
         self.special = {s: value([i]) for s, i in SPECIAL.items()}
 
     def words(self, text: str) -> list[str]:
@@ -104,9 +108,59 @@ class Words:
                 out.extend(map(self.tokens.__getitem__, _tokens(piece)))
         return out
 
+    def of_tokens(self, tokens: list[str]) -> list:
+        """The values of distinct tokens that hold no line feed; the new ones are cut together, one
+        to a line."""
+        kept, join, known = self.tokens, self.join, self.known
+        out = list(map(kept.get, tokens))
+        new = [i for i, value in enumerate(out) if value is None]
+        usual = []
+        for i in new:
+            token = tokens[i]
+            if token.isascii() or not _unusual.search(token):
+                usual.append(i)
+            else:
+                out[i] = join(map(known.__getitem__, self.words(token)))
+        begin, lines = 0, unicodedata.normalize("NFC", "".join([tokens[i] + "\n" for i in usual])).lower()
+        words = self.find_in_lines(lines)
+        for i, end in zip(usual, [k for k, word in enumerate(words) if word == "\n"], strict=True):
+            out[i] = known[words[begin]] if end == begin + 1 else join([known[w] for w in words[begin:end]])
+            begin = end + 1
+        kept.update((tokens[i], out[i]) for i in new[: max(0, self.kept - len(kept))])
+        return out
+
 
 def packed_ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
+
+
+def _gathered(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of texts without special strings: every distinct token between ASCII white
+    space is looked up once, and the ids are gathered by the tokens' places."""
+    lists = pc.ascii_split_whitespace(texts)
+    tokens = lists.flatten().dictionary_encode()
+    distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(tokens.dictionary)], tokens.dictionary), "\n")
+    found = words.of_tokens(distinct[0].as_py().split("\n")) if len(tokens) else []
+    pool = np.frombuffer(b"".join(found), "<u4")
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    at = tokens.indices.to_numpy()
+    n = size[at]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(size) - size)[at] - (ends - n)
+    place = np.repeat(shift.astype(np.int32), n)  # a piece has far fewer than 2^31 ids
+    place += np.arange(len(place), dtype=np.int32)
+    ids = pool.take(place)
+    bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+    return ids, bounds
+
+
+def text_ids(words: Words, texts: pa.Array) -> list[np.ndarray]:
+    """The ids of each of ``texts`` (no nulls); ``words`` holds packed ids."""
+    ids, bounds = _gathered(words, pc.if_else(pc.match_substring(texts, "<|"), "", texts))
+    out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    for i in np.flatnonzero(pc.match_substring(texts, "<|")).tolist():  # special strings are cut out first
+        out[i] = np.frombuffer(b"".join(words.values(texts[i].as_py())), "<u4")
+    return out
 
 
 _workers: dict[tuple, Words] = {}
