@@ -71,3 +71,22 @@ def test_partial_aggregation_before_shuffle(spark):
 
     plan = revenue_by(Tables(spark, SF_SMALL).cargos, "tipo")._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("key, column", [("r1_relapse_risk", "text"), ("j9_assemble", "subtotal"), ("m20_patient_features", "subtotal")])
+def test_joins_do_not_carry_raw_columns(spark, key, column):
+    """Texts become flags and lines become totals before any join."""
+    plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+    joins = [n.output().mkString(",") for n in _nodes(plan) if n.nodeName() == "Join"]
+    assert joins and not any(f"{column}#" in output for output in joins)
+
+
+def test_bed_status_aggregates_once(spark):
+    plan = QUERIES["r3_bed_status"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+    assert sum(n.nodeName() == "Aggregate" for n in _nodes(plan)) == 1

@@ -106,17 +106,10 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     facts onto the patient base (no fan-out).
     """
     base = attentions.select("Id_exp").filter(F.col("Id_exp").isNotNull()).distinct()
-    # one join pass over the details; a header that already carries the patient skips the
-    # attention join
-    h = headers.select("id_examen", *(["Id_exp"] if "Id_exp" in headers.columns else ["id_atencion"]),
-                       F.col("fecha").alias("fecha_examen"))
-    d = details.join(h, "id_examen", "left")
-    if "Id_exp" not in headers.columns:
-        d = d.join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
-    d = d.filter(F.col("Id_exp").isNotNull())
+    # rows outside the ocular and systemic families change no output: they go before the header join
     if catalogue is not None:
         flags = exam_flags(catalogue.select("id_catalogo", "nombre_examen"), rules)
-        d = d.drop("nombre_examen").join(flags, "id_catalogo", "left").fillna(
+        d = details.drop("nombre_examen").join(flags, "id_catalogo", "left").fillna(
             {"_oc": False, "_re": False, "_gl": False, "_co": False, "_sy": False})
         # ids alone still decide for items missing from the catalogue
         cat = F.col("id_catalogo").try_cast("int")
@@ -124,7 +117,14 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
                           ("_co", rules.cornea_ids), ("_sy", rules.systemic_ids)):
             d = d.withColumn(flag, F.col(flag) | F.coalesce(cat.isin(list(ids)), F.lit(False)))
     else:
-        d = exam_flags(d, rules)
+        d = exam_flags(details, rules)
+    # one join pass over the rest; a header that already carries the patient skips the attention join
+    h = headers.select("id_examen", *(["Id_exp"] if "Id_exp" in headers.columns else ["id_atencion"]),
+                       F.col("fecha").alias("fecha_examen"))
+    d = d.filter(F.col("_oc") | F.col("_sy")).join(h, "id_examen", "left")
+    if "Id_exp" not in headers.columns:
+        d = d.join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
+    d = d.filter(F.col("Id_exp").isNotNull())
     d = (
         d.withColumn("_state", F.upper(F.coalesce(F.col("estado"), F.lit(""))))
         .withColumn("_date", F.to_date(F.coalesce(F.col("fecha_realizado"), F.col("fecha_examen"))))
@@ -149,10 +149,11 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     if diagnoses is not None:
         text = fold(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in diag_text_cols]))
         dhit = contains_any(text, [_fold_word(s) for s in rules.diagnosis_stems])
-        diag_facts = (
-            diagnoses.join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
+        diag_facts = (  # one flag per diagnosis meets the attentions, not its text
+            diagnoses.select("id_atencion", F.when(dhit, 1).otherwise(0).alias("_hit"))
+            .join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
             .filter(F.col("Id_exp").isNotNull())
-            .groupBy("Id_exp").agg(F.max(F.when(dhit, 1).otherwise(0)).alias("diagnostico_ocular"),
+            .groupBy("Id_exp").agg(F.max("_hit").alias("diagnostico_ocular"),
                                    F.count(F.lit(1)).alias("total_diagnosticos"))
         )
         risk = risk.join(diag_facts, "Id_exp", "left")

@@ -130,8 +130,9 @@ m AS (SELECT a.Id_exp, {money('d.subtotal')} AS monto, COUNT(*) AS estudios
 def patient_facts(t):
     visits = t.atencion.groupBy("Id_exp").agg(F.count(F.lit(1)).alias("visitas"))
     from ..operators._common import money_sum
-    amount = (t.cargos.select("id_atencion", "subtotal").join(t.atencion.select("id_atencion", "Id_exp"), "id_atencion")
-              .groupBy("Id_exp").agg(money_sum("subtotal").alias("monto"), F.count(F.lit(1)).alias("estudios")))
+    per_attention = t.cargos.groupBy("id_atencion").agg(money_sum("subtotal").alias("monto"), F.count(F.lit(1)).alias("estudios"))
+    amount = (per_attention.join(t.atencion.select("id_atencion", "Id_exp"), "id_atencion")
+              .groupBy("Id_exp").agg(F.sum("monto").cast("decimal(38,2)").alias("monto"), F.sum("estudios").alias("estudios")))
     return visits, amount
 
 

@@ -138,10 +138,10 @@ def r2(t):
 
 
 def bed_occupancy(t):
-    """Binding: the open attentions whose lines name a supplier occupy that supplier's bed."""
+    """Binding: the open attentions whose lines name a supplier occupy that supplier's bed. Several
+    lines may repeat a pair: ``bed_status`` takes the newest attention of a bed all the same."""
     open_att = t.atencion.filter("status = 'ABIERTA'").select("id_atencion", "fecha_ing")
-    return (t.cargos.select(F.col("id_medico").alias("id_cama"), "id_atencion").distinct()
-            .join(open_att, "id_atencion"))
+    return t.cargos.select(F.col("id_medico").alias("id_cama"), "id_atencion").join(open_att, "id_atencion")
 
 
 BED_SQL = """
