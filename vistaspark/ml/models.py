@@ -21,21 +21,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
+from ..operators.aggregates import ranked_quantiles
+from ..sources.sinks import scratch_path
 from .metrics import regression_metrics
 
-MIN_ROWS = 10  # fits need at least this many rows (as the reference requires)
-ROWS_PER_PARTITION = 100_000  # iterative fits: partitions sized to the data, not to the shuffle setting
+MIN_ROWS = 10  # fits need at least this many rows (a fixed value of the study)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Input of an iterative fit with about ``ROWS_PER_PARTITION`` rows per partition.
+def written(df: DataFrame) -> DataFrame:
+    """Input of a fit, written to the shared folder once and read back.
 
-    Every iteration of a fit is a Spark job over all input partitions; thousands of nearly
-    empty partitions (a large ``spark.sql.shuffle.partitions`` on a small table) would make each
-    iteration pay thousands of task launches. ``coalesce`` merges partitions without a shuffle
-    and never raises their number, so large inputs keep their parallelism."""
-    n = df.count()
-    return df.coalesce(max(1, -(-n // ROWS_PER_PARTITION)))
+    A fit reads its input many times (scaler, every iteration, the evaluation): the plan behind it
+    runs once, a lost executor costs a re-read, and Spark's file packing sizes the partitions."""
+    path = scratch_path(df.sparkSession, "fit")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- M16 split
@@ -95,7 +95,7 @@ def fit_regressors(df: DataFrame, features: Sequence[str], label: str, key: str,
 
     Returns (metrics table [modelo, r2, mae, mse, rmse, n], fitted pipeline models)."""
     _require_rows(df)
-    data = _sized(df.select(*features, F.col(label).cast("double").alias("label"), key).na.drop())
+    data = written(df.select(*features, F.col(label).cast("double").alias("label"), key).na.drop())
     train, test = split(data, key, 0.8, seed)
     estimators = {
         "lineal": LinearRegression(regParam=lr_reg, labelCol="label"),
@@ -126,7 +126,7 @@ def fit_penalised(df: DataFrame, features: Sequence[str], label: str, ridge_alph
 
     scikit-learn's ridge penalty is not divided by n, so ``regParam = alpha / n`` for ridge;
     lasso uses ``regParam = alpha``; both unstandardised to match."""
-    data = _sized(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
+    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
     n = data.count()
     spark = df.sparkSession
     specs = {"ordinario": (0.0, 0.0), "ridge": (ridge_alpha / max(n, 1), 0.0), "lasso": (lasso_alpha, 1.0)}
@@ -142,7 +142,7 @@ def fit_penalised(df: DataFrame, features: Sequence[str], label: str, ridge_alph
 
 def multi_fit(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Multiple regression (normal equations) with named coefficients and R2."""
-    data = _sized(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
+    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
     m = Pipeline(stages=_features(features, scale=False) + [LinearRegression(solver="normal", labelCol="label")]).fit(data)
     lr = m.stages[-1]
     rows = [("intercepto", float(lr.intercept))] + [(f, float(c)) for f, c in zip(features, lr.coefficients.toArray())]
@@ -154,9 +154,9 @@ def multi_fit(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 def fit_logistic(df: DataFrame, features: Sequence[str], target: str, key: str, seed: int = 42) -> DataFrame:
     """M6: logistic regression (20 iterations, reg 0.1) on label = target >= median, the median
     taken from the *training* rows; returns test predictions (label, prediction, probability)."""
-    data = _sized(df.select(*features, F.col(target).cast("double").alias("_t"), key).na.drop())
+    data = written(df.select(*features, F.col(target).cast("double").alias("_t"), key).na.drop())
     train, test = split(data, key, 0.8, seed)
-    med = train.select(F.percentile("_t", 0.5)).scalar()
+    med = ranked_quantiles(train, "_t", [0.5]).select(F.col("q")[0]).scalar()
     lab = lambda d: d.withColumn("label", F.when(F.col("_t") >= med, 1.0).otherwise(0.0))
     model = Pipeline(stages=_features(features) + [LogisticRegression(maxIter=20, regParam=0.1)]).fit(lab(train))
     pred = model.transform(lab(test))
@@ -165,14 +165,14 @@ def fit_logistic(df: DataFrame, features: Sequence[str], target: str, key: str,
 
 def fit_tree(df: DataFrame, features: Sequence[str], label: str, depth: int = 3, seed: int = 42) -> tuple[DataFrame, str]:
     """Decision tree classifier of the given depth; (in-sample predictions, printable rules)."""
-    data = _sized(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
+    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
     m = Pipeline(stages=_features(features, scale=False) + [DecisionTreeClassifier(maxDepth=depth, seed=seed)]).fit(data)
     return m.transform(data).select("label", "prediction"), m.stages[-1].toDebugString
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
     """Random-forest classifier; in-sample predictions."""
-    data = _sized(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
+    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
     m = Pipeline(stages=_features(features, scale=False) + [RandomForestClassifier(numTrees=trees, seed=seed)]).fit(data)
     return m.transform(data).select("label", "prediction")
 
@@ -234,7 +234,7 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, vec: str, label: s
 
 # ---------------------------------------------------------------- M18/M19/M21/M22/M24 unsupervised
 def _scaled(df: DataFrame, cols: Sequence[str], with_mean: bool = True) -> DataFrame:
-    data = _sized(df.select(*df.columns).na.drop(subset=list(cols)))
+    data = written(df.select(*df.columns).na.drop(subset=list(cols)))
     model = Pipeline(stages=_features(cols, scale=True, with_mean=with_mean)).fit(data)
     return model.transform(data)
 

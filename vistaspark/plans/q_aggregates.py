@@ -361,7 +361,7 @@ def a28(t):
     return A.revenue_share(t.cargos, "tipo")
 
 
-def _alert_sql() -> str:
+def alert_sql() -> str:
     parts = []
     for name, (lo, hi) in vitals.RANGES.items():
         conds = []
@@ -378,7 +378,7 @@ def _alert_sql() -> str:
 
 @query("a29_alert_rates", sql=f"""
 {with_roles('signos')}, w AS ({vitals.wide_sql()}),
-r AS ({_alert_sql()})
+r AS ({alert_sql()})
 SELECT signo, alertas, validos, {pct('alertas', 'validos')} AS porcentaje FROM r
 """)
 def a29(t):

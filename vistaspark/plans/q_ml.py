@@ -304,10 +304,11 @@ def m24(t):
 
 @query("m25_cluster_issues")
 def m25(t):
-    assigned = MD.kmeans_segments(features(t), FEATURE_COLS, 3)
+    f = MD.written(features(t))
+    assigned = MD.kmeans_segments(f, FEATURE_COLS, 3)
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    sweep = MD.kmeans_sweep(features(t), FEATURE_COLS, [3])
-    pca = MD.pca_summary(features(t), FEATURE_COLS, 3)
+    sweep = MD.kmeans_sweep(f, FEATURE_COLS, [3])
+    pca = MD.pca_summary(f, FEATURE_COLS, 3)
     sil = sweep.select(F.max("silueta")).scalar()
     var = pca.select(F.max("acumulada")).scalar()
     return MM.cluster_issues(t.spark, sizes, sil, var)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as AR
+from ..functions.dates import age_calendar
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import rules as R
@@ -12,11 +13,12 @@ from ..operators import windows as W
 from ..operators.filters import in_or_blank
 from . import reports, vitals
 from .bind import AS_OF_ORDERS, with_roles
-from .q_aggregates import BIRTH_SQL, age_sql, birth_dates
+from .dashboard import DashboardFilters, dashboard
+from .q_aggregates import BIRTH_SQL, OCULAR_WORDS, PROFILE_DEFAULT, PROFILE_RULES, age_sql, alert_sql, birth_dates, profile_case_sql
 from .q_joins import LINE_ORDER
-from .q_rules import BED_SQL, bed_occupancy
+from .q_rules import BED_SQL, STAR_RULES, bed_occupancy
 from .registry import query
-from .sqlkit import money, pct, r6
+from .sqlkit import contains_any, fold as sql_fold, money, pct, r6
 
 ROLES_ALL = ("atencion", "pacientes", "cargos", "catalogo", "camas")
 
@@ -289,18 +291,22 @@ def v18(t):
     return W.page(f, [F.desc("fecha_ing")], "id_atencion", 2, 25)
 
 
-@query("v19_study_requests", sql=f"""
+def _study_list_sql(kind: str, state: str) -> str:
+    return f"""
 {with_roles('cargos', 'catalogo', 'atencion', 'pacientes')},
 d AS (SELECT d.id_atencion, d.linea, c.nombre AS examen FROM cargos d JOIN catalogo c USING (id_catalogo)
-      WHERE c.tipo = 'PROMO' AND upper(trim(d.estado)) = 'PENDIENTE'),
+      WHERE c.tipo = '{kind}' AND upper(trim(d.estado)) = '{state}'),
 g AS (SELECT id_atencion, string_agg(examen, ', ' ORDER BY linea, examen) AS examenes, COUNT(*) AS n FROM d GROUP BY 1)
 SELECT g.*, a.Id_exp, p.nombre AS paciente FROM g JOIN atencion a USING (id_atencion) JOIN pacientes p USING (Id_exp)
-""")
-def v19(t):
+"""
+
+
+def _study_list(t, kind: str, state: str):
+    """Attentions with studies of a type in a state: names, number and patient."""
     from ..operators.filters import status_is
 
-    d = t.cargos.filter(status_is("estado", "PENDIENTE")).select("id_atencion", "linea", "id_catalogo").join(
-        t.catalogo.filter("tipo = 'PROMO'").select("id_catalogo", F.col("nombre").alias("examen")), "id_catalogo")
+    d = t.cargos.filter(status_is("estado", state)).select("id_atencion", "linea", "id_catalogo").join(
+        t.catalogo.filter(F.col("tipo") == kind).select("id_catalogo", F.col("nombre").alias("examen")), "id_catalogo")
     names = A.names_joined(d, "id_atencion", "examen", order="linea").withColumnRenamed("nombres", "examenes")
     n = d.groupBy("id_atencion").agg(F.count(F.lit(1)).alias("n"))
     a = t.atencion.select("id_atencion", "Id_exp").join(t.pacientes.select("Id_exp", F.col("nombre").alias("paciente")),
@@ -308,6 +314,26 @@ def v19(t):
     return names.join(n, "id_atencion").join(a, "id_atencion")
 
 
+@query("v19_study_requests", sql=_study_list_sql("PROMO", "PENDIENTE"))
+def v19(t):
+    return _study_list(t, "PROMO", "PENDIENTE")
+
+
+@query("v19_study_results", sql=_study_list_sql("PROMO", "REALIZADO"))
+def v19_results(t):
+    return _study_list(t, "PROMO", "REALIZADO")
+
+
+@query("v19_other_requests", sql=_study_list_sql("ECONOMY", "PENDIENTE"))
+def v19_other_requests(t):
+    return _study_list(t, "ECONOMY", "PENDIENTE")
+
+
+@query("v19_other_results", sql=_study_list_sql("ECONOMY", "REALIZADO"))
+def v19_other_results(t):
+    return _study_list(t, "ECONOMY", "REALIZADO")
+
+
 @query("v20_result_files", sql=f"""
 {with_roles('cargos', 'catalogo')},
 d AS (SELECT d.id_atencion, d.linea, c.nombre FROM cargos d JOIN catalogo c USING (id_catalogo)),
@@ -354,44 +380,106 @@ def _fmt_sql(x: str) -> str:
     return f"format('{{:,.2f}}', CAST({x} AS DOUBLE))"
 
 
-@query("v23_dashboard", sql=f"""
-{with_roles('pacientes', 'atencion', 'cargos', 'camas', 'signos')}, w AS ({vitals.wide_sql()}),
+def _clip_sql(x: str, n: int, blank: str) -> str:
+    x = f"COALESCE(NULLIF({x}, ''), '{blank}')"
+    return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 3}) || '...' ELSE {x} END)"
+
+
+def _long_sql(section: str, row: str, cols) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}', '{c}', {_fmt_sql(f'(SELECT {c} FROM {row})')}" for c in cols)
+
+
+_HIT = contains_any(sql_fold("nombre"), [w.upper() for w in OCULAR_WORDS])
+_DX_HIT = contains_any(sql_fold("texto"), [w.upper() for w in STAR_RULES.diagnosis_stems])
+
+
+def dashboard_sql(f: DashboardFilters, last: str) -> str:
+    """Twin of the dashboard for its filters; ``last`` is the first day of the last month."""
+    signs = list(vitals.RANGES) if f.sign == "all" else [f.sign]
+    way = lambda desc: "DESC" if desc else "ASC"
+    return f"""
+{with_roles('pacientes', 'atencion', 'cargos', 'catalogo', 'camas', 'signos', 'diagnosticos')}, w AS ({vitals.wide_sql()}),
+paid AS (SELECT * FROM cargos WHERE subtotal > 0),
+names AS (SELECT c.nombre, COUNT(*) AS n, COUNT(*) FILTER (WHERE subtotal > 0) AS cobros,
+                 {money('CASE WHEN subtotal > 0 THEN subtotal END')} AS monto
+          FROM cargos d JOIN catalogo c USING (id_catalogo) GROUP BY 1),
+hits AS (SELECT COUNT(*) AS k FROM names WHERE {_HIT}),
+st AS (SELECT * FROM names WHERE {_HIT} OR (SELECT k FROM hits) = 0),
+top AS (SELECT nombre, n FROM st ORDER BY n DESC, nombre LIMIT 7),
+est AS (SELECT {_clip_sql('nombre', 42, 'Sin nombre')} AS clave, n FROM top ORDER BY n {way(f.exam_desc)}, nombre LIMIT {f.exam_top}),
+prof AS (SELECT CASE WHEN (SELECT k FROM hits) > 0 THEN {profile_case_sql(sql_fold('nombre'))} ELSE 'Estudios registrados' END AS clave,
+                SUM(n) AS n FROM st GROUP BY 1 ORDER BY n DESC, clave LIMIT 7),
+per AS (SELECT * FROM prof ORDER BY n {way(f.profile_desc)}, clave LIMIT {f.profile_top}),
+svc AS (SELECT {_clip_sql('nombre', 48, 'Sin descripción')} AS clave, {r6('CAST(monto AS DOUBLE) / cobros')} AS v
+        FROM names WHERE cobros > 0 ORDER BY v {way(f.amount_desc)}, clave LIMIT {f.amount_top}),
+tip AS (SELECT COALESCE(tipo, 'Sin clasificar') AS clave, {money('subtotal')} AS v FROM paid GROUP BY 1
+        ORDER BY v DESC, clave LIMIT {f.revenue_top}),
+al AS (SELECT * FROM ({alert_sql()}) WHERE signo IN ({', '.join(f"'{x}'" for x in signs)})),
 occ AS (SELECT CASE WHEN GROUPING(area) = 1 THEN 'TOTAL' ELSE COALESCE(area, 'Sin dato') END AS area,
                {pct("COUNT(*) FILTER (WHERE COALESCE(ocupada, 0) = 1)", "COUNT(*)")} AS porcentaje
         FROM camas GROUP BY ROLLUP (area)),
 dem AS (SELECT a.especialidad || ' / ' || p.area AS clave, COUNT(*) AS n FROM atencion a JOIN pacientes p USING (Id_exp)
         GROUP BY 1 ORDER BY n DESC, clave LIMIT 5),
-mon AS (SELECT strftime(fecha_ing, '%Y-%m') AS clave, COUNT(*) AS n FROM atencion
-        WHERE fecha_ing >= DATE '2001-01-01' AND fecha_ing < DATE '2002-01-01' GROUP BY 1)
-SELECT 'kpi' AS seccion, 'pacientes' AS clave, {_fmt_sql('(SELECT COUNT(*) FROM pacientes)')} AS valor
-UNION ALL SELECT 'kpi', 'atenciones_abiertas', {_fmt_sql("(SELECT COUNT(*) FROM atencion WHERE status = 'ABIERTA')")}
-UNION ALL SELECT 'kpi', 'cargo_promedio', {_fmt_sql("(SELECT " + r6('AVG(subtotal)') + " FROM cargos)")}
-UNION ALL SELECT 'ocupacion', area, {_fmt_sql('porcentaje')} FROM occ
+ar0 AS (SELECT COALESCE(p.area, 'Sin dato') AS clave, COUNT(*) AS n FROM atencion a JOIN pacientes p USING (Id_exp) GROUP BY 1),
+ar1 AS (SELECT * FROM ar0 ORDER BY n DESC, clave LIMIT {f.area_top - 1}),
+ar AS (SELECT * FROM ar1 UNION ALL
+       SELECT 'Otros', (SELECT SUM(n) FROM ar0) - (SELECT SUM(n) FROM ar1)
+       WHERE (SELECT SUM(n) FROM ar0) > (SELECT SUM(n) FROM ar1)),
+ms AS (SELECT CAST(unnest(generate_series(DATE '{last}' - INTERVAL {f.trend_months - 1} MONTH, DATE '{last}', INTERVAL 1 MONTH))
+              AS DATE) AS mes),
+mc AS (SELECT CAST(date_trunc('month', fecha_ing) AS DATE) AS mes, COUNT(*) AS n FROM atencion GROUP BY 1),
+mon AS (SELECT strftime(ms.mes, '%Y-%m') AS clave, COALESCE(mc.n, 0) AS n FROM ms LEFT JOIN mc USING (mes)),
+ages AS (SELECT {age_sql('fecnac', f"DATE '{AS_OF_ORDERS}'")} AS edad FROM ({BIRTH_SQL})),
+q AS (SELECT COUNT(subtotal) AS n, quantile_cont(subtotal, 0.25) AS q1, quantile_cont(subtotal, 0.5) AS mediana,
+             quantile_cont(subtotal, 0.75) AS q3 FROM paid),
+sta AS (SELECT n, {r6('q1')} AS q1, {r6('mediana')} AS mediana, {r6('q3')} AS q3, {r6('q3 - q1')} AS iqr,
+               {r6('q3 + 1.5 * (q3 - q1)')} AS limite_superior,
+               (SELECT COUNT(*) FROM paid, q WHERE subtotal > q3 + 1.5 * (q3 - q1)) AS atipicos,
+               (SELECT {r6('AVG(subtotal)')} FROM paid) AS media, (SELECT {r6('AVG(edad)')} FROM ages) AS edad_promedio,
+               (SELECT COUNT(*) FROM diagnosticos WHERE {_DX_HIT}) AS diagnosticos_oculares FROM q),
+kpi AS (SELECT (SELECT COUNT(*) FROM pacientes) AS pacientes,
+               (SELECT COUNT(*) FROM atencion WHERE status = 'ABIERTA') AS atenciones_abiertas,
+               (SELECT SUM(n) FROM top) AS estudios,
+               (SELECT COUNT(DISTINCT a.Id_exp) FROM cargos d JOIN atencion a USING (id_atencion)
+                JOIN catalogo c USING (id_catalogo) WHERE {_HIT}) AS pacientes_oculares,
+               (SELECT {pct("COUNT(*) FILTER (WHERE ocupada = 1)", "COUNT(*)")} FROM camas) AS ocupacion,
+               (SELECT {r6('AVG(subtotal)')} FROM paid) AS cargo_promedio)
+SELECT 'ocupacion' AS seccion, area AS clave, {_fmt_sql('porcentaje')} AS valor FROM occ
+UNION ALL {_long_sql('kpi', 'kpi', ('pacientes', 'atenciones_abiertas', 'estudios', 'pacientes_oculares', 'ocupacion', 'cargo_promedio'))}
+UNION ALL {_long_sql('estadistica', 'sta', ('n', 'q1', 'mediana', 'q3', 'iqr', 'limite_superior', 'atipicos', 'media',
+                                            'edad_promedio', 'diagnosticos_oculares'))}
 UNION ALL SELECT 'demanda', clave, {_fmt_sql('n')} FROM dem
+UNION ALL SELECT 'area', clave, {_fmt_sql('n')} FROM ar
 UNION ALL SELECT 'tendencia', clave, {_fmt_sql('n')} FROM mon
-""")
+UNION ALL SELECT 'estudio', clave, {_fmt_sql('n')} FROM est
+UNION ALL SELECT 'perfil', clave, {_fmt_sql('n')} FROM per
+UNION ALL SELECT 'ingreso_tipo', {_clip_sql('clave', 30, 'Sin dato')}, {_fmt_sql('v')} FROM tip
+UNION ALL SELECT 'servicio', clave, {_fmt_sql('v')} FROM svc
+UNION ALL SELECT 'alertas', signo, {_fmt_sql('alertas')} FROM al
+UNION ALL SELECT 'alertas_pct', signo, {_fmt_sql(pct('alertas', 'validos'))} FROM al
+"""
+
+
+def _dashboard(t, filters: DashboardFilters):
+    ages = birth_dates(t).select(age_calendar("fecnac", AS_OF_ORDERS).alias("edad"))
+    return dashboard(t.pacientes, t.atencion, t.cargos, t.catalogo, t.camas, vitals.wide(t.signos), ages, t.diagnosticos,
+                     OCULAR_WORDS, STAR_RULES.diagnosis_stems, PROFILE_RULES, PROFILE_DEFAULT, vitals.RANGES,
+                     AS_OF_ORDERS, filters)
+
+
+@query("v23_dashboard", sql=dashboard_sql(DashboardFilters(), "2001-12-01"))
 def v23(t):
-    def fmt(c):
-        return F.format_number(c.cast("double"), 2)
-
-    spark = t.spark
-    kpi = A.kpis(spark, {
-        "pacientes": t.pacientes.select(F.count(F.lit(1))).scalar(),
-        "atenciones_abiertas": t.atencion.filter("status = 'ABIERTA'").select(F.count(F.lit(1))).scalar(),
-        "cargo_promedio": t.cargos.select(F.round(F.avg("subtotal"), 6)).scalar(),
-    })
-    kpi = kpi.selectExpr("stack(3, 'pacientes', CAST(pacientes AS double), 'atenciones_abiertas', "
-                         "CAST(atenciones_abiertas AS double), 'cargo_promedio', cargo_promedio) AS (clave, v)").select(
-        F.lit("kpi").alias("seccion"), "clave", fmt(F.col("v")).alias("valor"))
-    occ = A.occupancy(t.camas).select(F.lit("ocupacion").alias("seccion"), F.col("area").alias("clave"),
-                                      fmt(F.col("porcentaje")).alias("valor"))
-    j = t.atencion.select("Id_exp", "especialidad").join(t.pacientes.select("Id_exp", "area"), "Id_exp")
-    dem = A.demand(j.select(F.concat_ws(" / ", "especialidad", "area").alias("clave")), ["clave"], 5).select(
-        F.lit("demanda").alias("seccion"), "clave", fmt(F.col("n")).alias("valor"))
-    mon = (A.monthly_trend(t.atencion, "fecha_ing", 12, AS_OF_ORDERS).filter("n > 0")
-           .select(F.lit("tendencia").alias("seccion"), F.date_format("mes", "yyyy-MM").alias("clave"),
-                   fmt(F.col("n")).alias("valor")))
-    return kpi.unionByName(occ).unionByName(dem).unionByName(mon)
+    return _dashboard(t, DashboardFilters())
+
+
+#: Another choice of every filter.
+NARROW = DashboardFilters(trend_months=6, area_top=3, exam_top=3, exam_desc=False, profile_top=3, profile_desc=False,
+                          amount_top=5, amount_desc=False, revenue_top=3, sign="temp")
+
+
+@query("v23_dashboard_filtered", sql=dashboard_sql(NARROW, "2001-12-01"))
+def v23_filtered(t):
+    return _dashboard(t, NARROW)
 
 
 @query("v24_beds_sorted", sql=f"""
