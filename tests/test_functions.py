@@ -140,3 +140,16 @@ def test_fold_equals_nfkd_ascii_fold(spark):
     exp = [unicodedata.normalize("NFKD", r[0]).encode("ascii", "ignore").decode("ascii").upper().strip(" \t\n")
            for r in rows]
     assert got == exp
+
+
+def test_fold_covers_every_code_point(spark):
+    import unicodedata
+
+    points = [c for c in map(chr, range(0x20, 0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF and (
+        unicodedata.decomposition(c) or ord(c) < 0x3000)]
+    rows = [(f"a{c}b",) for c in points]
+    df = spark.createDataFrame(rows, "x string").repartition(8)
+    got = {r["x"]: r["y"] for r in df.select("x", TX.fold("x").alias("y")).collect()}
+    wrong = [f"{ord(c):X}" for c in points if got[f"a{c}b"] != TX.fold_word(f"a{c}b")]
+    assert not wrong, wrong[:20]
+    assert TX.fold_word("x…™ №") == "X...TM NO"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable, Sequence
 
@@ -11,35 +12,43 @@ from pyspark.sql import functions as F
 from ._util import col_of
 
 
-# Code-point ranges whose NFKD form can keep ASCII letters or digits: Latin-1 supplement,
-# Latin extended A/B, Latin extended additional, super/subscripts, number forms, ligatures and
-# fullwidth forms. Everything else non-ASCII is dropped by the fold, as NFKD + ASCII would.
-_FOLD_RANGES = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2150, 0x218F), (0xFB00, 0xFB06),
-                (0xFF01, 0xFF5E))
+def fold_word(w: str) -> str:
+    """T1 of one plain string: NFKD, non-ASCII dropped, upper, strip."""
+    return _ascii_part(w).upper().strip()
 
 
-def _fold_table(ranges=_FOLD_RANGES) -> tuple[str, str, str, dict[str, str]]:
-    """translate() tables built by rule: the ASCII part of each code point's NFKD form.
+def _ascii_part(text: str) -> str:
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
 
-    Returns (from_chars, to_chars, deleted_chars, multi): one ASCII character -> mapped, none ->
-    deleted, several (ligatures, fractions, digraphs) -> ``multi`` for string replacement.
-    """
-    src, dst, gone, multi = [], [], [], {}
-    for lo, hi in ranges:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            ascii_part = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-            if len(ascii_part) == 1:
-                src.append(ch)
-                dst.append(ascii_part)
-            elif ascii_part:
-                multi[ch] = ascii_part
-            else:
-                gone.append(ch)
-    return "".join(src), "".join(dst), "".join(gone), multi
 
+def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Every non-ASCII code point whose NFKD form keeps ASCII characters, by rule: those that keep
+    one character (as ``translate`` strings) and those that keep several (as pairs)."""
+    src, dst, several = [], [], []
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
+        kept = _ascii_part(ch) if unicodedata.decomposition(ch) else ""
+        if len(kept) == 1:
+            src.append(ch)
+            dst.append(kept)
+        elif kept:
+            several.append((ch, kept))
+    return "".join(src), "".join(dst), several
 
-_FOLD_FROM, _FOLD_TO, _FOLD_GONE, _FOLD_MULTI = _fold_table()
+
+def _class_of(chars: Iterable[str], gap: int = 16) -> str:
+    """A regex class that holds ``chars``; near neighbours are joined, so it may hold a few more."""
+    ranges: list[list[int]] = []
+    for cp in map(ord, chars):
+        if ranges and cp - ranges[-1][1] <= gap:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[" + "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges) + "]"
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
+_SEVERAL_PAIRS = "\n".join(ch + kept for ch, kept in _FOLD_SEVERAL)
+_SEVERAL_CLASS = _class_of(ch for ch, _ in _FOLD_SEVERAL)
 
 # Keywords that mark an ocular exam, and the exam-profile rules in priority
 # order (first match wins; anything else is "Otros estudios").
@@ -65,16 +74,15 @@ def strip_ws(c) -> Column:
 def fold(c) -> Column:
     """NFKD fold -> drop non-ASCII -> upper -> strip; null -> ''."""
     x = F.coalesce(col_of(c).cast("string"), F.lit(""))
-    mapped = F.translate(x, _FOLD_FROM + _FOLD_GONE, _FOLD_TO)  # one ASCII letter kept, or deleted
+    mapped = F.translate(x, _FOLD_FROM, _FOLD_TO)
     ascii_only = F.regexp_replace(mapped, r"[^\x00-\x7F]", "")
-    # characters that decompose to several letters (ligatures, fractions, digraphs) are left by
-    # translate; only a text that lost characters to the ASCII filter can hold one, so only such
-    # rare texts take the replacement chain
-    multi = mapped
-    for ch, rep in _FOLD_MULTI.items():
-        multi = F.replace(multi, F.lit(ch), F.lit(rep))
-    x = F.when(F.length(ascii_only) < F.length(mapped), F.regexp_replace(multi, r"[^\x00-\x7F]", "")) \
-        .otherwise(ascii_only)
+    # characters that decompose to several (ligatures, fractions, "...") are rare: only a text that
+    # lost characters to the ASCII filter and holds one goes through their replacement
+    pairs = F.split(F.lit(_SEVERAL_PAIRS), "\n")  # one literal: a character, then what it becomes
+    spelled = F.aggregate(pairs, mapped, lambda text, pair: F.replace(
+        text, F.substring(pair, 1, 1), F.substr(pair, F.lit(2))))
+    x = F.when((F.length(ascii_only) < F.length(mapped)) & mapped.rlike(_SEVERAL_CLASS),
+               F.regexp_replace(spelled, r"[^\x00-\x7F]", "")).otherwise(ascii_only)
     return strip_ws(F.upper(x))
 
 

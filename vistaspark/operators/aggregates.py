@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
-from ..functions.text import OCULAR_KEYWORDS, contains_any, fold
+from ..functions.text import OCULAR_KEYWORDS, contains_any, fold, fold_word
 from ._common import as_list, col_of, dense_index, money_sum, r6
 
 
@@ -303,12 +303,6 @@ def patients_with(df: DataFrame, patient: str, text_cols: Sequence[str], words:
     )
 
 
-def fold_word(w: str) -> str:
-    import unicodedata
-
-    return unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode("ascii").upper().strip()
-
-
 def revenue_share(df: DataFrame, key: str, amount: str = "subtotal") -> DataFrame:
     """Amount, count, % of the overall amount and mean per service, per type."""
     total = df.select(money_sum(amount)).scalar()

@@ -12,16 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, factor_list, fold
+from ..functions.text import contains_any, factor_list, fold, fold_word
 from ._common import rule_table
 
 
-def _fold_word(w: str) -> str:
-    import unicodedata
-
-    return unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode("ascii").upper().strip()
-
-
 # ---------------------------------------------------------------- R1 relapse risk
 @dataclass(frozen=True)
 class RelapseRules:
@@ -66,7 +60,7 @@ FACTOR_LABELS = ("Retina/Mácula", "Glaucoma/Nervio óptico", "Córnea", "Metab
 
 
 def _hit(ids: Sequence[int], stems: Sequence[str], id_col: Column, text: Column) -> Column:
-    return F.coalesce(id_col.isin(list(ids)), F.lit(False)) | contains_any(text, [_fold_word(s) for s in stems])
+    return F.coalesce(id_col.isin(list(ids)), F.lit(False)) | contains_any(text, [fold_word(s) for s in stems])
 
 
 def _steps(c: Column, steps: Sequence[tuple[int, int]]) -> Column:
@@ -148,7 +142,7 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     risk = base.join(facts, "Id_exp", "left")
     if diagnoses is not None:
         text = fold(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in diag_text_cols]))
-        dhit = contains_any(text, [_fold_word(s) for s in rules.diagnosis_stems])
+        dhit = contains_any(text, [fold_word(s) for s in rules.diagnosis_stems])
         diag_facts = (  # one flag per diagnosis meets the attentions, not its text
             diagnoses.select("id_atencion", F.when(dhit, 1).otherwise(0).alias("_hit"))
             .join(attentions.select("id_atencion", "Id_exp"), "id_atencion", "left")
@@ -165,6 +159,7 @@ def relapse_risk(details: DataFrame, headers: DataFrame, attentions: DataFrame,
     risk = risk.select("Id_exp", "primer_estudio", "ultimo_estudio",
                        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])
 
+    # fixed values: the points of the score
     r, g, c = F.col("estudios_retina"), F.col("estudios_glaucoma"), F.col("estudios_corneales")
     score = (
         _steps(F.col("total_examenes_oculares"), [(5, 3), (3, 2), (1, 1)])

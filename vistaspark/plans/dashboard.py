@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
-from ..functions.text import classify, clip_label, contains_any, fold
+from ..functions.text import classify, clip_label, contains_any, fold, fold_word
 from ..operators import aggregates as A
 from ..operators._common import money_sum, r6
 
@@ -71,7 +71,7 @@ def dashboard(patients: DataFrame, attentions: DataFrame, charges: DataFrame, ca
         F.count(F.lit(1)).alias("n"), money_sum(F.when(F.col("subtotal") > 0, F.col("subtotal"))).alias("monto"),
         F.count_if(F.col("subtotal") > 0).alias("cobros"))
         .join(catalogue.select("id_catalogo", "nombre"), "id_catalogo"))
-    hit = contains_any(fold("nombre"), [A.fold_word(w) for w in words])
+    hit = contains_any(fold("nombre"), [fold_word(w) for w in words])
     by_name = items.groupBy("nombre").agg(F.sum("n").alias("n"), F.sum("monto").alias("monto"),
                                           F.sum("cobros").alias("cobros"))
     matches = items.select(F.count_if(hit)).scalar()
@@ -95,7 +95,7 @@ def dashboard(patients: DataFrame, attentions: DataFrame, charges: DataFrame, ca
         "ocupacion": beds.select(pct(F.count_if(F.col("ocupada") == 1), F.count(F.lit(1)))).scalar(),
         "cargo_promedio": paid.select(r6(F.avg("subtotal"))).scalar(),
     })
-    folded = contains_any(fold("texto"), [A.fold_word(s) for s in stems])
+    folded = contains_any(fold("texto"), [fold_word(s) for s in stems])
     more = A.kpis(spark, {
         "media": paid.select(r6(F.avg("subtotal"))).scalar(),
         "edad_promedio": ages.select(r6(F.avg("edad"))).scalar(),

@@ -246,6 +246,14 @@ def b9b(t):
     return _admit(t)[1]
 
 
+@query("b9_beds_taken", sql=f"""
+{with_roles('pacientes', 'camas', 'atencion')}, {ADMIT_SQL}
+SELECT fb.id_cama, 1 AS ocupada FROM req JOIN fb USING (n)
+""")
+def b9c(t):
+    return _admit(t)[2]
+
+
 def _urgent_changes(t):
     urgent = t.atencion.filter("status = 'ABIERTA' AND especialidad = '1-URGENT'").select("id_atencion")
     return urgent.withColumn("id_medico", F.lit(0).cast("long"))

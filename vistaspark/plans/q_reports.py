@@ -229,6 +229,31 @@ def v14(t):
     return J.inner(s, t.pacientes.select("Id_exp", "nombre"), "Id_exp").orderBy(F.desc("fecha"), F.desc("id_signo"))
 
 
+@query("v14_diagnoses_of_attention", sql=f"""
+{with_roles('diagnosticos', 'atencion', 'pacientes')}
+SELECT x.id_diagnostico, a.id_atencion, a.Id_exp, p.nombre, x.lang, x.fuente
+FROM diagnosticos x JOIN atencion a ON x.id_diagnostico = a.id_atencion JOIN pacientes p USING (Id_exp)
+""")
+def v14_diagnoses(t):
+    d = t.diagnosticos.select("id_diagnostico", F.col("id_diagnostico").alias("id_atencion"), "lang", "fuente")
+    j = J.inner(d, t.atencion.select("id_atencion", "Id_exp"), "id_atencion")
+    return J.inner(j, t.pacientes.select("Id_exp", "nombre"), "Id_exp").orderBy(F.desc("id_diagnostico"))
+
+
+@query("v14_prescriptions_of_attention", sql=f"""
+{with_roles('cargos', 'catalogo', 'atencion', 'pacientes')}
+SELECT d.id_atencion, a.Id_exp, p.nombre, d.linea, c.nombre AS medicamento, d.cantidad, d.fecha
+FROM cargos d JOIN catalogo c USING (id_catalogo) JOIN atencion a USING (id_atencion) JOIN pacientes p USING (Id_exp)
+WHERE d.estado = 'PENDIENTE'
+""")
+def v14_prescriptions(t):
+    """Binding: lines still to be done, with the item to give."""
+    d = t.cargos.filter("estado = 'PENDIENTE'").select("id_atencion", "linea", "id_catalogo", "cantidad", "fecha")
+    j = J.inner(d, t.catalogo.select("id_catalogo", F.col("nombre").alias("medicamento")), "id_catalogo").drop("id_catalogo")
+    j = J.inner(j, t.atencion.select("id_atencion", "Id_exp"), "id_atencion")
+    return J.inner(j, t.pacientes.select("Id_exp", "nombre"), "Id_exp")
+
+
 @query("v15_service_catalogue", sql=f"""
 {with_roles('catalogo', 'cargos', 'camas')},
 pr AS (SELECT id_catalogo, MIN(id_medico) AS id_proveedor FROM cargos GROUP BY id_catalogo)

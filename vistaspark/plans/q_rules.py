@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import classify
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..operators.rules import RelapseRules
+from . import vitals
 from .bind import AS_OF_ORDERS, with_roles
-from .q_aggregates import BIRTH_SQL, age_sql, birth_dates
+from .q_aggregates import BIRTH_SQL, PROFILE_DEFAULT, PROFILE_RULES, age_sql, alert_sql, birth_dates, profile_case_sql
 from .q_joins import PATIENT_FACTS_SQL, patient_facts
 from .registry import query
 from .sqlkit import contains_any, fold as sql_fold, money, pct, r6
@@ -225,7 +227,6 @@ def r5(t):
 
 
 def clinical_metrics(t):
-    from . import vitals
     from ..operators.filters import out_of_range
     from ..operators.windows import sigma_outliers
     f = patient_features_basic(t)
@@ -269,7 +270,6 @@ def _fire_sql(metrics_cte: str, rules_rows, limit: int | None) -> str:
 
 
 def _clinical_metrics_sql() -> str:
-    from . import vitals
     from .q_filters import _oor_sql
     # RELAPSE_SQL starts with its own WITH clause; reuse its CTE body after the roles
     relapse_ctes = RELAPSE_SQL.split("det AS (", 1)[1]
@@ -345,21 +345,28 @@ def r8(t):
 
 
 @query("r9_role_guidance", sql=f"""
-{with_roles('cargos', 'pacientes', 'atencion', 'signos')},
+{with_roles('cargos', 'catalogo', 'pacientes', 'atencion', 'signos')}, w AS ({vitals.wide_sql()}),
+ex AS (SELECT c.nombre, COUNT(*) AS n FROM cargos d JOIN catalogo c USING (id_catalogo) GROUP BY 1),
 rk AS (
-  SELECT 'signo' AS tema, signo AS etiqueta, COUNT(*) AS n FROM signos GROUP BY signo
+  SELECT 'perfil' AS tema, {profile_case_sql(sql_fold('nombre'))} AS etiqueta, CAST(SUM(n) AS BIGINT) AS n FROM ex GROUP BY 2
+  UNION ALL SELECT 'alerta', signo, alertas FROM ({alert_sql()})
+  UNION ALL SELECT 'estudio', nombre, n FROM ex
   UNION ALL SELECT 'area', p.area, COUNT(*) FROM atencion a JOIN pacientes p USING (Id_exp) GROUP BY p.area
-  UNION ALL SELECT 'estado', estado, COUNT(*) FROM cargos GROUP BY estado
   UNION ALL SELECT 'mes', strftime(fecha_ing, '%Y-%m'), COUNT(*) FROM atencion GROUP BY 2),
 best AS (SELECT tema, etiqueta AS foco, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tema ORDER BY n DESC, etiqueta DESC) AS rn FROM rk) WHERE rn = 1)
 SELECT tema, foco, n, printf('Prioridad en %s: %s (%d)', tema, foco, n) AS texto FROM best
 """)
 def r9(t):
     cnt = lambda df, c: df.groupBy(F.col(c).alias("etiqueta")).agg(F.count(F.lit(1)).alias("n"))
+    # charges are counted per item before they meet the catalogue
+    items = A.value_counts(t.cargos, "id_catalogo").join(t.catalogo.select("id_catalogo", "nombre"), "id_catalogo")
+    exams = items.groupBy(F.col("nombre").alias("etiqueta")).agg(F.sum("n").alias("n"))
+    profiles = exams.groupBy(classify("etiqueta", PROFILE_RULES, PROFILE_DEFAULT).alias("etiqueta")).agg(F.sum("n").alias("n"))
+    alerts = A.alert_rates(vitals.wide(t.signos), vitals.RANGES).select(F.col("signo").alias("etiqueta"), F.col("alertas").alias("n"))
     area = t.atencion.select("Id_exp").join(t.pacientes.select("Id_exp", "area"), "Id_exp")
     month = t.atencion.select(F.date_format("fecha_ing", "yyyy-MM").alias("mes"))
-    return R.role_guidance({"signo": cnt(t.signos, "signo"), "area": cnt(area, "area"),
-                            "estado": cnt(t.cargos, "estado"), "mes": cnt(month, "mes")})
+    return R.role_guidance({"perfil": profiles, "alerta": alerts, "estudio": exams, "area": cnt(area, "area"),
+                            "mes": cnt(month, "mes")})
 
 
 @query("r10_executive_summary", sql=FINANCE_METRICS_SQL + "," + _fired_ctes("mt", R.FINANCE_FINDINGS) + f"""
