@@ -240,6 +240,44 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert found == expected and found
 
 
+def _best_windows(texts, items):
+    """(text's key, item's key) -> best similarity over every window, if at least 0.75."""
+    grams = lambda w: [tuple(w[k: k + 5]) for k in range(len(w) - 4)]
+    found = {}
+    for d, text in texts.items():
+        own = grams(text.lower().split())
+        for i, item in items.items():
+            target, length = Counter(grams(item.lower().split())), len(item.split())
+            for start in range(max(1, len(own) + 5 - length)) if target.keys() & set(own) else ():
+                window = Counter(own[start: start + length - 4])
+                shared = (window & target).total()
+                score = shared / (window.total() + target.total() - shared)
+                if score >= 0.75 and score > found.get((d, i), (0, 0))[0]:
+                    found[d, i] = score, start
+    return {k: (round(score, 9), start) for k, (score, start) in found.items()}
+
+
+def test_decontamination_finds_passages_at_the_limit(spark):
+    """Passages without some head and tail words, in another order of their halves, and with repeated words."""
+    rng = random.Random(7)
+    vocabulary = [f"w{n}" for n in range(400)]
+    some = lambda n: rng.choices(vocabulary, range(400, 0, -1), k=n)
+    items, texts = {}, {}
+    for i in range(150):
+        item = some(rng.randint(20, 80)) if i % 10 else some(6) * rng.randint(4, 9)
+        items[i] = " ".join(item)
+        cut = max(1, (len(item) - 4) // 7 - i % 2)
+        head = rng.randint(0, cut)
+        passage = item[head: len(item) - (cut - head)] if i % 3 else item[len(item) // 2:] + item[:len(item) // 2]
+        texts[i] = " ".join(some(rng.randint(0, 40)) + passage + some(rng.randint(0, 40)))
+    expected = _best_windows(texts, items)
+    assert len(expected) > 120
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string")
+    found = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start)
+             for r in decontaminate.contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    assert found == expected
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "three four five six seven eight nine ten"), (2, None), (3, ""), (4, "few words")],
                                   "item_id long, text string")
@@ -251,6 +289,14 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 7
 
 
+def test_decontamination_repeated_items(spark, odd_docs):
+    text = "three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (2, "few words")], "item_id long, text string")
+    rows = decontaminate.contaminated(odd_docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(d, i) for d in (3, 4, None) for i in (1, 2, None)} | {(5, 2), (6, 2)}
+    assert len(rows) == 3 * 4 + 3  # doc_ids 4 and 6 have two rows each
+
+
 def _brute_components(rows):
     sets = []
     for _, text in rows:

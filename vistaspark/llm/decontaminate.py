@@ -1,26 +1,21 @@
 """Benchmark decontamination in DataFrame functions only.
 
 A document is contaminated when one of its windows, as long as a benchmark item, is similar to the
-item. Windows that share no word shingle with any item have similarity 0, so only those aligned by
-a shared shingle (and their neighbours) are made. Every window and item gets a 64-bit SimHash of
-its words, weighted by their counts. Multi-index Hamming blocks find all items within RADIUS bits:
-the fingerprint is cut into BLOCKS blocks, of which at least one differs in at most RADIUS //
-BLOCKS bits, and the items are stored under every value that near to their own. Candidates are
-verified by the exact weighted Jaccard similarity of word shingles (weight: occurrences).
+item: weighted Jaccard similarity of word shingles (weight: occurrences). Every window counts and
+none is made: a window's similarity follows from the positions at which the text holds shingles of
+the item, and the first window of the greatest similarity ends at such a position or starts the
+text. Pairs of texts and items come from an exact prefix filter: a window that is similar enough
+lacks too few of an item's shingles to miss all of its rarest ones.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import materialise, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 75
-RADIUS, BLOCKS, BLOCK_BITS = 11, 4, 16
-SLACK = 2  # words by which a window may be shifted against the shared shingle
 BROADCAST_ROWS = 500_000  # the items' shingles are broadcast up to this count, else joined by shuffle
 
 _WORDS = r"filter(split(lower({}), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
@@ -37,81 +32,68 @@ def shingles_sql(h: str, size: int) -> str:
             f"transform(slice({h}, 1, size({h}) - {size - 1}), (x, i) -> xxhash64({size}, x{rest})))")
 
 
-def fingerprint_sql(h: str) -> str:
-    """SimHash of the word hashes as an array of BLOCKS block values: a bit is set when more than
-    half of the words have it."""
-    return (f"transform(sequence(0, {BLOCKS - 1}), k -> aggregate(sequence(0, {BLOCK_BITS - 1}), 0, (acc, j) -> acc + "
-            f"if(2 * size(filter({h}, x -> getbit(x, k * {BLOCK_BITS} + j) = 1)) > size({h}), shiftleft(1, j), 0)))")
-
-
 def weighted_set_sql(s: str) -> str:
     """A sorted multiset as a set: the n-th occurrence of a hash is an element of its own, so the
     Jaccard similarity of two such sets is the multisets' weighted one."""
     return f"transform({s}, (x, i) -> xxhash64(x, i - array_position({s}, x)))"
 
 
-def _described(rows: DataFrame, size: int) -> DataFrame:
-    """Rows with word hashes ``h`` -> also ``fp`` and ``elements`` (short ones: one shingle of all words)."""
-    short = f"if(size(h) = 0, cast(array() as array<bigint>), array(xxhash64(h)))"
-    return (rows.withColumn("s", F.expr(f"sort_array(if(size(h) < {size}, {short}, {shingles_sql('h', size)}))"))
-            .withColumn("elements", F.expr(weighted_set_sql("s"))).withColumn("fp", F.expr(fingerprint_sql("h"))).drop("s"))
+def _best_window_sql() -> str:
+    """The greatest (shared, -start) over all windows. ``at`` has the positions of the item's shingles in
+    the text in order, ``ends`` the indices of those where a window ends that may share enough."""
+    inside = "filter(slice(at, greatest(1, i + 2 - width), least(width, i + 1)), y -> y.p > at[i].p - width)"
+    return (f"array_max(transform(ends, i -> transform(array(sort_array(transform({inside}, y -> y.hash))), s -> struct("
+            f"size(array_intersect({weighted_set_sql('s')}, elements)) as shared, -greatest(0, at[i].p - width + 1) as back))[0]))")
 
 
-def find_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
-               radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text, ...), ``items`` (item_id, text, ...) -> (rid, item_id, similarity,
-    start, n_words): for each text (``rid`` is its hash) and item found in it the best window.
+    start, n_words): for each text (``rid`` is its hash) and item found in it the first best window.
 
-    Words are lower-cased. Items and texts of fewer words than ``size`` are one shingle. Null and
-    empty texts or items match nothing; repeated items count by their id; empty tables give no rows.
+    Words are lower-cased. Items of fewer words than ``size`` are one shingle. Null and empty texts
+    or items match nothing; repeated items count by their id; empty tables give no rows.
     """
     spark = docs.sparkSession
-    known = materialise(_described(
-        items.select("item_id", text_or_empty().alias("text")).select("item_id", word_hash_column("text").alias("h"))
-        .where("size(h) > 0"), size).withColumn("length", F.size("h")), "items")
-    runs = known.select("item_id", "length", "h", F.least("length", F.lit(size)).alias("run"))
-    lengths = sorted(r["run"] for r in runs.select("run").distinct().collect())  # at most ``size`` values
+    words = (items.select("item_id", text_or_empty().alias("text")).select("item_id", word_hash_column("text").alias("h"))
+             .where("size(h) > 0").withColumn("length", F.size("h")).withColumn("run", F.least("length", F.lit(size))))
+    words = words.withColumn("copy", F.xxhash64("h"))  # items of equal words are looked for once
+    ids = materialise(words.select("copy", "item_id").distinct(), "item-ids")
+    short = "".join(f"when run = {n} then {shingles_sql('h', n)} " for n in range(1, size))
+    known = materialise(words.drop("item_id").dropDuplicates(["copy"]).withColumn("s", F.expr(f"sort_array(case {short}else {shingles_sql('h', size)} end)"))
+                        .withColumn("elements", F.expr(weighted_set_sql("s"))).withColumn("width", F.size("s"))
+                        .withColumn("need", F.expr(f"greatest(1, ({percent} * width + 99) div 100)").cast("int")).drop("h"), "items")
+    lengths = sorted(r["run"] for r in known.select("run").distinct().collect())  # at most ``size`` values
     if not lengths:
         return spark.createDataFrame([], "rid long, item_id long, similarity double, start int, n_words int")
 
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("rid"), word_hash_column("coalesce(text, '')").alias("h"))
-    anchors = None
+    pieces = known.select("copy", "run", "width", "need", F.explode("s").alias("hash"))
+    small = F.broadcast if max(pieces.count(), ids.count()) <= BROADCAST_ROWS else (lambda d: d)
+    often = pieces.groupBy("run", "hash").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("copy").orderBy("often", "hash")
+    rare = materialise(pieces.join(often, ["run", "hash"]).withColumn("rank", F.row_number().over(rarest))
+                       .where("rank <= width - need + 1").select("hash", "copy").distinct(), "rare")
+
+    rows = docs.select(F.xxhash64(text_or_empty()).alias("rid"), word_hash_column("coalesce(text, '')").alias("h"))
+    held = None
     for run in lengths:
-        own = (runs.where(F.col("run") == run).select("length", F.posexplode(F.expr(shingles_sql("h", run))).alias("at", "hash"))
-               .distinct())
-        if own.count() <= BROADCAST_ROWS:
-            own = F.broadcast(own)
-        found = (rows.select("doc_id", "rid", F.size("h").alias("n"), F.posexplode(F.expr(shingles_sql("h", run))).alias("p", "hash"))
-                 .join(own, "hash")
-                 .select("doc_id", "rid", "length", F.expr("greatest(0, least(p - at, n - length))").alias("start")))
-        anchors = found if anchors is None else anchors.union(found)
+        found = (rows.select("rid", F.size("h").alias("n"), F.posexplode(F.expr(shingles_sql("h", run))).alias("p", "hash"))
+                 .join(small(often.where(F.col("run") == run).select("hash")), "hash"))
+        held = found if held is None else held.unionByName(found)
     # one row for each text; copies of a text meet here after a map-side combine
-    starts = materialise(anchors.groupBy("rid").agg(F.min("doc_id").alias("least"),
-                                                    F.collect_set(F.struct("length", "start")).alias("starts")), "anchors")
-
-    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("rid"), text_or_empty().alias("text"))
-    hit = texts.join(starts.withColumnRenamed("rid", "_rid"), (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    windows = (hit.select("rid", "starts", word_hash_column("text").alias("words"))
-               .select("rid", "words", F.explode(F.expr(
-                   f"array_distinct(flatten(transform(starts, w -> transform(sequence(-{slack}, {slack}), "
-                   "d -> struct(w.length as length, greatest(0, least(w.start + d, size(words) - w.length)) as start)))))")).alias("w"))
-               .select("rid", F.col("w.length").alias("length"), F.col("w.start").alias("start"),
-                       F.expr("slice(words, w.start + 1, w.length)").alias("h")))
-    windows = materialise(_described(windows, size).drop("h").dropDuplicates(["rid", "length", "start"]), "windows")
-
-    flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    stored = (known.select("item_id", "length", F.col("fp").alias("item_fp"), F.col("elements").alias("item_elements"),
-                           F.posexplode("fp").alias("block", "value"))
-              .withColumn("flip", F.explode(F.array(*[F.lit(x) for x in flips])))
-              .withColumn("value", F.expr("value ^ flip")).drop("flip"))
-    probes = windows.select("*", F.posexplode("fp").alias("block", "value"))
-    distance = " + ".join(f"bit_count(fp[{k}] ^ item_fp[{k}])" for k in range(BLOCKS))
-    near = probes.join(stored, ["length", "block", "value"]).where(f"{distance} <= {radius}")
-    both = F.expr("size(array_intersect(elements, item_elements))")
-    return (near.withColumn("shared", both).withColumn("together", F.expr("size(elements) + size(item_elements) - shared"))
-            .where(f"100 * shared >= {percent} * together")
-            .groupBy("rid", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("together")).alias("similarity"),
-                                                          (-F.col("start")).alias("back"), F.col("length"))).alias("best"))
+    held = materialise(held.groupBy("rid").agg(F.min("n").alias("n"), F.sort_array(F.collect_set(F.struct("p", "hash"))).alias("hits")),
+                       "hits")
+
+    pairs = held.select("rid", F.explode("hits.hash").alias("hash")).join(small(rare), "hash").select("rid", "copy").distinct()
+    near = (pairs.join(held, "rid").join(small(known), "copy")
+            .withColumn("at", F.expr("filter(hits, x -> array_contains(s, x.hash))")).drop("hits", "s")
+            .withColumn("ends", F.expr("if(size(at) < need, cast(array() as array<int>), "
+                                       "filter(sequence(need - 1, size(at) - 1), i -> at[i - need + 1].p > at[i].p - width))"))
+            .where("size(ends) > 0")
+            .withColumn("best", F.expr(_best_window_sql())))
+    return (near.withColumn("together", F.expr("least(n, length) - run + 1 + width - best.shared"))
+            .where(f"100 * best.shared >= {percent} * together").join(small(ids), "copy")
+            .groupBy("rid", "item_id").agg(F.max(F.struct((F.col("best.shared") / F.col("together")).alias("similarity"),
+                                                          F.col("best.back").alias("back"), F.col("length"))).alias("best"))
             .select("rid", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), F.col("best.length").alias("n_words")))
 
 
