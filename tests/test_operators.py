@@ -222,6 +222,18 @@ def test_knn_matches_brute_force(spark):
         assert got[i] == vals[np.argmax(counts)]
 
 
+def test_kmeans_study_best_k_and_cluster_table(spark):
+    rng = np.random.default_rng(3)
+    centres = [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)]
+    rows = [(float(x + rng.normal()), float(y + rng.normal())) for x, y in centres for _ in range(30)]
+    sweep, best, table = MD.kmeans_study(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], [2, 3, 4, 5])
+    scores = {r.k: (r.inercia, r.silueta) for r in sweep.collect()}
+    assert {r.criterio: (r.k, r.inercia, r.silueta) for r in best.collect()} == {
+        "codo": (3, *scores[3]), "silueta": (3, *scores[3])}
+    found = sorted((r.n, round(r.a_promedio / 40), round(r.b_promedio / 40)) for r in table.collect())
+    assert found == [(30, 0, 0), (30, 0, 1), (30, 1, 0)]
+
+
 def test_split_is_stable_under_repartition(spark):
     df = spark.range(0, 2000).withColumnRenamed("id", "k")
     a, _ = MD.split(df, "k", 0.8, 42)

@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 
 from ..operators.aggregates import ranked_quantiles
 from ..sources.sinks import scratch_path
-from .metrics import regression_metrics
+from .metrics import elbow, regression_metrics
 
 MIN_ROWS = 10  # fits need at least this many rows (a fixed value of the study)
 
@@ -277,7 +277,22 @@ def _in_parallel(fn, items, parallelism: int):
 
 def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42,
                  iters: int = 20, parallelism: int = 8) -> DataFrame:
-    """Inertia (training cost) and silhouette for each k in 2..min(10, n-1).
+    """Inertia (training cost) and silhouette for each k in 2..min(10, n-1)."""
+    return kmeans_study(df, cols, ks, seed, iters, parallelism)[0]
+
+
+def best_ks(sweep: DataFrame) -> DataFrame:
+    """(criterio, k, inercia, silueta): the k at the elbow of the inertia and the k of the highest
+    silhouette (to 4 decimals; the smallest of equal ones). The sweep is one row per k."""
+    silhouette = sweep.agg(F.max_by("k", F.struct(F.round("silueta", 4), -F.col("k"))).alias("k"))
+    best = (elbow(sweep).select(F.lit("codo").alias("criterio"), F.col("k_codo").alias("k"))
+            .unionByName(silhouette.select(F.lit("silueta").alias("criterio"), "k")))
+    return best.join(F.broadcast(sweep), "k").select("criterio", "k", "inercia", "silueta")
+
+
+def kmeans_study(df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42, iters: int = 20,
+                 parallelism: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the sweep, the best k by each criterion, size and column means of each cluster of the elbow's model).
 
     The scaled input is persisted once; the fits for different k are independent and run
     ``parallelism`` at a time. Each fit is seeded, so results do not depend on the order."""
@@ -289,13 +304,17 @@ def kmeans_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None =
 
         def fit(k):
             model = KMeans(k=k, seed=seed, maxIter=iters, featuresCol="features", predictionCol="cluster").fit(scaled)
-            return (k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(scaled))))
+            return model, (k, float(model.summary.trainingCost), float(ev.evaluate(model.transform(scaled))))
 
-        rows = _in_parallel(fit, ks, parallelism)
+        fitted = _in_parallel(fit, ks, parallelism)
     finally:
         scaled.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, inercia double, silueta double")
-    return out
+    sweep = df.sparkSession.createDataFrame([row for _, row in fitted], "k int, inercia double, silueta double")
+    best = best_ks(sweep)
+    chosen = elbow(sweep).first()["k_codo"] if fitted else None
+    model = next((m for m, row in fitted if row[0] == chosen), None)
+    clustered = model.transform(scaled) if model else scaled.withColumn("cluster", F.lit(0)).limit(0)
+    return sweep, best, cluster_means(clustered, cols)
 
 
 def trial_grid(df: DataFrame, cols: Sequence[str], comps: Sequence[int], ks: Sequence[int], seed: int = 42,

@@ -265,6 +265,19 @@ def m22(t):
     return MD.kmeans_sweep(features(t), FEATURE_COLS)
 
 
+@query("m22_best_k")
+def m22_best(t):
+    return MD.kmeans_study(features(t), FEATURE_COLS)[1]
+
+
+@query("m22_cluster_table")
+def m22_clusters(t):
+    table = MD.kmeans_study(features(t), FEATURE_COLS)[2]
+    mean = lambda c: F.round(f"{c}_promedio", 2)
+    return table.withColumn("perfil", R.cluster_profile(mean("edad"), mean("visitas"), mean("estudios"), mean("diagnosticos"),
+                                                        mean("monto")))
+
+
 def _sse_curve(t):
     """Binding: a deterministic (k, inertia) curve: within-bin squared error of the charge
     amount cut into k equal-width bins, k = 1..10."""
