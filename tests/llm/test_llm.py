@@ -210,6 +210,17 @@ def test_urls_odd_rows(spark):
     assert url_filter.filter_urls(pages.limit(0)).collect() == []
 
 
+def test_every_picked_stem_votes(spark):
+    texts = [f"{a}{b}stem" for a in "abcdefghijklmnopqrstuvwxyzéö" for b in "ae"]
+    stems = sorted(toxicity.Stem(t, repeated) for t in texts for repeated in (False, True))
+    voters = toxicity.Voters(stems)
+    assert voters.stems == stems and voters.votes == len(stems) + len(toxicity.PATTERNS)
+    docs = spark.createDataFrame([(n, n, f"{t}s {t}ed") for n, t in enumerate(texts)], "doc_id long, rid long, text string")
+    for r in toxicity.vote(docs, stems).collect():
+        votes = toxicity._unpack(np.array([r.pattern]), voters.bits)[0]
+        assert [s for s, v in zip(stems, votes) if v] == [toxicity.Stem(texts[r.doc_id], x) for x in (False, True)]
+
+
 # --- op7, op10: copies --------------------------------------------------------------------------
 
 def _words(text):

@@ -30,7 +30,8 @@ from ._io import materialise, table, text_or_empty
 from ._text import slices
 
 TRAIN_ROWS = 12_000  # labelled rows that the stems are induced from (lowest hash of doc_id)
-MOST_VOTERS = 26  # stems; each may vote in two ways
+MOST_VOTERS = 64  # stems, those of the greatest gain; each votes in two ways (the label model holds the square)
+WORD_BITS = 63  # votes in one long of a pattern
 COVER = 4  # stems wanted for each toxic document of the sample
 STEM_LENGTHS = range(3, 9)
 WORDS_PER_HIT = 250  # a repeated stem counts when at least one word in so many has it
@@ -144,7 +145,7 @@ class Voters:
     """The bit pattern of a text: stems, patterns, then counts and densities of hits."""
 
     def __init__(self, stems: list[Stem]):
-        self.stems = stems[:64 - len(PATTERNS) - len(COUNTS) - len(DENSITIES) - 1]
+        self.stems = stems
         self.names = sorted({s.text for s in self.stems})
         self.votes = len(self.stems) + len(PATTERNS)
         self.bits = self.votes + len(COUNTS) + len(DENSITIES)
@@ -161,7 +162,7 @@ class Voters:
 
         self.known = Known()
 
-    def pattern(self, text: str) -> int:
+    def pattern(self, text: str) -> list[int]:
         tokens = text.lower().split()
         times, forms = Counter(), {}
         hits = 0
@@ -192,14 +193,14 @@ class Voters:
         for n in DENSITIES:
             bits |= (hits > 0 and hits * n >= len(tokens)) << at
             at += 1
-        return bits
+        return [bits >> at & (1 << WORD_BITS) - 1 for at in range(0, self.bits, WORD_BITS)]
 
 
 _workers: dict[tuple, Voters] = {}
 
 
 def vote(docs: DataFrame, stems: list[Stem]) -> DataFrame:
-    """``docs`` (doc_id, rid, text) -> (doc_id, rid, pattern long)."""
+    """``docs`` (doc_id, rid, text) -> (doc_id, rid, pattern array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tuple(stems)
@@ -210,15 +211,17 @@ def vote(docs: DataFrame, stems: list[Stem]) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.record_batch({"doc_id": part.column(0), "rid": part.column(1), "pattern": pa.array(
-                    list(map(voters.pattern, part.column(2).to_pylist())), pa.int64())})
+                    list(map(voters.pattern, part.column(2).to_pylist())), pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, rid long, pattern long")
+    return docs.mapInArrow(run, "doc_id long, rid long, pattern array<long>")
 
 
 # --- label model and classifier ---------------------------------------------------------------
 
 def _unpack(patterns: np.ndarray, bits: int) -> np.ndarray:
-    return ((patterns[:, None] >> np.arange(bits)) & 1).astype(np.float64)
+    """[row, bit] of patterns [row, word]."""
+    at = np.arange(bits)
+    return ((patterns[:, at // WORD_BITS] >> at % WORD_BITS) & 1).astype(np.float64)
 
 
 def add_up(patterns: DataFrame, per_batch) -> np.ndarray:
@@ -229,7 +232,8 @@ def add_up(patterns: DataFrame, per_batch) -> np.ndarray:
         total = None
         for batch in batches:
             if batch.num_rows:
-                v = per_batch(*(np.asarray(batch.column(i)) for i in range(3)))
+                words = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                v = per_batch(words, *(np.asarray(batch.column(i)) for i in (1, 2)))
                 total = v if total is None else total + v
         if total is not None:
             yield pa.record_batch({"i": pa.array(np.arange(len(total)), pa.int32()), "v": pa.array(total)})
@@ -349,7 +353,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         w = fit_classifier(patterns, model, voters.votes, voters.bits)
         odds = F.lit(float(w[-1]))
         for i in range(voters.bits):
-            odds = odds + F.when(F.getbit("pattern", F.lit(i)) == 1, float(w[i])).otherwise(0.0)
+            odds = odds + F.when(F.getbit(F.col("pattern")[i // WORD_BITS], F.lit(i % WORD_BITS)) == 1, float(w[i])).otherwise(0.0)
         value = 1 / (1 + F.exp(-odds))
     return (voted.select("doc_id", "rid", held_out.alias("held_out"), value.alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
