@@ -222,6 +222,21 @@ def test_knn_matches_brute_force(spark):
         assert got[i] == vals[np.argmax(counts)]
 
 
+def test_knn_blocks_follow_the_rows(spark):
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(400, 3))
+    labels = (pts[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(x) for x in p], int(l)) for i, (p, l) in enumerate(zip(pts, labels))],
+                               "id long, v array<double>, label long")
+    train, test = df.filter("id < 300"), df.filter("id >= 300")
+    assert (MD.knn_blocks(train, 50), MD.knn_blocks(test, 50), MD.knn_blocks(test), MD.knn_blocks(test.limit(0))) == (6, 4, 4, 4)
+    got = {r.id: r.prediccion for r in MD.knn_classify(train, test, "id", "v", "label", k=3, block_rows=50).collect()}
+    assert len(got) == 100
+    for i in range(300, 400):
+        near = np.lexsort((np.arange(300), ((pts[:300] - pts[i]) ** 2).sum(1)))[:3]
+        assert got[i] == np.bincount(labels[near]).argmax()
+
+
 def test_kmeans_study_best_k_and_cluster_table(spark):
     rng = np.random.default_rng(3)
     centres = [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)]

@@ -25,6 +25,7 @@ from ..operators.aggregates import ranked_quantiles
 from ..sources.sinks import scratch_path
 from .metrics import elbow, regression_metrics
 
+BLOCK_ROWS, LEAST_BLOCKS = 10_000, 4  # rows of one side in a kNN block, blocks of a small table
 MIN_ROWS = 10  # fits need at least this many rows (a fixed value of the study)
 
 
@@ -178,8 +179,13 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str, trees: int =
 
 
 # ---------------------------------------------------------------- M12 k nearest neighbours
+def knn_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks of one side: ``block_rows`` rows on average, at least LEAST_BLOCKS so that small tables use several tasks."""
+    return max(LEAST_BLOCKS, -(-rows.count() // block_rows))
+
+
 def knn_classify(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 3,
-                 blocks_test: int = 4, blocks_train: int = 4) -> DataFrame:
+                 blocks_test: int | None = None, blocks_train: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k-nearest-neighbour majority vote (k = min(k, n_train)); ties in distance by
     train key, ties in votes by the smallest label.
 
@@ -187,9 +193,10 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, vec: str, label: s
     block) pair meets in one cogroup where numpy computes the block's distances and emits only
     the k best candidates per test row. Candidates per test row are then bounded by
     k * blocks_train and reduced to the final k. No pair is ever materialised as a row and no
-    group holds more than one block of each side.
+    group holds more than one block of each side, ``block_rows`` rows on average; without given
+    counts there are as many blocks as the row counts need.
     """
-    bt, br = blocks_test, blocks_train
+    bt, br = blocks_test or knn_blocks(test, block_rows), blocks_train or knn_blocks(train, block_rows)
     te = test.select(F.col(key).alias("qid"), F.col(vec).alias("qv"),
                      F.pmod(F.xxhash64(F.col(key)), F.lit(bt)).cast("int").alias("tb"))
     tr = train.select(F.col(key).alias("rid"), F.col(vec).alias("rv"), F.col(label).alias("rl"),
