@@ -3,14 +3,13 @@ import sys
 
 import pytest
 
+from datasets import SF_SMALL
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 os.environ.setdefault("ORACLE_TYPES", "1")  # schema types must match too
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -6,9 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tools.oracle_check import compare, duck
 
-from conftest import SF_SMALL
-
-SF_LARGE = "/root/testdata/sf0.1"
+from datasets import SF_LARGE, SF_SMALL
 
 INVARIANT = ["a1_revenue_by", "a15_duplicate_keys", "a30_iqr_summary", "w2_cash_cut", "b5_assign_ids",
              "b9_admit_attentions", "r1_relapse_summary", "j9_assemble", "v17_census", "m12_knn_classify",

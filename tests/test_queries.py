@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tools.oracle_check import compare, duck
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from vistaspark.plans.catalog import REGISTRY
 
 QUERIES = {k: q for k, q in E.queries().items() if k in REGISTRY}  # tests/llm has the others
