@@ -6,10 +6,13 @@ return the data read back, so the check covers the full write -> read round trip
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import aggregates as A
+from ..sources import backups as B
 from ..sources import sinks as S
 from ..sources import tables as TB
 from . import vitals
@@ -155,6 +158,111 @@ def s8b(t):
                             "2001-06-01 00:00:00")
 
 
+# S8 copies: the tables as they were at four times. signos keeps RETAINED days (older rows are deleted),
+# usuarios is one row for each user (rows change), atencion does not change after the full copy.
+RETAINED = 12
+COPIES = [(B.FULL, dt.datetime(2024, 1, 13), None), (B.INCREMENTAL, dt.datetime(2024, 1, 18), 1),
+          (B.INCREMENTAL, dt.datetime(2024, 1, 22), 2), (B.DIFFERENTIAL, dt.datetime(2024, 1, 27), 1)]
+
+
+def tables_at(t, now: dt.datetime) -> dict[str, B.Source]:
+    at = F.lit(now).cast("timestamp_ntz")
+    seen = t.signos.where(F.col("fecha") <= at)
+    users = seen.groupBy("id_usuario").agg(F.count(F.lit(1)).alias("acciones"), F.max("fecha").alias("ultima"))
+    return {"signos": B.Source(seen.where(F.col("fecha") > F.lit(now - dt.timedelta(days=RETAINED)).cast("timestamp_ntz")), ["id_signo"], "fecha"),
+            "usuarios": B.Source(users, ["id_usuario"], "ultima"),
+            "atencion": B.Source(t.atencion, ["id_atencion"], "fecha_ing")}
+
+
+def copied(t, *names: str) -> B.BackupStore:
+    """The four copies of the named tables (all if none is named)."""
+    store = B.BackupStore(t.spark, S.scratch_path(t.spark, "copies"))
+    for kind, now, _ in COPIES:
+        tables = tables_at(t, now)
+        store.copy({n: tables[n] for n in names or tables}, kind, now)
+    return store
+
+
+def _ts(x: dt.datetime) -> str:
+    return f"TIMESTAMP '{x:%Y-%m-%d %H:%M:%S}'"
+
+
+def state_sql(name: str, now: dt.datetime) -> str:
+    old = now - dt.timedelta(days=RETAINED)
+    return {"signos": f"SELECT * FROM signos WHERE fecha <= {_ts(now)} AND fecha > {_ts(old)}",
+            "usuarios": f"SELECT id_usuario, COUNT(*) AS acciones, MAX(fecha) AS ultima FROM signos WHERE fecha <= {_ts(now)} GROUP BY id_usuario",
+            "atencion": "SELECT * FROM atencion"}[name]
+
+
+def control_sql() -> str:
+    """The control rows from the tables' states alone: what the base's mark and keys leave over."""
+    parts = []
+    for name, key, stamp in (("signos", "id_signo", "fecha"), ("usuarios", "id_usuario", "ultima"), ("atencion", "id_atencion", "fecha_ing")):
+        for version, (kind, now, base) in enumerate(COPIES, 1):
+            here, there = state_sql(name, now), state_sql(name, COPIES[base - 1][1]) if base else None
+            mark = f"(SELECT CAST(MAX({stamp}) AS TIMESTAMP) FROM ({there}))" if base else "CAST(NULL AS TIMESTAMP)"
+            late = f"CAST({stamp} AS TIMESTAMP) > {mark} OR {key} NOT IN (SELECT {key} FROM ({there}))" if base else "TRUE"
+            gone = f"(SELECT COUNT(*) FROM ({there}) WHERE {key} NOT IN (SELECT {key} FROM ({here})))" if base else "0"
+            parts.append(f"""SELECT CAST({version} AS INTEGER) AS version, '{kind}' AS tipo, {_ts(now)} AS copiada, '{name}' AS tabla, '{key}' AS llaves,
+       CAST({base or 'NULL'} AS INTEGER) AS base, {mark} AS desde, (SELECT COUNT(*) FROM ({here}) WHERE {late}) AS filas,
+       CAST({gone} AS BIGINT) AS bajas, (SELECT CAST(MAX({stamp}) AS TIMESTAMP) FROM ({here})) AS nueva_marca""")
+    return "\nUNION ALL\n".join(parts)
+
+
+CHANGED = "tabla, base, desde, filas, bajas, nueva_marca"
+
+
+@query("s8_control", sql=f"{with_roles('signos', 'atencion')}, control AS ({control_sql()}) SELECT * FROM control")
+def s8_control(t):
+    return copied(t).control()
+
+
+@query("s8_differential", sql=f"""
+{with_roles('signos', 'atencion')}, control AS ({control_sql()})
+SELECT {CHANGED} FROM control WHERE tipo = 'diferencial' AND filas + bajas > 0
+""")
+def s8_differential(t):
+    """Tables that changed since the last full copy."""
+    return copied(t).control().where(f"tipo = '{B.DIFFERENTIAL}' AND filas + bajas > 0").selectExpr(*CHANGED.split(", "))
+
+
+@query("s8_incremental", sql=f"""
+{with_roles('signos', 'atencion')}, control AS ({control_sql()})
+SELECT version, {CHANGED} FROM control WHERE tipo = 'incremental' AND filas + bajas > 0
+""")
+def s8_incremental(t):
+    """Tables that changed since the last copy of any kind, copy by copy."""
+    return copied(t).control().where(f"tipo = '{B.INCREMENTAL}' AND filas + bajas > 0").selectExpr("version", *CHANGED.split(", "))
+
+
+_NOW, _BASE = COPIES[3][1], COPIES[0][1]
+
+
+@query("s8_delta_export", sql=f"""
+{with_roles('signos')}, ahora AS ({state_sql('signos', _NOW)}), antes AS ({state_sql('signos', _BASE)})
+SELECT id_signo, fecha, id_usuario, signo, valor, props, 'U' AS _op FROM ahora WHERE fecha > (SELECT MAX(fecha) FROM antes)
+UNION ALL
+SELECT id_signo, NULL, NULL, NULL, NULL, NULL, 'D' FROM antes WHERE id_signo NOT IN (SELECT id_signo FROM ahora)
+""")
+def s8_delta_export(t):
+    """The rows and tombstones of the differential copy of signos, read from the store."""
+    store = copied(t, "signos")
+    return store.delta_rows("signos", store.last([B.DIFFERENTIAL]))
+
+
+@query("s8_s9_replay", sql=f"""
+{with_roles('signos')}
+SELECT 3 AS version, * FROM ({state_sql('signos', COPIES[2][1])})
+UNION ALL
+SELECT 4, * FROM ({state_sql('signos', _NOW)})
+""")
+def s8_replay(t):
+    """signos restored from the store: full plus two incremental copies, and full plus the differential one."""
+    store = copied(t, "signos")
+    return store.restore("signos", 3).select(F.lit(3).alias("version"), "*").unionByName(
+        store.restore("signos", 4).select(F.lit(4).alias("version"), "*"))
+
+
 @query("s10_retain_latest", sql=f"""
 {with_roles('signos')}
 SELECT id_signo, fecha, id_usuario, signo, valor, props FROM (
