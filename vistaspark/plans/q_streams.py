@@ -8,6 +8,8 @@ the stream's answer equals the batch answer, which is what the DuckDB twin state
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.sinks import scratch_path
 from ..streaming import monitors as X
 from . import vitals
@@ -51,3 +53,29 @@ def x2(t):
     events = X.event_stream(t.spark, t.root, "events.parquet")
     X.run_to_changelog(X.actions_per_user_stream(events), f"{base}/log", f"{base}/chk")
     return X.current_state(t.spark, f"{base}/log", ["id_usuario"], ["acciones", "ultima"])
+
+
+# X2 pending requests: each user is a request whose events are its state changes; the type is the user's group
+STATES = {"purchase": "REALIZADO", "error": "CANCELADO"}
+GROUPS = 7
+
+
+def request_changes(events):
+    """The event stream as state changes of requests."""
+    estado = F.lit("PENDIENTE")
+    for kind, state in STATES.items():
+        estado = F.when(F.col("event_type") == kind, state).otherwise(estado)
+    return events.select(F.col("user_id").alias("id_solicitud"), F.concat(F.lit("tipo "), (F.col("user_id") % GROUPS).cast("string")).alias("tipo"),
+                         estado.alias("estado"), "ts", F.col("event_id").alias("secuencia"))
+
+
+@query("x2_pending_per_type_stream", sql=f"""
+WITH ultimo AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS ultimo FROM events GROUP BY user_id)
+SELECT 'tipo ' || CAST(user_id % {GROUPS} AS VARCHAR) AS tipo, COUNT(*) AS pendientes
+FROM ultimo WHERE ultimo NOT IN ({', '.join(f"'{k}'" for k in STATES)}) GROUP BY 1
+""")
+def x2_pending(t):
+    base = scratch_path(t.spark, "x2-pending")
+    events = X.event_stream(X.stateful_session(t.spark), t.root, "events.parquet")
+    X.run_to_change_log(X.pending_changes_stream(request_changes(events)), f"{base}/log", f"{base}/chk")
+    return X.pending_now(t.spark, f"{base}/log")
