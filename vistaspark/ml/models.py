@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
-from ..operators.aggregates import ranked_quantiles
+from ..operators.quantiles import exact_quantiles
 from ..sources.sinks import scratch_path
 from .metrics import elbow, regression_metrics
 
@@ -157,7 +157,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], target: str, key: str,
     taken from the *training* rows; returns test predictions (label, prediction, probability)."""
     data = written(df.select(*features, F.col(target).cast("double").alias("_t"), key).na.drop())
     train, test = split(data, key, 0.8, seed)
-    med = ranked_quantiles(train, "_t", [0.5]).select(F.col("q")[0]).scalar()
+    med = F.lit((exact_quantiles(train, {"_t": [0.5]}).first()["_t"] or [None])[0]).cast("double")
     lab = lambda d: d.withColumn("label", F.when(F.col("_t") >= med, 1.0).otherwise(0.0))
     model = Pipeline(stages=_features(features) + [LogisticRegression(maxIter=20, regParam=0.1)]).fit(lab(train))
     pred = model.transform(lab(test))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
 from ..functions.text import OCULAR_KEYWORDS, contains_any, fold, fold_word
-from ._common import as_list, col_of, dense_index, money_sum, r6
+from ._common import as_list, col_of, money_sum, r6
+from .quantiles import exact_quantiles
 
 
 # ---------------------------------------------------------------- A1-A3 finance aggregates
@@ -335,37 +336,10 @@ def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
 
 
 def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation (as ``percentile``), by distributed ranking.
-
-    Rows are range-partitioned on (group, value, row id) and numbered (:func:`dense_index`);
-    a group's local rank is its global rank minus the group's first rank (one partial
-    aggregate per group). The ranks around each position (n - 1) * p are picked with one
-    conditional aggregate and interpolated. The row id breaks ties, so a group or a value
-    holding a third of the rows is still spread over many range partitions, and nothing is
-    merged in one task. Returns one row per group with an array ``q`` (one row, no groups,
-    when ``by`` is empty; null quantiles on empty input).
-    """
-    by = list(by)
-    vals = (df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-            .withColumn("_t", F.monotonically_increasing_id()))
-    ranked = dense_index(vals, [*by, "_x", "_t"], start=0, index_name="_i")
-    if by:
-        starts = ranked.groupBy(*by).agg(F.min("_i").alias("_s"), F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(starts, by).withColumn("_i", F.col("_i") - F.col("_s"))
-    else:
-        ranked = ranked.withColumn("_n", vals.select(F.count(F.lit(1))).scalar())
-    picks = [F.first("_n").alias("_n")]
-    for j, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [F.max(F.when(F.col("_i") == F.floor(h), F.col("_x"))).alias(f"_lo{j}"),
-                  F.max(F.when(F.col("_i") == F.ceil(h), F.col("_x"))).alias(f"_hi{j}")]
-    row = ranked.groupBy(*by).agg(*picks)
-    qs = []
-    for j, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo_v, hi_v = F.col(f"_lo{j}"), F.col(f"_hi{j}")
-        qs.append(lo_v + (h - F.floor(h)) * (hi_v - lo_v))
-    return row.select(*by, F.array(*qs).alias("q"))
+    """Exact quantiles with linear interpolation (as ``percentile``), by selection
+    (:func:`exact_quantiles`): one row per group with an array ``q`` (one row, no groups, when
+    ``by`` is empty; null on empty input)."""
+    return exact_quantiles(df, {c: probs}, by).select(*by, F.col(c).alias("q"))
 
 
 def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | None = None,
@@ -374,23 +348,20 @@ def iqr_summary(df: DataFrame, c: str, k: float = 1.5, approx_accuracy: int | No
 
     ``method="exact"``: Spark's ``percentile`` (a value -> count map merged in one task: fine
     when distinct values are bounded, e.g. money in cents). ``method="rank"``: exact by
-    distributed ranking (:func:`ranked_quantiles`), for unbounded value domains.
-    ``approx_accuracy``: ``percentile_approx`` with bounded memory.
+    selection (:func:`exact_quantiles`), for unbounded value domains; its passes run when this is
+    called. ``approx_accuracy``: ``percentile_approx`` with bounded memory.
     """
     probs = [0.25, 0.5, 0.75]
     if approx_accuracy is not None:
         qrow = df.agg(F.percentile_approx(c, probs, approx_accuracy).cast("array<double>").alias("q"))
     elif method == "rank":
-        qrow = ranked_quantiles(df, c, probs)
+        q = ranked_quantiles(df, c, probs).first().q
+        qrow = df.sparkSession.range(1).select(F.array(*map(F.lit, q or [None] * 3)).cast("array<double>").alias("q"))
     else:
         qrow = df.agg(F.percentile(c, probs).alias("q"))
-    # with method="rank" the ranking runs twice (for the output row and for the fence of the
-    # second pass): it contains the partition id, so Spark does not reuse it, and caching would
-    # let later queries read a stale result
     q1, q2, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
     fence = q3 + F.lit(k) * (q3 - q1)
-    # the quartiles are columns of the one-row frame; the fence reaches the second pass as one
-    # scalar subquery (ranked quantiles are not usable inside an aggregate)
+    # the quartiles are columns of the one-row frame; the fence reaches the second pass as one scalar subquery
     fence_s = qrow.select(fence).scalar()
     n = df.select(F.count(c)).scalar()
     above = df.filter(F.col(c) > fence_s).select(F.count(F.lit(1))).scalar()
@@ -424,14 +395,11 @@ def histogram(df: DataFrame, c: str, k: int | None = None) -> DataFrame:
 
 
 def box_stats(df: DataFrame, key: str, c: str, method: str = "exact") -> DataFrame:
-    """Five-number summary per group (exact percentiles). ``method="rank"`` ranks within
-    groups distributedly (:func:`ranked_quantiles`) instead of merging each group's value map
-    in one task."""
+    """Five-number summary per group (exact percentiles). ``method="rank"`` selects within
+    groups (:func:`exact_quantiles`) instead of merging each group's value map in one task."""
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     if method == "rank":
-        counts = df.groupBy(key).agg(F.count(c).alias("n"))
-        qd = ranked_quantiles(df, c, probs, by=[key]).withColumnRenamed("q", "_q")
-        j = counts.join(qd, key, "left")
+        j = exact_quantiles(df, {c: probs}, by=[key]).select(key, F.col(c).alias("_q"), F.col(f"{c}__n").alias("n"))
     else:
         j = df.groupBy(key).agg(F.percentile(c, probs).alias("_q"), F.count(c).alias("n"))
     return j.select(
@@ -453,7 +421,7 @@ def kpis(spark, metrics: Mapping[str, Column]) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
     """Count, mean, std, min, quartiles, max per column, as rows (exact quartiles;
-    ``method="rank"`` takes them from :func:`ranked_quantiles`)."""
+    ``method="rank"`` takes them all from one :func:`exact_quantiles`)."""
     aggs = []
     for c in cols:
         aggs += [
@@ -462,8 +430,9 @@ def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataF
             F.max(c).cast("double").alias(f"{c}__max"),
         ] + ([] if method == "rank" else [F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q")])
     wide = df.agg(*aggs)
-    if method == "rank":  # quartiles join the one-row aggregate as projected scalars
-        wide = wide.select("*", *[ranked_quantiles(df, c, [0.25, 0.5, 0.75]).scalar().alias(f"{c}__q") for c in cols])
+    if method == "rank":
+        q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}).first()
+        wide = wide.select("*", *[F.array(*map(F.lit, q[c] or [None] * 3)).cast("array<double>").alias(f"{c}__q") for c in cols])
     rows = ", ".join(
         f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, round(`{c}__q`[0], 6), "
         f"round(`{c}__q`[1], 6), round(`{c}__q`[2], 6), `{c}__max`"

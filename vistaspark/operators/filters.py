@@ -151,11 +151,13 @@ def stock_risk(stock, sales, hi_stock: float = 10, hi_sales: float = 100, mid_st
 
 def impute_median(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
     """nulls -> exact column median. ``method="exact"``: Spark's ``percentile`` (one
-    scalar subquery for all columns); ``method="rank"``: distributed ranking per column."""
+    scalar subquery for all columns); ``method="rank"``: selection, one set of passes for all
+    columns, run when this is called."""
     if method == "rank":
-        from .aggregates import ranked_quantiles
+        from .quantiles import exact_quantiles
 
-        meds = {c: ranked_quantiles(df, c, [0.5]).scalar()[0] for c in cols}
+        found = exact_quantiles(df, {c: [0.5] for c in cols}).first()
+        meds = {c: F.lit(found[c] and found[c][0]).cast("double") for c in cols}
     else:
         med = df.agg(F.struct(*[F.percentile(c, 0.5).alias(c) for c in cols])).scalar()
         meds = {c: med[c] for c in cols}
@@ -167,13 +169,14 @@ def impute_median(df: DataFrame, cols: Sequence[str], method: str = "exact") ->
 
 def label_by(df: DataFrame, c: str, threshold: float | str = "median", name: str = "etiqueta",
              method: str = "exact") -> DataFrame:
-    """F16: binary label: ``c >= median`` (exact; ``method="rank"`` ranks distributedly), or
+    """F16: binary label: ``c >= median`` (exact; ``method="rank"`` by selection), or
     ``c > threshold`` for a fixed number."""
     if threshold == "median":
         if method == "rank":
-            from .aggregates import ranked_quantiles
+            from .quantiles import exact_quantiles
 
-            m = ranked_quantiles(df, c, [0.5]).scalar()[0]
+            q = exact_quantiles(df, {c: [0.5]}).first()[c]
+            m = F.lit(q and q[0]).cast("double")
         else:
             m = df.select(F.percentile(c, 0.5)).scalar()
         return df.withColumn(name, F.when(F.col(c) >= m, 1).otherwise(0))
