@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 
 from ..operators.quantiles import exact_quantiles
 from ..sources.sinks import scratch_path
+from .gram import LinearFit, gram, lasso, principal_shares, ridge, standardised_ridge
 from .metrics import elbow, regression_metrics
 
 BLOCK_ROWS, LEAST_BLOCKS = 10_000, 4  # rows of one side in a kNN block, blocks of a small table
@@ -125,30 +126,29 @@ def fit_penalised(df: DataFrame, features: Sequence[str], label: str, ridge_alph
                   lasso_alpha: float = 0.1) -> DataFrame:
     """M9: ordinary, ridge and lasso least squares; coefficients per model.
 
-    scikit-learn's ridge penalty is not divided by n, so ``regParam = alpha / n`` for ridge;
-    lasso uses ``regParam = alpha``; both unstandardised to match."""
-    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
-    n = data.count()
-    spark = df.sparkSession
-    specs = {"ordinario": (0.0, 0.0), "ridge": (ridge_alpha / max(n, 1), 0.0), "lasso": (lasso_alpha, 1.0)}
-    rows = []
-    for name, (reg, l1) in specs.items():
-        m = Pipeline(stages=_features(features, scale=False) + [
-            LinearRegression(regParam=reg, elasticNetParam=l1, standardization=False, labelCol="label")]).fit(data)
-        lr = m.stages[-1]
-        rows += [(name, "intercepto", float(lr.intercept))]
-        rows += [(name, f, float(c)) for f, c in zip(features, lr.coefficients.toArray().tolist())]
-    return spark.createDataFrame(rows, "modelo string, variable string, coeficiente double")
+    Ridge's penalty is not divided by n, so it is ``alpha / n`` beside the mean squared error; lasso's
+    is ``alpha``; neither standardises. One aggregate over the table, solved on its covariances."""
+    g = gram(df.withColumn("_label", F.col(label).cast("double")), [*features, "_label"])
+    fits = {"ordinario": ridge(g, features, "_label"), "ridge": ridge(g, features, "_label", ridge_alpha / max(g.n, 1)),
+            "lasso": lasso(g, features, "_label", lasso_alpha)}
+    rows = [(name, *r) for name, fit in fits.items() for r in fit.rows()]
+    return df.sparkSession.createDataFrame(rows, "modelo string, variable string, coeficiente double")
 
 
 def multi_fit(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Multiple regression (normal equations) with named coefficients and R2."""
-    data = written(df.select(*features, F.col(label).cast("double").alias("label")).na.drop())
-    m = Pipeline(stages=_features(features, scale=False) + [LinearRegression(solver="normal", labelCol="label")]).fit(data)
-    lr = m.stages[-1]
-    rows = [("intercepto", float(lr.intercept))] + [(f, float(c)) for f, c in zip(features, lr.coefficients.toArray())]
-    out = df.sparkSession.createDataFrame(rows, "variable string, coeficiente double")
-    return out.withColumn("r2", F.lit(float(lr.summary.r2)))
+    fit = ridge(gram(df.withColumn("_label", F.col(label).cast("double")), [*features, "_label"]), features, "_label")
+    out = df.sparkSession.createDataFrame(fit.rows(), "variable string, coeficiente double")
+    return out.withColumn("r2", F.lit(fit.r2))
+
+
+def fit_linear(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 42, reg: float = 0.1,
+               method: str = "xxhash") -> tuple[DataFrame, LinearFit]:
+    """M1's linear model (reg 0.1) from one aggregate over the training rows: (test metrics, fit)."""
+    data = df.select(*features, F.col(label).cast("double").alias("label"), key).na.drop()
+    train, test = split(data, key, 0.8, seed, method)
+    fit = standardised_ridge(gram(train, [*features, "label"]), features, "label", reg)
+    return regression_metrics(test.withColumn("prediction", fit.prediction())), fit
 
 
 # ---------------------------------------------------------------- M6/M10/M11 classification
@@ -261,13 +261,10 @@ def cluster_means(assigned: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def pca_summary(df: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
     """PCA on standardised columns: explained and cumulative variance per component."""
-    scaled = _scaled(df, cols)
-    model = PCA(k=min(k, len(cols)), inputCol="features", outputCol="pca").fit(scaled)
-    ev = model.explainedVariance.toArray().tolist()
     rows, acc = [], 0.0
-    for i, v in enumerate(ev, 1):
+    for i, v in enumerate(principal_shares(gram(df, cols))[:min(k, len(cols))].tolist(), 1):
         acc += v
-        rows.append((i, float(v), float(acc)))
+        rows.append((i, v, acc))
     return df.sparkSession.createDataFrame(rows, "componente int, varianza double, acumulada double")
 
 

@@ -1,7 +1,7 @@
 """Driver bindings for the machine-learning operators.
 
-Closed-form and metric operators (M3, M4, M7, M8, M12, M13, M14, M16, M20, M23, M26) have
-exact DuckDB twins. Iterative fits (forests, boosting, k-means, PCA, logistic regression)
+Closed-form and metric operators (M1's linear model, M3, M4, M7-M9, M12-M17, M20, M21, M23, M26) have
+exact DuckDB twins. Iterative fits (forests, boosting, k-means, logistic regression)
 cannot be matched by another engine; they are seeded and checked by row count here and by
 metric bounds in the tests.
 """
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..ml import metrics as MM
 from ..ml import models as MD
+from ..ml.gram import standardised
 from ..operators import rules as R
+from ..operators._common import r6 as r6_
+from ..operators._common import rsig as rsig_
 from .bind import with_roles
 from .q_rules import FEATURES_SQL, patient_features_basic
 from .registry import query
@@ -91,6 +94,22 @@ def m4(t):
     return MM.regression_metrics(c.select(F.col("subtotal").alias("label"), (b0 + b1 * F.col("precio")).alias("prediction")))
 
 
+# the linear model in standardised form: two features, ridge penalty 0.1 / deviation of the label
+@query("m1_linear", sql=f"""
+{with_roles('cargos')},
+d AS (SELECT cantidad AS x1, precio AS x2, subtotal AS y, CAST((id_atencion * 2654435761 + 42) % 1000003 AS DOUBLE) / 1000003.0 AS u
+      FROM cargos WHERE cantidad IS NOT NULL AND precio IS NOT NULL AND subtotal IS NOT NULL),
+m AS (SELECT AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my, STDDEV_POP(x1) AS s1, STDDEV_POP(x2) AS s2, STDDEV_POP(y) AS sy,
+             CORR(x1, x2) AS r12, CORR(x1, y) AS r1, CORR(x2, y) AS r2, 1 + 0.1 / STDDEV_POP(y) AS a FROM d WHERE u < 0.8),
+b AS (SELECT *, (a * r1 - r12 * r2) / (a * a - r12 * r12) * sy / s1 AS b1, (a * r2 - r12 * r1) / (a * a - r12 * r12) * sy / s2 AS b2 FROM m),
+pr AS (SELECT y AS label, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS prediction FROM d, b WHERE u >= 0.8)
+{REG_METRICS_SQL}
+""")
+def m1_linear(t):
+    """Test metrics of M1's linear model, split so that another engine can follow it."""
+    return MD.fit_linear(t.cargos, ["cantidad", "precio"], "subtotal", "id_atencion", method="knuth")[0]
+
+
 @query("m5_importances")
 def m5(t):
     _, models = MD.fit_regressors(t.cargos, ["cantidad", "precio"], "subtotal", "id_atencion")
@@ -148,9 +167,29 @@ def m8(t):
     return MM.classification_metrics(_doc_pred(t))
 
 
-@query("m9_fit_penalised")
+def _coefficients(df):
+    """Solved in another order by another engine: nine digits agree."""
+    return df.withColumn("coeficiente", rsig_("coeficiente", 9))
+
+
+# two features: both normal equations in closed form; lasso's coefficients have the signs of the ordinary ones
+# where the penalty is small beside the covariances, as it is here
+@query("m9_fit_penalised", sql=f"""
+{with_roles('cargos')},
+d AS (SELECT cantidad AS x1, precio AS x2, subtotal AS y FROM cargos WHERE cantidad IS NOT NULL AND precio IS NOT NULL AND subtotal IS NOT NULL),
+m AS (SELECT COUNT(*) AS n, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS my, VAR_POP(x1) AS v1, VAR_POP(x2) AS v2, COVAR_POP(x1, x2) AS c12,
+             COVAR_POP(x1, y) AS c1, COVAR_POP(x2, y) AS c2 FROM d),
+o AS (SELECT *, SIGN(v2 * c1 - c12 * c2) AS g1, SIGN(v1 * c2 - c12 * c1) AS g2 FROM m),
+e AS (SELECT 'ordinario' AS modelo, m1, m2, my, v1, v2, c12, c1, c2 FROM o
+      UNION ALL SELECT 'ridge', m1, m2, my, v1 + 1.0 / n, v2 + 1.0 / n, c12, c1, c2 FROM o
+      UNION ALL SELECT 'lasso', m1, m2, my, v1, v2, c12, c1 - 0.1 * g1, c2 - 0.1 * g2 FROM o),
+b AS (SELECT *, (v2 * c1 - c12 * c2) / (v1 * v2 - c12 * c12) AS b1, (v1 * c2 - c12 * c1) / (v1 * v2 - c12 * c12) AS b2 FROM e),
+r AS (SELECT modelo, 'intercepto' AS variable, my - b1 * m1 - b2 * m2 AS coeficiente FROM b
+      UNION ALL SELECT modelo, 'cantidad', b1 FROM b UNION ALL SELECT modelo, 'precio', b2 FROM b)
+SELECT modelo, variable, {rsig('coeficiente', 9)} AS coeficiente FROM r
+""")
 def m9(t):
-    return MD.fit_penalised(t.cargos, ["cantidad", "precio"], "subtotal")
+    return _coefficients(MD.fit_penalised(t.cargos, ["cantidad", "precio"], "subtotal"))
 
 
 def _doc_features(t):
@@ -218,9 +257,30 @@ def m14(t):
     return MM.fit_vs_naive(features(t), "edad", "monto")
 
 
-@query("m15_multi_fit")
+def _cramer(columns: dict[str, str]) -> str:
+    """Determinant of a symmetric 3 x 3 matrix whose columns are given by their three entries."""
+    (a, b, c), (d, e, f), (g, h, i) = columns.values()
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+_X = {"1": ("v1", "c12", "c13"), "2": ("c12", "v2", "c23"), "3": ("c13", "c23", "v3")}
+_BETA = [f"{_cramer(_X | {k: ('c1', 'c2', 'c3')})} / {_cramer(_X)}" for k in _X]
+
+
+@query("m15_multi_fit", sql=f"""
+{FEAT_ROLES}, {FEATURES_SQL},
+datos AS (SELECT edad AS x1, visitas AS x2, estudios AS x3, CAST(monto AS DOUBLE) AS y FROM feat
+      WHERE edad >= 0 AND visitas IS NOT NULL AND estudios IS NOT NULL AND monto IS NOT NULL),
+momentos AS (SELECT AVG(x1) AS m1, AVG(x2) AS m2, AVG(x3) AS m3, AVG(y) AS my, VAR_POP(x1) AS v1, VAR_POP(x2) AS v2, VAR_POP(x3) AS v3, VAR_POP(y) AS vy,
+             COVAR_POP(x1, x2) AS c12, COVAR_POP(x1, x3) AS c13, COVAR_POP(x2, x3) AS c23,
+             COVAR_POP(x1, y) AS c1, COVAR_POP(x2, y) AS c2, COVAR_POP(x3, y) AS c3 FROM datos),
+betas AS (SELECT *, {_BETA[0]} AS b1, {_BETA[1]} AS b2, {_BETA[2]} AS b3 FROM momentos),
+filas AS (SELECT unnest(['intercepto', 'edad', 'visitas', 'estudios']) AS variable,
+             unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS coeficiente, (b1 * c1 + b2 * c2 + b3 * c3) / vy AS r2 FROM betas)
+SELECT variable, {rsig('coeficiente', 9)} AS coeficiente, {rsig('r2', 9)} AS r2 FROM filas
+""")
 def m15(t):
-    return MD.multi_fit(features(t), ["edad", "visitas", "estudios"], "monto")
+    return _coefficients(MD.multi_fit(features(t), ["edad", "visitas", "estudios"], "monto")).withColumn("r2", rsig_("r2", 9))
 
 
 @query("m16_split", sql=f"""
@@ -233,13 +293,18 @@ def m16(t):
             .groupBy("conjunto", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("m17_standardise")
+@query("m17_standardise", sql=f"""
+{FEAT_ROLES}, {FEATURES_SQL},
+f AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLS)} FROM feat WHERE edad >= 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_COLS)}),
+z AS (SELECT {', '.join(f'COALESCE(({c} - AVG({c}) OVER ()) / NULLIF(STDDEV_SAMP({c}) OVER (), 0), 0) AS {c}' for c in FEATURE_COLS)} FROM f)
+SELECT {', '.join(f'{r6(f"AVG({c})")} + 0 AS media_{c}' for c in FEATURE_COLS)},
+       {', '.join(f'{r6(f"STDDEV_SAMP({c})")} AS std_{c}, {r6(f"MIN({c})")} AS min_{c}, {r6(f"MAX({c})")} AS max_{c}' for c in FEATURE_COLS)}
+FROM z
+""")
 def m17(t):
-    from pyspark.ml.functions import vector_to_array
-    scaled = MD._scaled(features(t), FEATURE_COLS, with_mean=True)
-    arr = scaled.select(vector_to_array("features").alias("v"))
-    return arr.select(*[F.round(F.avg(F.col("v")[i]), 6).alias(f"media_{c}") for i, c in enumerate(FEATURE_COLS)],
-                      *[F.round(F.stddev(F.col("v")[i]), 6).alias(f"std_{c}") for i, c in enumerate(FEATURE_COLS)])
+    scaled = standardised(features(t), FEATURE_COLS)
+    return scaled.agg(*[(r6_(F.avg(c)) + 0).alias(f"media_{c}") for c in FEATURE_COLS], *[
+        r6_(f(c)).alias(f"{name}_{c}") for c in FEATURE_COLS for name, f in (("std", F.stddev), ("min", F.min), ("max", F.max))])
 
 
 @query("m18_segment_charges")
@@ -255,9 +320,35 @@ def m19(t):
     return means.withColumn("segmento", R.segment_name(F.col("visitas_promedio"), F.col("edad_promedio")))
 
 
-@query("m21_pca_summary")
+def _eigen_sql(d: int, k: int) -> str:
+    """The k largest eigenvalues of the d x d matrix ``m`` of table ``c1``, as shares of its trace: a matrix
+    squared again and again, divided by its trace, becomes the projector on its largest eigenvector; the
+    eigenvalue is the trace of matrix times projector, and is then taken out."""
+    def times(a: str, b: str) -> str:
+        return (f"list_transform(range({d * d}), lambda x: list_sum(list_transform(range({d}), lambda y: "
+                f"{a}[(x // {d}) * {d} + y + 1] * {b}[y * {d} + x % {d} + 1])))")
+
+    trace = lambda m: "(" + " + ".join(f"{m}[{i * d + i + 1}]" for i in range(d)) + ")"
+    scaled = lambda m, by: f"list_transform({m}, lambda v: v / {by})"
+    parts = []
+    for i in range(1, k + 1):
+        parts.append(f"""
+s{i} AS (SELECT 0 AS step, {scaled('m', trace('m'))} AS p FROM c{i}
+         UNION ALL SELECT step + 1, {scaled('q', trace('q'))} FROM (SELECT step, {times('p', 'p')} AS q FROM s{i} WHERE step < 24)),
+l{i} AS (SELECT m, p, {trace(times('m', 'p'))} AS value FROM c{i}, s{i} WHERE step = 24),
+c{i + 1} AS (SELECT list_transform(list_zip(m, p), lambda e: e[1] - value * e[2]) AS m FROM l{i})""")
+    return ",".join(parts) + ",\nshares AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS componente, value / {d} AS v FROM l{i}" for i in range(1, k + 1)) + ")"
+
+
+@query("m21_pca_summary", sql=f"""
+{FEAT_ROLES.replace('WITH', 'WITH RECURSIVE', 1)}, {FEATURES_SQL},
+f AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLS)} FROM feat WHERE edad >= 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_COLS)}),
+c1 AS (SELECT [{', '.join(f'CORR({a}, {b})' for a in FEATURE_COLS for b in FEATURE_COLS)}] AS m FROM f),
+{_eigen_sql(len(FEATURE_COLS), 3)}
+SELECT componente, {r6('v')} AS varianza, {r6('SUM(v) OVER (ORDER BY componente)')} AS acumulada FROM shares
+""")
 def m21(t):
-    return MD.pca_summary(features(t), FEATURE_COLS, 3)
+    return MD.pca_summary(features(t), FEATURE_COLS, 3).withColumns({c: F.round(c, 6) for c in ("varianza", "acumulada")})
 
 
 @query("m22_kmeans_sweep")
