@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
@@ -41,16 +41,24 @@ def written(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M16 split
-def split_bucket(key, seed: int = 42, method: str = "xxhash") -> Column:
-    """A stable pseudo-random number in [0, 1) from a key.
+BUCKETS = {"xxhash": 1 << 30, "knuth": 1_000_003}  # numbers that a key's hash can be
+CELLS = 1024
+
+
+def split_number(key, seed: int = 42, method: str = "xxhash") -> Column:
+    """A stable pseudo-random number below BUCKETS[method] from a key.
 
     ``xxhash``: Spark's 64-bit xxhash of (key, seed). ``knuth``: multiplicative hashing in
     integer arithmetic, which other SQL engines can reproduce (used for oracle checks).
     """
     k = F.col(key) if isinstance(key, str) else key
-    if method == "knuth":
-        return F.pmod(k.cast("long") * F.lit(2654435761) + F.lit(seed), F.lit(1000003)).cast("double") / 1000003.0
-    return F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    hashed = k.cast("long") * F.lit(2654435761) + F.lit(seed) if method == "knuth" else F.xxhash64(k, F.lit(seed))
+    return F.pmod(hashed, F.lit(BUCKETS[method]).cast("long"))
+
+
+def split_bucket(key, seed: int = 42, method: str = "xxhash") -> Column:
+    """``split_number`` as a number in [0, 1)."""
+    return split_number(key, seed, method).cast("double") / float(BUCKETS[method])
 
 
 def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 42, method: str = "xxhash",
@@ -59,20 +67,42 @@ def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 42, method: st
 
     The bucket is independent of the stratum, so every stratum is split in proportion
     ``frac`` in expectation with no shuffle at all (the scalable default). With
-    ``exact_strata=True`` each stratum gets exactly round(frac * n) training rows: rows are
-    ranked by bucket inside their stratum, which puts each stratum in one window task, so it
-    is meant for strata of bounded size."""
+    ``exact_strata=True`` each stratum gets exactly round(frac * n) training rows (:func:`exact_split`)."""
+    if strata is not None and exact_strata:
+        tagged = exact_split(df, key, strata, frac, seed, method)
+        return tagged.filter("_train").drop("_train"), tagged.filter("NOT _train").drop("_train")
     u = split_bucket(key, seed, method)
-    if strata is None or not exact_strata:
-        tagged = df.withColumn("_u", u)
-        return tagged.filter(F.col("_u") < frac).drop("_u"), tagged.filter(F.col("_u") >= frac).drop("_u")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(strata).orderBy("_u", key)
-    n = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = df.withColumn("_u", u).withColumn("_r", F.row_number().over(w)).join(n, strata)
-    train_cond = F.col("_r") <= F.round(F.col("_n") * frac)
-    return (tagged.filter(train_cond).drop("_u", "_r", "_n"), tagged.filter(~train_cond).drop("_u", "_r", "_n"))
+    tagged = df.withColumn("_u", u)
+    return tagged.filter(F.col("_u") < frac).drop("_u"), tagged.filter(F.col("_u") >= frac).drop("_u")
+
+
+def exact_split(df: DataFrame, key: str, strata: str, frac: float, seed: int = 42, method: str = "xxhash") -> DataFrame:
+    """``df`` with ``_train``: true for the round(frac * n) rows of each stratum that come first by
+    (hash number, key). Null strata are a stratum.
+
+    The number at which a stratum is cut is found by counting rows by ranges of numbers (at most CELLS
+    counts for each stratum), then by ranges of the range that holds the cut, down to one number;
+    only the rows of that number, one in BUCKETS, are ordered by key. So a stratum that holds half the
+    rows is no single task's. The counts run when this is called; a small table, one row for each stratum, is
+    written for each of the two or three steps."""
+    rows = df.withColumns({"_s": F.to_json(F.struct(F.col(strata).alias("v"))), "_v": split_number(key, seed, method)})
+    cut = written(rows.groupBy("_s").agg(F.round(F.count(F.lit(1)) * F.lit(frac)).cast("long").alias("_need"), F.lit(0).cast("long").alias("_lo")))
+    width = BUCKETS[method]
+    while width > 1:
+        step = -(-width // CELLS)
+        cell = F.floor((F.col("_v") - F.col("_lo")) / F.lit(step)).cast("long")
+        counts = (rows.select("_s", "_v").join(cut, "_s").where((F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_lo") + width))
+                  .groupBy("_s", "_lo", "_need", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")))
+        upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cut = written(counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+                      .select("_s", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"), (F.col("_lo") + F.col("_cell") * step).alias("_lo")))
+        width = step
+    placed = rows.join(cut, "_s", "left")  # no cut: a stratum without training rows
+    at = F.coalesce(F.col("_v") == F.col("_lo"), F.lit(False))
+    columns = [F.col(c) for c in df.columns]
+    others = placed.where(~at).select(*columns, F.coalesce(F.col("_v") < F.col("_lo"), F.lit(False)).alias("_train"))
+    order = Window.partitionBy("_s").orderBy(key)
+    return others.unionByName(placed.where(at).select(*columns, (F.row_number().over(order) <= F.col("_need")).alias("_train")))
 
 
 def _features(cols: Sequence[str], scale: bool = True, with_mean: bool = False) -> list:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import as_list, col_of, dense_index, r6
@@ -40,13 +40,62 @@ def cash_cut(payments: DataFrame, date_col: str, start: str, end: str, amount: s
     return dense_index(sel, [date_col, key], value=amount, index_name="n", running_name="acumulado")
 
 
-def page(df: DataFrame, order: Sequence, key: str, page_no: int, size: int) -> DataFrame:
-    """One page of a totally ordered list, with total rows and page count."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    ordered = df.orderBy(*[col_of(o) for o in order], F.asc(key)).offset((page_no - 1) * size).limit(size)
-    return ordered.withColumn("total_filas", total).withColumn(
-        "paginas", F.ceil(total / F.lit(size)).cast("long")
-    )
+PAGE_ROWS, SAMPLE, SPLITTERS = 10_000, 2_000, 32
+
+
+def _before(order: Sequence[tuple[str, bool]], bound: Sequence) -> Column:
+    """The row comes before ``bound`` in ``order`` ((column, descending); nulls first, or last if descending)."""
+    out = F.lit(False)
+    for (name, desc), value in reversed(list(zip(order, bound, strict=True))):
+        c = F.col(name)
+        b = F.lit(value)
+        if desc:
+            first = c.isNotNull() if value is None else F.coalesce(c > b, F.lit(False))
+        else:
+            first = F.lit(False) if value is None else c.isNull() | (c < b)
+        out = first | (c.eqNullSafe(b) & out)
+    return out
+
+
+def _range_of(df: DataFrame, order: Sequence[tuple[str, bool]], total: int, begin: int, end: int) -> tuple[DataFrame, int]:
+    """(a range of rows that holds those from ``begin`` to ``end`` of the order, how many come before it).
+
+    Splitters are drawn from a sample of the order's columns and the rows before each are counted by one
+    partial aggregate; the range between the two that hold the page is divided again until it has
+    at most PAGE_ROWS rows (or a page's). The sample decides how fast that is, never which rows are found."""
+    names = [c for c, _ in order]
+    part, before, rows = df, 0, total
+    while rows > max(PAGE_ROWS, 2 * (end - begin)):
+        drawn = part.select(*names).sample(min(1.0, SAMPLE / rows), seed=before).orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).collect()
+        splitters = [drawn[i * len(drawn) // (SPLITTERS + 1)] for i in range(1, SPLITTERS + 1)] if drawn else []
+        if not splitters:
+            break
+        counts = part.agg(*[F.count_if(_before(order, s)) for s in splitters]).first()
+        lo = max((i for i, n in enumerate(counts) if before + n <= begin), default=None)
+        hi = min((i for i, n in enumerate(counts) if before + n >= end), default=None)
+        first, last = 0 if lo is None else counts[lo], rows if hi is None else counts[hi]
+        if last - first >= rows:
+            break
+        if lo is not None:
+            part = part.filter(~_before(order, splitters[lo]))
+        if hi is not None:
+            part = part.filter(_before(order, splitters[hi]))
+        before, rows = before + first, last - first
+    return part, before
+
+
+def page(df: DataFrame, order: Sequence[str], key: str, page_no: int, size: int) -> DataFrame:
+    """One page of a totally ordered list, with total rows and page count.
+
+    ``order``: column names, descending with a leading "-"; ``key`` is unique and breaks ties. The page is
+    sought by rank (:func:`_range_of`), so a deep page sorts one range of some thousand rows and not
+    all rows before it; the passes that find it run when this is called."""
+    by = [(c.removeprefix("-"), c.startswith("-")) for c in [*order, key]]
+    total = df.count()
+    begin = (page_no - 1) * size
+    part, before = _range_of(df, by, total, begin, min(begin + size, total))
+    ordered = part.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in by]).offset(begin - before).limit(size)
+    return ordered.withColumn("total_filas", F.lit(total).cast("long")).withColumn("paginas", F.lit(-(-total // size)).cast("long"))
 
 
 def latest(df: DataFrame, ts: str, key: str, n: int = 1, group=None) -> DataFrame:

@@ -293,6 +293,23 @@ def m16(t):
             .groupBy("conjunto", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
+# strata of which one holds half the rows
+STRATUM = "CASE WHEN label % 2 = 0 THEN -1 ELSE label END"
+
+
+@query("m16_exact_strata", sql=f"""
+WITH e AS (SELECT vec_id, {STRATUM} AS estrato FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY estrato ORDER BY (vec_id * 2654435761 + 42) % 1000003, vec_id) AS r,
+             COUNT(*) OVER (PARTITION BY estrato) AS n FROM e)
+SELECT CASE WHEN r <= round(0.75 * n) THEN 'train' ELSE 'test' END AS conjunto, vec_id, estrato FROM r
+""")
+def m16_exact(t):
+    """Exactly three quarters of each stratum."""
+    rows = t.embeddings.select("vec_id", F.expr(STRATUM).alias("estrato"))
+    train, test = MD.split(rows, "vec_id", 0.75, 42, "knuth", strata="estrato", exact_strata=True)
+    return train.withColumn("conjunto", F.lit("train")).unionByName(test.withColumn("conjunto", F.lit("test")))
+
+
 @query("m17_standardise", sql=f"""
 {FEAT_ROLES}, {FEATURES_SQL},
 f AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLS)} FROM feat WHERE edad >= 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_COLS)}),

@@ -311,9 +311,8 @@ SELECT *, (SELECT COUNT(*) FROM f) AS total_filas, CAST(CEIL((SELECT COUNT(*) FR
 FROM f ORDER BY fecha_ing DESC, id_atencion LIMIT 25 OFFSET 25
 """)
 def v18(t):
-    f = J.left(t.atencion.filter(in_or_blank("especialidad", ["1-URGENT", "2-HIGH"])),
-               t.pacientes.select("Id_exp", "nombre"), "Id_exp")
-    return W.page(f, [F.desc("fecha_ing")], "id_atencion", 2, 25)
+    f = W.page(t.atencion.filter(in_or_blank("especialidad", ["1-URGENT", "2-HIGH"])), ["-fecha_ing"], "id_atencion", 2, 25)
+    return J.left(f, t.pacientes.select("Id_exp", "nombre"), "Id_exp")
 
 
 def _study_list_sql(kind: str, state: str) -> str:

@@ -47,7 +47,19 @@ SELECT *, (SELECT COUNT(*) FROM atencion) AS total_filas, CAST(CEIL((SELECT COUN
 FROM atencion ORDER BY fecha_ing DESC, id_atencion LIMIT 20 OFFSET 40
 """)
 def w3(t):
-    return W.page(t.atencion, [F.desc("fecha_ing")], "id_atencion", 3, 20)
+    return W.page(t.atencion, ["-fecha_ing"], "id_atencion", 3, 20)
+
+
+@query("w3_last_page", sql=f"""
+{with_roles('cargos')}, c AS (SELECT id_atencion * 8 + linea AS id_linea, id_medico, cantidad, subtotal, fecha FROM cargos),
+l AS (SELECT *, row_number() OVER (ORDER BY subtotal, fecha DESC, id_linea, id_medico) AS r, COUNT(*) OVER () AS n FROM c)
+SELECT id_linea, id_medico, cantidad, subtotal, fecha, n AS total_filas, CAST(CEIL(n / 50.0) AS BIGINT) AS paginas
+FROM l WHERE r > (CAST(CEIL(n / 50.0) AS BIGINT) - 1) * 50
+""")
+def w3_last(t):
+    """The last page of the charges, cheapest first."""
+    c = t.cargos.select((F.col("id_atencion") * 8 + F.col("linea")).cast("long").alias("id_linea"), "id_medico", "cantidad", "subtotal", "fecha")
+    return W.page(c, ["subtotal", "-fecha", "id_linea"], "id_medico", -(-c.count() // 50), 50)
 
 
 @query("w4_latest_per_user", sql=f"""
