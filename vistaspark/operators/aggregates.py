@@ -9,12 +9,14 @@ PARTITION BY and never a cross join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pct
-from ..functions.text import OCULAR_KEYWORDS, contains_any, fold, fold_word
+from ..functions.text import OCULAR_KEYWORDS, contains_any, fold, fold_word, parse_bp
 from ._common import as_list, col_of, money_sum, r6
 from .quantiles import exact_quantiles
 
@@ -314,25 +316,26 @@ def revenue_share(df: DataFrame, key: str, amount: str = "subtotal") -> DataFram
     ).withColumn("porcentaje", pct(F.col("monto"), total))
 
 
-def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
+def alert_rates(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]],
+                pressures: Mapping[str, tuple[tuple[float, float], tuple[float, float]]] | None = None) -> DataFrame:
     """Per vital sign: alerts (outside [lo, hi]), valid readings, alert %.
 
-    The wide row is unpivoted with ``stack`` and the counts are one grouped aggregate.
+    ``pressures`` maps text columns ("120/80" anywhere, T4) to the ranges of systolic and diastolic
+    pressure; a reading is valid when it parses and an alert when either side is out. All counts are one
+    aggregate over the wide rows; its one row is then stacked.
     """
-    n = len(ranges)
-    parts = []
+    counts = {}
     for name, (lo, hi) in ranges.items():
-        lo_s = "CAST(NULL AS double)" if lo is None else f"CAST({float(lo)!r} AS double)"
-        hi_s = "CAST(NULL AS double)" if hi is None else f"CAST({float(hi)!r} AS double)"
-        parts.append(f"'{name}', try_cast(`{name}` AS double), {lo_s}, {hi_s}")
-    long = df.selectExpr(f"stack({n}, {', '.join(parts)}) AS (signo, valor, lo, hi)")
-    out_ = (F.col("lo").isNotNull() & (F.col("valor") < F.col("lo"))) | (
-        F.col("hi").isNotNull() & (F.col("valor") > F.col("hi"))
-    )
-    return long.groupBy("signo").agg(
-        F.count_if(F.col("valor").isNotNull() & out_).alias("alertas"),
-        F.count("valor").alias("validos"),
-    ).withColumn("porcentaje", pct("alertas", "validos"))
+        v = F.col(name).try_cast("double")
+        sides = [s for s in (v < lo if lo is not None else None, v > hi if hi is not None else None) if s is not None]
+        counts[name] = (F.count_if(reduce(or_, sides, F.lit(False))), F.count(v))
+    for name, ((sis_lo, sis_hi), (dia_lo, dia_hi)) in (pressures or {}).items():
+        bp = parse_bp(name)
+        sis, dia = bp["sistolica"], bp["diastolica"]
+        counts[name] = (F.count_if((sis < sis_lo) | (sis > sis_hi) | (dia < dia_lo) | (dia > dia_hi)), F.count(sis))
+    wide = df.agg(*[c.alias(f"{name}__{i}") for name, pair in counts.items() for i, c in enumerate(pair)])
+    rows = ", ".join(f"'{name}', `{name}__0`, `{name}__1`" for name in counts)
+    return wide.selectExpr(f"stack({len(counts)}, {rows}) AS (signo, alertas, validos)").withColumn("porcentaje", pct("alertas", "validos"))
 
 
 def ranked_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

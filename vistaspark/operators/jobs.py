@@ -7,11 +7,13 @@ same result (run twice = run once). Keys are matched with joins, never driver lo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ._common import as_list, dense_index, money_sum
 
 
@@ -117,6 +119,33 @@ def admit(requests: DataFrame, free_beds: DataFrame, current_max: Column, as_of:
     return att, docs, taken
 
 
+def admit_all(requests: DataFrame, free_beds: DataFrame, last_patient: int, last_attention: int, as_of: str, order: Sequence[str],
+              bed_order: Sequence[str] = ("id_cama",)) -> dict[str, DataFrame]:
+    """B9 in full: ``requests`` (patient columns, especialidad, medicos array, fam_nombre, parentesco, telefono)
+    -> the rows of ``pacientes``, ``familiares``, ``atencion``, ``atencion_medicos`` and ``camas``.
+
+    The n-th request (in ``order``) becomes the n-th patient and attention after the last ones and takes
+    the n-th free bed, if there is one. Requests and beds are numbered once and their join is written
+    (when this is called), so all five outputs have the same numbers, whatever is recomputed."""
+    req = dense_index(requests, order, start=1, index_name="_n")
+    beds = dense_index(free_beds.select(*bed_order), list(bed_order), start=1, index_name="_n")
+    spark = requests.sparkSession
+    j = req.join(beds, "_n", "left").withColumns({"Id_exp": F.col("_n") + F.lit(last_patient), "id_atencion": F.col("_n") + F.lit(last_attention)})
+    path = f"{checkpoint_dir(spark).rstrip('/')}/admit-{uuid.uuid4().hex[:12]}"
+    j.write.parquet(path)
+    j = spark.read.schema(j.schema).parquet(path)
+    own = {"_n", "id_atencion", "especialidad", "medicos", "fam_nombre", "parentesco", "telefono", *bed_order}
+    doctors = F.slice(F.filter("medicos", lambda x: x.isNotNull() & (F.trim(x.cast("string")) != "")), 1, 5)
+    return {
+        "pacientes": j.select("Id_exp", *[c for c in j.columns if c not in own and c != "Id_exp"]),
+        "familiares": j.select("Id_exp", F.col("fam_nombre").alias("nombre"), "parentesco", "telefono"),
+        "atencion": j.select("id_atencion", "Id_exp", *bed_order, "especialidad", F.lit(as_of).cast("date").alias("fecha_ing"),
+                             F.lit("ABIERTA").alias("status")),
+        "atencion_medicos": j.select("id_atencion", F.explode(doctors).alias("id_medico")),
+        "camas": j.filter(F.col(bed_order[0]).isNotNull()).select(*bed_order, F.lit(1).alias("ocupada")),
+    }
+
+
 def reassign(att_doctors: DataFrame, changes: DataFrame, key: str = "id_atencion") -> DataFrame:
     """Replace the doctors of the attentions named in ``changes`` (anti join + union)."""
     kept = att_doctors.join(changes.select(key).distinct(), key, "left_anti")

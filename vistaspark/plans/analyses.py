@@ -56,7 +56,7 @@ def clinical_sections(t: Tables) -> dict[str, Callable[[], DataFrame]]:
                                     ("especialidad", "area"), 10),
         "anomalias_examenes": lambda: W.sigma_outliers(t.cargos, "id_catalogo", "subtotal", 2.0)
         .groupBy("id_catalogo").agg(F.count(F.lit(1)).alias("atipicos")),
-        "alertas_signos": lambda: A.alert_rates(vitals.wide(t.signos), vitals.RANGES),
+        "alertas_signos": lambda: A.alert_rates(vitals.with_pressure(t.signos), vitals.SINGLE, vitals.PRESSURES),
         "hallazgos": lambda: R.clinical_findings(t.spark, clinical_metrics(t), 10),
     }
 

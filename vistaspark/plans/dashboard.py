@@ -59,9 +59,10 @@ def _reorder(df: DataFrame, value: str, key: str, desc: bool, n: int) -> DataFra
 def dashboard(patients: DataFrame, attentions: DataFrame, charges: DataFrame, catalogue: DataFrame, beds: DataFrame,
               signs: DataFrame, ages: DataFrame, diagnoses: DataFrame, words: Sequence[str], stems: Sequence[str],
               rules: Sequence[tuple[str, Sequence[str]]], default: str,
-              ranges: Mapping[str, tuple[float | None, float | None]], as_of: str,
+              ranges: Mapping[str, tuple[float | None, float | None]],
+              pressures: Mapping[str, tuple[tuple[float, float], tuple[float, float]]], as_of: str,
               filters: DashboardFilters = DashboardFilters()) -> DataFrame:
-    """V23. ``signs`` has a column for each sign of ``ranges``; ``ages`` (edad); ``diagnoses``
+    """V23. ``signs`` has a column for each sign of ``ranges`` and ``pressures``; ``ages`` (edad); ``diagnoses``
     (texto). Studies whose folded name holds one of ``words`` are ranked; when none does, all are.
     Amounts are those above zero. Months without an attention show 0."""
     f, spark = filters, patients.sparkSession
@@ -106,8 +107,8 @@ def dashboard(patients: DataFrame, attentions: DataFrame, charges: DataFrame, ca
         F.concat_ws(" / ", "especialidad", "area").alias("clave"))
     kinds = (paid.groupBy(F.coalesce("tipo", F.lit("Sin clasificar")).alias("tipo"))
              .agg(money_sum("subtotal").alias("monto")).orderBy(F.desc("monto"), F.asc("tipo")).limit(f.revenue_top))
-    chosen = dict(ranges) if f.sign == "all" else {f.sign: ranges[f.sign]}
-    alerts = A.alert_rates(signs, chosen)
+    chosen = lambda of: {k: v for k, v in of.items() if f.sign in ("all", k)}
+    alerts = A.alert_rates(signs, chosen(ranges), chosen(pressures))
     months = A.monthly_trend(attentions, "fecha_ing", f.trend_months, as_of)
 
     sections = [

@@ -363,7 +363,7 @@ def a28(t):
 
 def alert_sql() -> str:
     parts = []
-    for name, (lo, hi) in vitals.RANGES.items():
+    for name, (lo, hi) in vitals.SINGLE.items():
         conds = []
         if lo is not None:
             conds.append(f"{name} < {lo}")
@@ -373,16 +373,22 @@ def alert_sql() -> str:
             f"SELECT '{name}' AS signo, COUNT(*) FILTER (WHERE {name} IS NOT NULL AND ({' OR '.join(conds)})) AS alertas, "
             f"COUNT({name}) AS validos FROM w"
         )
+    part = lambda name, i: f"CAST(NULLIF(regexp_extract({name}, '(\\d{{2,3}})\\s*/\\s*(\\d{{2,3}})', {i}), '') AS INTEGER)"
+    for name, ((sis_lo, sis_hi), (dia_lo, dia_hi)) in vitals.PRESSURES.items():
+        parts.append(
+            f"SELECT '{name}' AS signo, COUNT(*) FILTER (WHERE sis NOT BETWEEN {sis_lo} AND {sis_hi} OR dia NOT BETWEEN {dia_lo} AND {dia_hi}) AS alertas, "
+            f"COUNT(sis) AS validos FROM (SELECT {part(name, 1)} AS sis, {part(name, 2)} AS dia FROM w)"
+        )
     return " UNION ALL ".join(parts)
 
 
 @query("a29_alert_rates", sql=f"""
-{with_roles('signos')}, w AS ({vitals.wide_sql()}),
+{with_roles('signos')}, w AS ({vitals.with_pressure_sql()}),
 r AS ({alert_sql()})
 SELECT signo, alertas, validos, {pct('alertas', 'validos')} AS porcentaje FROM r
 """)
 def a29(t):
-    return A.alert_rates(vitals.wide(t.signos), vitals.RANGES)
+    return A.alert_rates(vitals.with_pressure(t.signos), vitals.SINGLE, vitals.PRESSURES)
 
 
 @query("a30_iqr_summary", sql=f"""

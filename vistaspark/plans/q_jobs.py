@@ -254,6 +254,59 @@ def b9c(t):
     return _admit(t)[2]
 
 
+def _admitted(t) -> str:
+    """Every indebted patient's request for admission, as a new patient with a relative, in one commit."""
+    from pyspark.sql import Window
+
+    pairs = (t.cargos.select("id_atencion", F.col("id_medico").cast("string").alias("id_medico"))
+             .join(t.atencion.select("id_atencion", "Id_exp"), "id_atencion").select("Id_exp", "id_medico").distinct())
+    top5 = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("Id_exp").orderBy("id_medico"))).filter("_r <= 5")
+    docs = top5.groupBy("Id_exp").agg(F.array_sort(F.collect_list("id_medico")).alias("medicos"))
+    req = t.pacientes.filter("saldo < 0").join(docs, "Id_exp", "left").select(
+        F.col("Id_exp").alias("solicitud"), "nombre", "area", F.lit("GENERAL").alias("especialidad"), "medicos",
+        F.concat(F.lit("Familiar de "), "nombre").alias("fam_nombre"), F.expr("CASE id_nacion % 3 WHEN 0 THEN 'MADRE' WHEN 1 THEN 'PADRE' ELSE 'OTRO' END").alias("parentesco"),
+        F.concat(F.lit("55-"), F.col("Id_exp").cast("string")).alias("telefono"))
+    outputs = B.admit_all(req, t.camas.filter("ocupada = 0"), t.pacientes.agg(F.max("Id_exp")).first()[0], t.atencion.agg(F.max("id_atencion")).first()[0],
+                          AS_OF_ORDERS, ["solicitud"])
+    path = S.scratch_path(t.spark, "admisiones")
+    S.publish(t.spark, outputs, path, AS_OF_ORDERS)
+    return path
+
+
+ADMITTED_SQL = f"""
+{with_roles('pacientes', 'camas', 'atencion', 'cargos')}, {ADMIT_SQL},
+n AS (SELECT p.*, req.n, (SELECT MAX(Id_exp) FROM pacientes) + req.n AS nuevo, (SELECT m FROM mx) + req.n AS id_atencion FROM req JOIN pacientes p USING (Id_exp))"""
+
+
+@query("b9_admit_patients", sql=f"""
+{ADMITTED_SQL}
+SELECT CAST(nuevo AS BIGINT) AS Id_exp, Id_exp AS solicitud, nombre, area FROM n
+""")
+def b9_patients(t):
+    return S.read_published(t.spark, _admitted(t), "pacientes").drop("corrida")
+
+
+@query("b9_admit_relatives", sql=f"""
+{ADMITTED_SQL}
+SELECT CAST(nuevo AS BIGINT) AS Id_exp, 'Familiar de ' || nombre AS nombre, CASE id_nacion % 3 WHEN 0 THEN 'MADRE' WHEN 1 THEN 'PADRE' ELSE 'OTRO' END AS parentesco,
+       '55-' || CAST(Id_exp AS VARCHAR) AS telefono FROM n
+""")
+def b9_relatives(t):
+    return S.read_published(t.spark, _admitted(t), "familiares").drop("corrida")
+
+
+@query("b9_admit_commit", sql=f"""
+{ADMITTED_SQL},
+d AS (SELECT a.Id_exp, LEAST(COUNT(DISTINCT c.id_medico), 5) AS k FROM cargos c JOIN atencion a USING (id_atencion) GROUP BY 1)
+SELECT CAST(1 AS BIGINT) AS version, '{AS_OF_ORDERS}' AS corrida, unnest(['pacientes', 'familiares', 'atencion', 'atencion_medicos', 'camas']) AS tabla,
+       unnest([(SELECT COUNT(*) FROM n), (SELECT COUNT(*) FROM n), (SELECT COUNT(*) FROM n),
+               (SELECT CAST(SUM(k) AS BIGINT) FROM n JOIN d USING (Id_exp)), (SELECT COUNT(*) FROM n JOIN fb USING (n))]) AS filas
+""")
+def b9_commit(t):
+    """The manifest of the admission: all five outputs under one version."""
+    return S.published(t.spark, _admitted(t)).drop("carpeta")
+
+
 def _urgent_changes(t):
     urgent = t.atencion.filter("status = 'ABIERTA' AND especialidad = '1-URGENT'").select("id_atencion")
     return urgent.withColumn("id_medico", F.lit(0).cast("long"))

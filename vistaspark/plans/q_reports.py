@@ -110,6 +110,30 @@ def v5(t):
     return reports.bed_board(bed_states(t), t.atencion, t.pacientes)
 
 
+OUTPATIENT, EMERGENCY, WARD = "BUILDING", "ASIA", "EUROPE"  # areas of attentions, and of beds
+
+
+def _bed_section_sql(name: str, area: str) -> str:
+    return f"""SELECT '{name}' AS seccion, c.id_cama, c.numero, CASE WHEN o.id_atencion IS NULL THEN 'LIBRE' ELSE 'OCUPADA' END AS estatus,
+       o.id_atencion, p.Id_exp, p.nombre AS paciente, o.id_atencion IS NOT NULL AS tiene_atencion
+FROM camas c LEFT JOIN occ o USING (id_cama) LEFT JOIN atencion a ON a.id_atencion = o.id_atencion LEFT JOIN pacientes p ON p.Id_exp = a.Id_exp
+WHERE c.area = '{area}'"""
+
+
+@query("v5_bed_sections", sql=f"""
+{PRE}
+SELECT 'consulta' AS seccion, CAST(NULL AS BIGINT) AS id_cama, 'Consulta ' || CAST(a.id_atencion AS VARCHAR) AS numero, 'OCUPADA' AS estatus,
+       a.id_atencion, p.Id_exp, p.nombre AS paciente, TRUE AS tiene_atencion
+FROM aa a JOIN pacientes p USING (Id_exp) WHERE a.status = 'ABIERTA' AND a.area = '{OUTPATIENT}'
+UNION ALL {_bed_section_sql('urgencias', EMERGENCY)}
+UNION ALL {_bed_section_sql('hospitalizado', WARD)}
+""")
+def v5_sections(t):
+    from .q_rules import bed_occupancy
+
+    return reports.bed_sections(att_area(t), t.pacientes, t.camas, bed_occupancy(t), OUTPATIENT, EMERGENCY, WARD)
+
+
 @query("v6_patient_sheet", sql=f"""
 {PRE}
 SELECT a.id_atencion, a.Id_exp, a.fecha_ing, a.especialidad, p.nombre, p.area, fd.medico_principal, bo.id_cama
@@ -254,6 +278,18 @@ def v14_prescriptions(t):
     return J.inner(j, t.pacientes.select("Id_exp", "nombre"), "Id_exp")
 
 
+@query("v14_notes_of_attention", sql=f"""
+{with_roles('atencion', 'pacientes')}
+SELECT n.conv_id AS id_atencion, a.Id_exp, p.nombre, n.turn AS orden, n.role AS autor, n.text AS nota
+FROM conversations n JOIN atencion a ON n.conv_id = a.id_atencion JOIN pacientes p USING (Id_exp)
+""")
+def v14_notes(t):
+    """Binding: the turns of a conversation are the notes of the attention of its number, newest first."""
+    notes = t.conversations.select(F.col("conv_id").alias("id_atencion"), F.col("turn").alias("orden"), F.col("role").alias("autor"),
+                                   F.col("text").alias("nota"))
+    return reports.notes_of_attention(notes, t.atencion, t.pacientes)
+
+
 @query("v15_service_catalogue", sql=f"""
 {with_roles('catalogo', 'cargos', 'camas')},
 pr AS (SELECT id_catalogo, MIN(id_medico) AS id_proveedor FROM cargos GROUP BY id_catalogo)
@@ -358,6 +394,45 @@ def v19_other_results(t):
     return _study_list(t, "ECONOMY", "REALIZADO")
 
 
+# the files and remarks of a study's results: its item's brand, and the item's name where it was cancelled
+RESULT_FILE = "CASE WHEN linea % 3 = 0 THEN NULL ELSE marca END"
+RESULT_REMARK = "CASE WHEN estado = 'CANCELADO' THEN nombre ELSE ' ' END"
+
+
+def _header_sql(kind: str) -> str:
+    return f"""
+{PRE},
+d AS (SELECT d.id_atencion, {RESULT_FILE} AS archivo, {RESULT_REMARK} AS observacion, c.nombre AS estudio,
+             ROW_NUMBER() OVER (PARTITION BY d.id_atencion ORDER BY linea, id_catalogo, id_medico, subtotal) AS r
+      FROM cargos d JOIN catalogo c USING (id_catalogo) WHERE c.tipo = '{kind}'),
+fi AS (SELECT id_atencion, string_agg(archivo, ',' ORDER BY r) AS archivos
+       FROM (SELECT id_atencion, archivo, MIN(r) AS r FROM d WHERE archivo IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT id_atencion, string_agg(estudio, ', ' ORDER BY r) AS estudios, COALESCE(arg_min(observacion, r) FILTER (trim(observacion) <> ''), '') AS observaciones
+      FROM d GROUP BY 1)
+SELECT h.id_atencion AS id_examen, a.Id_exp, p.nombre || ' ' || p.area AS paciente, c.numero AS habitacion, h.estudios,
+       COALESCE(fi.archivos, '') AS archivos, h.observaciones
+FROM h JOIN atencion a USING (id_atencion) JOIN pacientes p USING (Id_exp) LEFT JOIN fi USING (id_atencion)
+LEFT JOIN bo ON bo.id_atencion = h.id_atencion LEFT JOIN camas c ON c.id_cama = bo.id_cama
+"""
+
+
+def _headers(t, kind: str):
+    details = t.cargos.join(t.catalogo.filter(F.col("tipo") == kind).select("id_catalogo", "nombre", "marca"), "id_catalogo").select(
+        "id_atencion", *LINE_ORDER, F.expr(RESULT_FILE).alias("archivo"), F.expr(RESULT_REMARK).alias("observacion"), F.col("nombre").alias("estudio"))
+    rooms = beds_of_att(t).join(t.camas.select("id_cama", F.col("numero").alias("habitacion")), "id_cama").select("id_atencion", "habitacion")
+    return reports.edit_headers(details, LINE_ORDER, t.atencion, t.pacientes, rooms)
+
+
+@query("v19_edit_header", sql=_header_sql("PROMO"))
+def v19_header(t):
+    return _headers(t, "PROMO")
+
+
+@query("v19_other_edit_header", sql=_header_sql("ECONOMY"))
+def v19_other_header(t):
+    return _headers(t, "ECONOMY")
+
+
 @query("v20_result_files", sql=f"""
 {with_roles('cargos', 'catalogo')},
 d AS (SELECT d.id_atencion, d.linea, c.nombre FROM cargos d JOIN catalogo c USING (id_catalogo)),
@@ -419,10 +494,10 @@ _DX_HIT = contains_any(sql_fold("texto"), [w.upper() for w in STAR_RULES.diagnos
 
 def dashboard_sql(f: DashboardFilters, last: str) -> str:
     """Twin of the dashboard for its filters; ``last`` is the first day of the last month."""
-    signs = list(vitals.RANGES) if f.sign == "all" else [f.sign]
+    signs = [*vitals.SINGLE, *vitals.PRESSURES] if f.sign == "all" else [f.sign]
     way = lambda desc: "DESC" if desc else "ASC"
     return f"""
-{with_roles('pacientes', 'atencion', 'cargos', 'catalogo', 'camas', 'signos', 'diagnosticos')}, w AS ({vitals.wide_sql()}),
+{with_roles('pacientes', 'atencion', 'cargos', 'catalogo', 'camas', 'signos', 'diagnosticos')}, w AS ({vitals.with_pressure_sql()}),
 paid AS (SELECT * FROM cargos WHERE subtotal > 0),
 names AS (SELECT c.nombre, COUNT(*) AS n, COUNT(*) FILTER (WHERE subtotal > 0) AS cobros,
                  {money('CASE WHEN subtotal > 0 THEN subtotal END')} AS monto
@@ -486,9 +561,9 @@ UNION ALL SELECT 'alertas_pct', signo, {_fmt_sql(pct('alertas', 'validos'))} FRO
 
 def _dashboard(t, filters: DashboardFilters):
     ages = birth_dates(t).select(age_calendar("fecnac", AS_OF_ORDERS).alias("edad"))
-    return dashboard(t.pacientes, t.atencion, t.cargos, t.catalogo, t.camas, vitals.wide(t.signos), ages, t.diagnosticos,
-                     OCULAR_WORDS, STAR_RULES.diagnosis_stems, PROFILE_RULES, PROFILE_DEFAULT, vitals.RANGES,
-                     AS_OF_ORDERS, filters)
+    return dashboard(t.pacientes, t.atencion, t.cargos, t.catalogo, t.camas, vitals.with_pressure(t.signos), ages, t.diagnosticos,
+                     OCULAR_WORDS, STAR_RULES.diagnosis_stems, PROFILE_RULES, PROFILE_DEFAULT, vitals.SINGLE,
+                     vitals.PRESSURES, AS_OF_ORDERS, filters)
 
 
 @query("v23_dashboard", sql=dashboard_sql(DashboardFilters(), "2001-12-01"))

@@ -345,7 +345,7 @@ def r8(t):
 
 
 @query("r9_role_guidance", sql=f"""
-{with_roles('cargos', 'catalogo', 'pacientes', 'atencion', 'signos')}, w AS ({vitals.wide_sql()}),
+{with_roles('cargos', 'catalogo', 'pacientes', 'atencion', 'signos')}, w AS ({vitals.with_pressure_sql()}),
 ex AS (SELECT c.nombre, COUNT(*) AS n FROM cargos d JOIN catalogo c USING (id_catalogo) GROUP BY 1),
 rk AS (
   SELECT 'perfil' AS tema, {profile_case_sql(sql_fold('nombre'))} AS etiqueta, CAST(SUM(n) AS BIGINT) AS n FROM ex GROUP BY 2
@@ -362,7 +362,7 @@ def r9(t):
     items = A.value_counts(t.cargos, "id_catalogo").join(t.catalogo.select("id_catalogo", "nombre"), "id_catalogo")
     exams = items.groupBy(F.col("nombre").alias("etiqueta")).agg(F.sum("n").alias("n"))
     profiles = exams.groupBy(classify("etiqueta", PROFILE_RULES, PROFILE_DEFAULT).alias("etiqueta")).agg(F.sum("n").alias("n"))
-    alerts = A.alert_rates(vitals.wide(t.signos), vitals.RANGES).select(F.col("signo").alias("etiqueta"), F.col("alertas").alias("n"))
+    alerts = A.alert_rates(vitals.with_pressure(t.signos), vitals.SINGLE, vitals.PRESSURES).select(F.col("signo").alias("etiqueta"), F.col("alertas").alias("n"))
     area = t.atencion.select("Id_exp").join(t.pacientes.select("Id_exp", "area"), "Id_exp")
     month = t.atencion.select(F.date_format("fecha_ing", "yyyy-MM").alias("mes"))
     return R.role_guidance({"perfil": profiles, "alerta": alerts, "estudio": exams, "area": cnt(area, "area"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import open_account_totals
+from ..operators.windows import stack_sections
 
 
 def open_attention_report(att: DataFrame, pat: DataFrame, charges: DataFrame) -> DataFrame:
@@ -95,6 +96,51 @@ def bed_board(bed_states: DataFrame, att: DataFrame, pat: DataFrame) -> DataFram
         F.col("area").alias("seccion"), "id_cama", "numero", "estado_cama", "id_atencion_actual", "paciente")
 
 
+def bed_sections(att: DataFrame, pat: DataFrame, beds: DataFrame, occupancy: DataFrame, outpatient: str, emergency: str,
+                 ward: str) -> DataFrame:
+    """V5: the three sections of the bed board, built apart and stacked.
+
+    Outpatient: an open attention of its area is a place of its own. Emergency and ward: the beds of
+    their area with each open attention that holds one, or free. ``att`` has area and status;
+    ``occupancy`` is (id_cama, id_atencion) of open attentions."""
+    names = pat.select("Id_exp", F.col("nombre").alias("paciente"))
+    visits = att.filter((F.col("status") == "ABIERTA") & (F.col("area") == outpatient)).select("id_atencion", "Id_exp").join(names, "Id_exp").select(
+        F.lit(None).cast("long").alias("id_cama"), F.concat(F.lit("Consulta "), F.col("id_atencion").cast("string")).alias("numero"),
+        F.lit("OCUPADA").alias("estatus"), "id_atencion", "Id_exp", "paciente", F.lit(True).alias("tiene_atencion"))
+    holders = occupancy.select("id_cama", "id_atencion").distinct().join(att.select("id_atencion", "Id_exp"), "id_atencion").join(names, "Id_exp", "left")
+
+    def of(area: str) -> DataFrame:
+        held = F.col("id_atencion").isNotNull()
+        return beds.filter(F.col("area") == area).select("id_cama", "numero").join(holders, "id_cama", "left").select(
+            F.col("id_cama").cast("long").alias("id_cama"), "numero", F.when(held, "OCUPADA").otherwise("LIBRE").alias("estatus"), "id_atencion",
+            "Id_exp", "paciente", held.alias("tiene_atencion"))
+
+    return stack_sections({"consulta": visits, "urgencias": of(emergency), "hospitalizado": of(ward)})
+
+
+def notes_of_attention(notes: DataFrame, att: DataFrame, pat: DataFrame) -> DataFrame:
+    """Notes (id_atencion, orden, autor, nota) of attentions with their patient, newest first."""
+    j = notes.join(att.select("id_atencion", "Id_exp"), "id_atencion").join(pat.select("Id_exp", "nombre"), "Id_exp")
+    return j.select("id_atencion", "Id_exp", "nombre", "orden", "autor", "nota").orderBy("id_atencion", F.desc("orden"))
+
+
+def edit_headers(details: DataFrame, line_order, att: DataFrame, pat: DataFrame, rooms: DataFrame) -> DataFrame:
+    """What the form for a study's results shows: patient, room, names of its studies, files without
+    repeats in their first order, and the first remark that isn't blank. ``details`` (id_atencion, order,
+    archivo, observacion, estudio) has the lines of one type of study; its lists are those of one study."""
+    w = Window.partitionBy("id_atencion").orderBy(*line_order)
+    d = details.select("id_atencion", "archivo", "observacion", "estudio", F.row_number().over(w).alias("r"))
+    remark = F.when(F.trim("observacion") != "", F.col("observacion"))
+    lists = d.groupBy("id_atencion").agg(
+        F.sort_array(F.collect_list(F.struct("r", "estudio", "archivo"))).alias("l"),
+        F.coalesce(F.min_by(remark, F.when(remark.isNotNull(), F.col("r"))), F.lit("")).alias("observaciones"))
+    lists = lists.select("id_atencion", F.array_join("l.estudio", ", ").alias("estudios"),
+                         F.array_join(F.array_distinct(F.array_compact("l.archivo")), ",").alias("archivos"), "observaciones")
+    who = att.select("id_atencion", "Id_exp").join(pat.select("Id_exp", F.concat_ws(" ", "nombre", "area").alias("paciente")), "Id_exp")
+    return lists.join(who, "id_atencion").join(rooms, "id_atencion", "left").select(
+        F.col("id_atencion").alias("id_examen"), "Id_exp", "paciente", "habitacion", "estudios", "archivos", "observaciones")
+
+
 def patient_sheet(att: DataFrame, pat: DataFrame, first_doctor: DataFrame, beds_of_att: DataFrame) -> DataFrame:
     """V6: open attention sheet: patient, main doctor (first match), bed."""
     a = att.filter(F.col("status") == "ABIERTA").select("id_atencion", "Id_exp", "fecha_ing", "especialidad")

@@ -93,6 +93,47 @@ def restore_tables(spark: SparkSession, paths: Mapping[str, str], schemas: Mappi
     return out
 
 
+PUBLISHED = "version long, corrida string, tabla string, carpeta string, filas long"
+
+
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, run: str) -> int:
+    """Several tables as one commit. Each attempt writes the tables to a folder of its own; one small
+    manifest file, written last, names them all, so a reader sees all tables of a run or none, and a run
+    that is repeated replaces all of them. Returns the manifest's version."""
+    known = _manifest(spark, path).agg(F.max("version")).first()[0] or 0
+    attempt = uuid.uuid4().hex[:12]
+    rows = []
+    for name, df in tables.items():
+        folder = f"{path}/data/{attempt}/{name}"
+        df.write.parquet(folder)
+        rows.append((known + 1, run, name, folder, spark.read.schema(df.schema).parquet(folder).count()))
+    spark.createDataFrame(rows, PUBLISHED).coalesce(1).write.parquet(f"{path}/manifest/v={known + 1}")
+    return known + 1
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    spark.createDataFrame([], PUBLISHED).write.mode("ignore").parquet(f"{path}/manifest/v=0")
+    return spark.read.schema(PUBLISHED).parquet(f"{path}/manifest/v=*")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current manifest rows: of each run the newest version (PUBLISHED)."""
+    rows = _manifest(spark, path)
+    newest = rows.groupBy("corrida").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["corrida", "version"], "left_semi")
+
+
+def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of all published runs, with ``corrida``. The manifest has a row for each run and table."""
+    out = None
+    for r in published(spark, path).where(F.col("tabla") == table).collect():
+        one = spark.read.parquet(r.carpeta).withColumn("corrida", F.lit(r.corrida))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"nothing published for {table}")
+    return out
+
+
 def changed_since(df: DataFrame, ts_col: str, watermark: str) -> DataFrame:
     """Rows changed after the watermark (a pushable filter on the timestamp)."""
     return df.filter(F.col(ts_col) > F.lit(watermark).cast("timestamp_ntz"))
