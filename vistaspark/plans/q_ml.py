@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..ml import metrics as MM
 from ..ml import models as MD
+from ..ml import study as ST
 from ..ml.gram import standardised
 from ..operators import rules as R
 from ..operators._common import r6 as r6_
 from ..operators._common import rsig as rsig_
+from ..sources.sinks import scratch_path
 from .bind import with_roles
-from .q_rules import FEATURES_SQL, patient_features_basic
+from .q_rules import FEATURES_SQL, finance_metrics, patient_features_basic
 from .registry import query
 from .sqlkit import money, r6, rsig
 
@@ -357,6 +359,16 @@ c{i + 1} AS (SELECT list_transform(list_zip(m, p), lambda e: e[1] - value * e[2]
     return ",".join(parts) + ",\nshares AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS componente, value / {d} AS v FROM l{i}" for i in range(1, k + 1)) + ")"
 
 
+@query("r10_fitted_summary")
+def r10_fitted(t):
+    """The executive summary of a study fitted and saved: best of M1's models, M19's segments."""
+    path = scratch_path(t.spark, "estudio")
+    ST.fit_study(t.cargos, features(t), path)
+    other = finance_metrics(t).where("metrica <> 'mejor_r2'")
+    insights = R.finance_findings(t.spark, ST.fitted_metric(t.spark, path).unionByName(other))
+    return ST.study_summary(t.spark, path, t.cargos, features(t), insights)
+
+
 @query("m21_pca_summary", sql=f"""
 {FEAT_ROLES.replace('WITH', 'WITH RECURSIVE', 1)}, {FEATURES_SQL},
 f AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLS)} FROM feat WHERE edad >= 0 AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_COLS)}),
