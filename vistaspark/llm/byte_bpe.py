@@ -215,7 +215,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with an ``ids array<int>`` column -> the same columns and ``decoded`` (binary):
-    the bytes of its tokens one after another. Null ids give null; an unknown id fails."""
+    the bytes of its tokens one after another. Null ids give null; an unknown id fails; a column ``decoded``
+    that was there is replaced."""
+    encoded = encoded.drop("decoded")
     tokens = {i: b for b, i in load_ranks(path or ranks_path()).items()}
     shared = encoded.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens) + 1)])
 

@@ -70,6 +70,18 @@ def fingerprint(paths) -> int:
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
+LISTS = {m.turns for m in MAPPINGS if m.turns}
+DECLARED = {p for m in MAPPINGS for p in m.paths}
+
+
+def mapping_of(paths) -> Mapping | None:
+    """The mapping that has the fingerprint of the declared ones among ``paths``; paths that no mapping
+    declares don't take part. Where fields of several layouts stand side by side, the first mapping that
+    has all its paths."""
+    known = DECLARED.intersection(paths)
+    return BY_FINGERPRINT.get(fingerprint(known)) or next((m for m in MAPPINGS if known.issuperset(m.paths)), None)
+
+
 def value_paths(value, at: str = "") -> Iterator[str]:
     """Field paths of a parsed JSON value; ``[]`` stands for the items of an array."""
     if isinstance(value, dict):
@@ -98,10 +110,12 @@ def schema_paths(schema: T.DataType, at: str = "") -> Iterator[str]:
 
 def canonical_turns(record: dict) -> list[tuple[str, str]] | None:
     """(role, text) of a parsed record's turns; None when no mapping has its fingerprint."""
-    m = BY_FINGERPRINT.get(fingerprint(value_paths(record)))
-    if m is None:
-        return None
+    m = mapping_of(value_paths(record))
+    if m is None:  # a list of turns without any has no fields to tell its layout by
+        return [] if any(not record.get(name, True) for name in LISTS) else None
     clean = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    if m.turns and not all(isinstance(t, dict) for t in record[m.turns]):
+        return None
     if m.fields:
         out = []
         for role, paths in m.fields:
@@ -117,8 +131,9 @@ def canonical_turns(record: dict) -> list[tuple[str, str]] | None:
 def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """JSON records of any known layout -> (conv_id, turn, role, text, fingerprint).
 
-    A record that doesn't parse or has no mapping gives one row with null turn, role and text, so
-    nothing is lost silently; null records likewise (fingerprint null)."""
+    Fields that no layout declares are ignored. A record whose list of turns is empty or null has no turns
+    and gives no row. A record that doesn't parse or has no mapping gives one row with null turn, role and
+    text, so nothing is lost silently; null records likewise (fingerprint null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +159,8 @@ def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def turns_of_table(rows: DataFrame) -> DataFrame:
     """A table whose rows are turns -> (conv_id, turn, role, text): the mapping that has the
-    schema's fingerprint names the columns. Other columns than keys must not be there."""
-    m = BY_FINGERPRINT.get(fingerprint(schema_paths(rows.schema)))
+    schema's fingerprint names the columns. Columns that no layout declares are ignored."""
+    m = mapping_of(schema_paths(rows.schema))
     if m is None or m.fields or m.turns:
         raise ValueError(f"no mapping for a table of turns with the fields {sorted(schema_paths(rows.schema))}")
     role = F.coalesce(F.col(m.role).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import materialise, table, text_or_empty
+from ._io import free_names, materialise, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 75
 BROADCAST_ROWS = 500_000  # the items' shingles are broadcast up to this count, else joined by shuffle
@@ -107,8 +107,9 @@ def contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all other rows and columns stay."""
-    found = materialise(find_items(docs, items, **parameters).select(F.col("rid").alias("_rid")).distinct(), "found")
-    return (docs.withColumn("_rid", F.xxhash64(text_or_empty())).join(found, "_rid", "left_anti").select(*docs.columns))
+    rid, = free_names(docs, "_rid")
+    found = materialise(find_items(docs, items, **parameters).select(F.col("rid").alias(rid)).distinct(), "found")
+    return docs.withColumn(rid, F.xxhash64(text_or_empty())).join(found, rid, "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import materialise, shuffle_partitions, table, text_or_empty
+from ._io import free_names, materialise, shuffle_partitions, table, text_or_empty
 from ._text import mix, row_sets, slices
 from .components import connected_components
 
@@ -412,14 +412,15 @@ def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     """``docs`` with one row of each component: the one with the smallest doc_id (then text hash);
     of rows equal in doc_id and text any one. Wordless texts are kept, each row of them."""
     last = F.lit(2**63 - 1)  # where null doc_ids sort
+    d, node, has_words = free_names(docs, "_d", "_node", "_words")
     found = materialise(jaccard_components(docs, size, percent), "components")
     kept = (found.where("n_shingles > 0").groupBy("label")
             .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "node")).alias("first"))
-            .select(F.col("first.d").alias("_d"), F.col("first.node").alias("_node")))
-    tagged = docs.withColumns({"_d": F.coalesce("doc_id", last), "_node": F.xxhash64(text_or_empty()),
-                               "_words": text_or_empty().rlike("[^\\x20\\x09-\\x0D]")})
-    words = tagged.where("_words").join(kept, ["_d", "_node"], "left_semi").dropDuplicates(["_d", "_node"])
-    return words.select(*docs.columns).union(tagged.where("not _words").select(*docs.columns))
+            .select(F.col("first.d").alias(d), F.col("first.node").alias(node)))
+    tagged = docs.withColumns({d: F.coalesce("doc_id", last), node: F.xxhash64(text_or_empty()),
+                               has_words: text_or_empty().rlike("[^\\x20\\x09-\\x0D]")})
+    words = tagged.where(F.col(has_words)).join(kept, [d, node], "left_semi").dropDuplicates([d, node])
+    return words.select(*docs.columns).union(tagged.where(~F.col(has_words)).select(*docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,19 @@ RULES = (Rule("symbol_share", 8, 20), Rule("dup_line_share", 8, 500), Rule("repe
          Rule("word_length", 16, 200, below=True))
 
 
+#: Names that features and judge add; "text" is left out too.
+ADDED = {"text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_w", "_t", "_l", "_h", "_3",
+         "_s", "_r", "_lang", "_source", *(f"{p}{r.metric}" for r in RULES for p in ("", "lo_", "hi_"))}
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines and
     n_repeat_words (long).
 
     Three-word windows are compared by 64-bit hashes; the windows of a text are sorted once to find
-    the repeated ones, so long texts cost n log n."""
-    keep = [c for c in docs.columns if c != "text"]
+    the repeated ones, so long texts cost n log n. Columns of ``docs`` that have an added name, or one
+    that ``judge`` adds, are left out."""
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     d = docs.select(*keep, F.expr(f"filter(split(coalesce(text, ''), '[{SEP}]+'), w -> w <> '')").alias("_w"),
                     text_or_empty().alias("_t"))
     d = d.select(
@@ -130,8 +136,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = LE
     """``docs`` (text, lang, source, ...) without text, with the feature columns, base_failed and kept.
 
     One row for each row. Null and empty texts have no words and fail the base rules. Null lang or
-    source are groups of their own. An empty table gives no rows. Give it the key columns needed
-    afterwards and no column with one of the added names.
+    source are groups of their own. An empty table gives no rows. Columns with an added name are left out
+    (``keep_good`` returns all of a row's own columns).
     """
     named = features(docs).withColumn("base_failed", base_failed()).withColumns(metrics())
     rows = materialise(named, "quality")

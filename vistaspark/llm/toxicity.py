@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import materialise, table, text_or_empty
+from ._io import free_names, materialise, table, text_or_empty
 from ._text import slices
 
 TRAIN_ROWS = 12_000  # labelled rows that the stems are induced from (lowest hash of doc_id)
@@ -108,8 +108,8 @@ def induce_stems(sample: DataFrame, most: int = MOST_VOTERS) -> list[Stem]:
     least = max(3, round(0.004 * size[1]))
     counts = (sample.select("doc_id", "text", "toxic").mapInArrow(count, "stem string, repeated boolean, toxic long, clean long")
               .groupBy("stem", "repeated").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-              .where(f"t >= {least} and t >= 2 * c").orderBy(F.expr("t - 4 * c").desc(), F.length("stem"), "stem").limit(4000))
-    chosen = frozenset(Stem(r["stem"], r["repeated"]) for r in counts.collect())
+              .where(f"t >= {least} and t >= 2 * c"))
+    chosen = frozenset(Stem(r["stem"], r["repeated"]) for r in counts.collect())  # of the bounded sample
 
     def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {s: i for i, s in enumerate(sorted(chosen))}
@@ -361,9 +361,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the rows predicted toxic; equal texts have one verdict."""
-    rejected = materialise(score(docs, labels, **parameters).where("predicted = 1")
-                           .select(F.col("rid").alias("_rid")).distinct(), "toxic")
-    return docs.withColumn("_rid", F.xxhash64(text_or_empty())).join(rejected, "_rid", "left_anti").select(*docs.columns)
+    rid, = free_names(docs, "_rid")
+    rejected = materialise(score(docs, labels, **parameters).where("predicted = 1").select(F.col("rid").alias(rid)).distinct(), "toxic")
+    return docs.withColumn(rid, F.xxhash64(text_or_empty())).join(rejected, rid, "left_anti").select(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
