@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..ml import metrics as MM
 from ..ml import models as MD
+from ..ml import neighbours as NB
 from ..ml import study as ST
 from ..ml.gram import standardised
 from ..operators import rules as R
@@ -233,7 +234,7 @@ SELECT qid AS vec_id, CAST(rl AS BIGINT) AS prediccion FROM w WHERE rn = 1
 """)
 def m12(t):
     train, test = _emb_split(t)
-    return MD.knn_classify(train, test, "vec_id", "embedding", "label", k=3)
+    return NB.classify(train, test, "vec_id", "embedding", "label", k=3)
 
 
 @query("m13_simple_fit", sql=f"""
