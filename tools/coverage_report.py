@@ -16,16 +16,7 @@ sys.path.insert(0, ROOT)
 from vistaspark.plans.catalog import REGISTRY  # noqa: E402
 
 # parts of an ID's text in SURVEY section 2 that no query computes
-OPEN = {
-    "A29": "blood pressure judged by its systolic value only (90-140), diastolic 60-90 is not",
-    "B9": "patient and relative outputs",
-    "R10": "segment section; best model among two regression lines, not the fitted models of M1",
-    "S8": "differential and incremental kinds, control row, delta export",
-    "V5": "outpatient, emergency and ward as sections built differently",
-    "V14": "notes",
-    "V19": "edit header",
-    "X2": "pending requests per type",
-}
+OPEN: dict[str, str] = {}
 
 
 def main() -> None:
@@ -37,7 +28,7 @@ def main() -> None:
            "`oracle_sql()` (row count, column names and types, values); `rows` = iterative model fit,",
            "rows-only in the driver, golden values / bounds in `tests/`. Operator aliases: A aggregates,",
            "FL filters, J joins, W windows/sets, R rules, B jobs, S sinks, TB tables (sources), MM/MD ml",
-           "metrics/models, X streaming, TX/D/N/AR text/date/number/array functions, reports = views.\n",
+           "metrics/models, ST saved study, NB neighbours, X streaming, TX/D/N/AR text/date/number/array functions, reports = views.\n",
            "| ID | What | Queries | Check | Operators used | Open |", "|---|---|---|---|---|---|"]
     missing = []
     for oid, what in rows:
@@ -46,7 +37,7 @@ def main() -> None:
             missing.append(oid)
         checks = sorted({"exact" if REGISTRY[k].sql else "rows" for k in keys})
         mods = sorted({f"{alias}.{fn}" for k in keys for alias, fn in re.findall(
-            r"\b(A|FL|J|W|R|B|S|TB|MM|MD|X|TX|D|N|AR|reports)\.([a-z_]+)\(", inspect.getsource(REGISTRY[k].build))})
+            r"\b(A|FL|J|W|R|B|S|TB|MM|MD|ST|NB|X|TX|D|N|AR|reports)\.([a-z_]+)\(", inspect.getsource(REGISTRY[k].build))})
         out.append(f"| {oid} | {what.strip()[:70]} | {', '.join(f'`{k}`' for k in keys) or '-'} | "
                    f"{'/'.join(checks) or '-'} | {', '.join(mods) or '-'} | {OPEN.get(oid, '-')} |")
     out.append(f"\n{len(rows)} IDs, {len(rows) - len(missing)} with queries, of which {len(OPEN)} have open parts; "

@@ -136,14 +136,14 @@ def t7(t):
 
 
 @query("t8_split_clean", sql=f"""
-{with_roles('diagnosticos')}
-SELECT id_diagnostico,
-       CAST(len(list_distinct(list_filter(list_transform(string_split(texto, '.'), lambda x: trim(x)), lambda x: x <> '')))
-            AS INTEGER) AS n_frases
-FROM diagnosticos
+{with_roles('diagnosticos')},
+p AS (SELECT id_diagnostico, list_filter(list_transform(string_split(texto, '.'), lambda x: trim(x)), lambda x: x <> '') AS l FROM diagnosticos),
+u AS (SELECT id_diagnostico, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM p)
+SELECT id_diagnostico, CAST(len(l) AS INTEGER) AS n_frases, md5(array_to_string(l, chr(31))) AS frases_md5 FROM u
 """)
 def t8(t):
-    return t.diagnosticos.select("id_diagnostico", F.size(AR.split_clean("texto", r"\.")).alias("n_frases"))
+    parts = t.diagnosticos.select("id_diagnostico", AR.split_clean("texto", r"\.").alias("l"))
+    return parts.select("id_diagnostico", F.size("l").alias("n_frases"), F.md5(F.array_join("l", "\x1f")).alias("frases_md5"))
 
 
 @query("t9_first_non_blank", sql=f"""

@@ -8,19 +8,21 @@ from ..functions.arrays import split_clean
 from ..operators import windows as W
 from .bind import with_roles
 from .registry import query
-from .sqlkit import r6
+from ..operators._common import rsig as rsig_
+from .sqlkit import r6, rsig
 
 
 @query("w1_sigma_outliers", sql=f"""
 {with_roles('cargos')},
 s AS (SELECT id_catalogo, AVG(subtotal) AS media, STDDEV_SAMP(subtotal) AS desviacion FROM cargos GROUP BY id_catalogo)
-SELECT d.* FROM cargos d JOIN s USING (id_catalogo)
+SELECT d.*, FLOOR(media * 10000 + 0.314159) / 10000 AS media, {rsig(r6('desviacion'), 9)} AS desviacion FROM cargos d JOIN s USING (id_catalogo)
 WHERE s.desviacion IS NOT NULL AND ABS(d.subtotal - s.media) > 1.5 * s.desviacion
 """)
 def w1(t):
-    # the group mean/std columns are left out of the compared output: means of cents over
-    # 32 rows land on exact half-units where engines round differently
-    return W.sigma_outliers(t.cargos, "id_catalogo", "subtotal", k=1.5).drop("media", "desviacion")
+    # means of cents over 32 rows land on exact half-units, which engines round differently: these are cut
+    # to four decimals at a place that no mean hits
+    out = W.sigma_outliers(t.cargos, "id_catalogo", "subtotal", k=1.5)
+    return out.withColumns({"media": F.floor(F.col("media") * 10000 + 0.314159) / 10000, "desviacion": rsig_("desviacion", 9)})
 
 
 @query("w2_cash_cut", sql=f"""
