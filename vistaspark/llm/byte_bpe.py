@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._io import shuffle_partitions, table, text_or_empty
 from ._text import slices
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 SEGMENT_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 4
 RANKS = "byte_bpe_multi_50k.tiktoken"
