@@ -2,6 +2,13 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). ``run`` writes the result
 of every stage to the shared checkpoint folder and reads it again for the next one.
+
+Documents are long rows, and Spark's default Arrow batch of 10,000 of them fills tens of megabytes in the
+JVM and again in each Python worker, which keep them between stages. The stages lower the session's
+batch to BATCH_ROWS rows, where it is larger; results don't depend on it.
+
+Null doc_ids and texts, empty texts, repeated rows and extra columns of any name are handled as the
+stages' operators say: all stages but the last return the columns they were given.
 """
 
 from __future__ import annotations
@@ -16,8 +23,18 @@ from vistaspark.llm.quality import keep_good
 from vistaspark.llm.toxicity import without_toxic
 
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    small_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,6 +45,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    small_batches(spark)
     return one_of_each_group(docs)
 
 
@@ -38,6 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    small_batches(spark)
     return digests(docs)
 
 
