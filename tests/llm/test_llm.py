@@ -289,6 +289,18 @@ def test_decontamination_finds_passages_at_the_limit(spark):
     assert found == expected
 
 
+def test_decontamination_long_items(spark):
+    """Items of thousands of words, one of them the same five words over and over, cost their hits only."""
+    rng = random.Random(11)
+    item = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    round_ = [f"r{n}" for n in range(5)] * 400
+    docs = [(1, " ".join(["x"] * 50 + item[100:] + ["y"] * 50)), (2, " ".join(item[:2900])), (3, " ".join(["z"] * 9 + round_ * 2))]
+    items = [(1, " ".join(item)), (2, " ".join(round_))]
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1): (pytest.approx(3896 / 4096), 0), (3, 2): (1.0, 9)}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "three four five six seven eight nine ten"), (2, None), (3, ""), (4, "few words")],
                                   "item_id long, text string")

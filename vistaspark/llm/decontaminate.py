@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import free_names, materialise, table, text_or_empty
+from ._io import free_names, materialise, shuffle_partitions, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 75
 BROADCAST_ROWS = 500_000  # the items' shingles are broadcast up to this count, else joined by shuffle
@@ -32,18 +32,35 @@ def shingles_sql(h: str, size: int) -> str:
             f"transform(slice({h}, 1, size({h}) - {size - 1}), (x, i) -> xxhash64({size}, x{rest})))")
 
 
-def weighted_set_sql(s: str) -> str:
-    """A sorted multiset as a set: the n-th occurrence of a hash is an element of its own, so the
-    Jaccard similarity of two such sets is the multisets' weighted one."""
-    return f"transform({s}, (x, i) -> xxhash64(x, i - array_position({s}, x)))"
+#: How often each element of the sorted array ``s`` is in it.
+_TIMES = ("transform(array(reverse(s)), r -> transform(s, x -> "
+          "cast(size(s) + 2 - array_position(s, x) - array_position(r, x) as int)))[0]")
 
 
-def _best_window_sql() -> str:
-    """The greatest (shared, -start) over all windows. ``at`` has the positions of the item's shingles in
-    the text in order, ``ends`` the indices of those where a window ends that may share enough."""
-    inside = "filter(slice(at, greatest(1, i + 2 - width), least(width, i + 1)), y -> y.p > at[i].p - width)"
-    return (f"array_max(transform(ends, i -> transform(array(sort_array(transform({inside}, y -> y.hash))), s -> struct("
-            f"size(array_intersect({weighted_set_sql('s')}, elements)) as shared, -greatest(0, at[i].p - width + 1) as back))[0]))")
+def _placed_sql() -> str:
+    """The text's shingles that the item has, in order: (p, hash, m), where m is how often the item has the hash.
+    None when no window can hold enough of them."""
+    placed = ("transform(filter(hits, x -> array_contains(s, x.hash)), "
+              "x -> struct(x.p as p, x.hash as hash, times[cast(array_position(s, x.hash) as int) - 1] as m))")
+    close = "sequence(need - 1, size(a) - 1), i -> a[i - need + 1].p > a[i].p - width"
+    return f"explode(filter(array({placed}), a -> if(size(a) < need, false, exists({close}))))"
+
+
+def _best_window_sql(percent: int) -> str:
+    """The first window of the greatest weighted intersection: (shared, back = -start), if similar enough.
+
+    A shingle at p counts in the windows that end from p on, until it leaves them (p + width) or the item's m
+    occurrences of its hash are all found after it. The running sum of these steps is the intersection of each
+    window, so that a pair costs its hits and not hits times width."""
+    spans = "transform(h, (x, k) -> struct(x.p as p, least(x.p + width, if(get(h, k + x.m).hash = x.hash, get(h, k + x.m).p, null)) as stop))"
+    steps = f"sort_array(flatten(transform({spans}, x -> array(struct(x.p as e, 1 as d), struct(x.stop as e, -1 as d)))))"
+    more = "a.now + v.d > a.shared"
+    best = (f"aggregate({steps}, struct(0 as now, 0 as shared, 0 as e), (a, v) -> struct(a.now + v.d as now, "
+            f"if({more}, a.now + v.d, a.shared) as shared, if({more}, v.e, a.e) as e), "
+            "a -> struct(a.shared as shared, -greatest(0, a.e - width + 1) as back))")
+    by_hash = "sort_array(transform(at, x -> struct(x.hash as hash, x.p as p, x.m as m)))"
+    return (f"explode(filter(transform(array({by_hash}), h -> {best}), "
+            f"b -> 100 * b.shared >= {percent} * (least(n, length) - run + 1 + width - b.shared)))")
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -60,7 +77,7 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent:
     ids = materialise(words.select("copy", "item_id").distinct(), "item-ids")
     short = "".join(f"when run = {n} then {shingles_sql('h', n)} " for n in range(1, size))
     known = materialise(words.drop("item_id").dropDuplicates(["copy"]).withColumn("s", F.expr(f"sort_array(case {short}else {shingles_sql('h', size)} end)"))
-                        .withColumn("elements", F.expr(weighted_set_sql("s"))).withColumn("width", F.size("s"))
+                        .withColumn("times", F.expr(_TIMES)).withColumn("width", F.size("s"))
                         .withColumn("need", F.expr(f"greatest(1, ({percent} * width + 99) div 100)").cast("int")).drop("h"), "items")
     lengths = sorted(r["run"] for r in known.select("run").distinct().collect())  # at most ``size`` values
     if not lengths:
@@ -84,14 +101,13 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent:
                        "hits")
 
     pairs = held.select("rid", F.explode("hits.hash").alias("hash")).join(small(rare), "hash").select("rid", "copy").distinct()
-    near = (pairs.join(held, "rid").join(small(known), "copy")
-            .withColumn("at", F.expr("filter(hits, x -> array_contains(s, x.hash))")).drop("hits", "s")
-            .withColumn("ends", F.expr("if(size(at) < need, cast(array() as array<int>), "
-                                       "filter(sequence(need - 1, size(at) - 1), i -> at[i - need + 1].p > at[i].p - width))"))
-            .where("size(ends) > 0")
-            .withColumn("best", F.expr(_best_window_sql())))
+    # the pairs that are left are dealt out evenly: they are few, but each costs its hits
+    pair = ["rid", "copy", "n", "length", "run", "width"]
+    near = (pairs.join(held, "rid").join(small(known), "copy").select(*pair, F.expr(_placed_sql()).alias("at"))
+            .repartition(shuffle_partitions(spark), "rid", "copy")
+            .select(*pair, F.expr(_best_window_sql(percent)).alias("best")))
     return (near.withColumn("together", F.expr("least(n, length) - run + 1 + width - best.shared"))
-            .where(f"100 * best.shared >= {percent} * together").join(small(ids), "copy")
+            .join(small(ids), "copy")
             .groupBy("rid", "item_id").agg(F.max(F.struct((F.col("best.shared") / F.col("together")).alias("similarity"),
                                                           F.col("best.back").alias("back"), F.col("length"))).alias("best"))
             .select("rid", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), F.col("best.length").alias("n_words")))
