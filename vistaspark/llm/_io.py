@@ -3,8 +3,11 @@ lost executor costs a re-read and not a recomputation."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def releasing(run):
+    """``run`` (batches -> batches) that gives freed memory back to the system when its task ends. Python
+    workers live on between stages, and what they keep counts against their executor."""
+
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole

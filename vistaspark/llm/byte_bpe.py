@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shuffle_partitions, table, text_or_empty
+from ._io import releasing, shuffle_partitions, table, text_or_empty
 from ._text import slices
 
 CHUNK_BYTES = 8 << 20
@@ -208,8 +208,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     # one shuffle deals segments by chunk and word lists by bucket; both readers use it whole, so
     # that Spark plans it once
     cut = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-           .mapInArrow(_cut(pattern, n * BUCKETS_PER_PARTITION), CUT).repartition(n, "key"))
-    merged = cut.mapInArrow(_merge(path), MERGED).repartition(n, "chunk")
+           .mapInArrow(releasing(_cut(pattern, n * BUCKETS_PER_PARTITION)), CUT).repartition(n, "key"))
+    merged = cut.mapInArrow(releasing(_merge(path)), MERGED).repartition(n, "chunk")
     return cut.groupBy("key").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
@@ -232,7 +232,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                                                  names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(releasing(run), f"{schema}, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

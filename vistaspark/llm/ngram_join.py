@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import free_names, materialise, shuffle_partitions, table, text_or_empty
+from ._io import free_names, materialise, releasing, shuffle_partitions, table, text_or_empty
 from ._text import mix, row_sets, slices
 from .components import connected_components
 
@@ -37,6 +37,7 @@ LEAST_SKETCH_BITS = 512  # and at least four bits an element
 SIGNATURE_BYTES = 5  # kept of a signature beside its bucket
 BUCKETS_PER_PARTITION = 4
 FIRST_GROUPS = 6
+HELD_SIGNATURES = 1_000_000  # of a task, before it sends them
 FILTER_BITS = 1 << 27  # most bits of a broadcast Bloom filter
 
 
@@ -169,7 +170,7 @@ def _sign(size: int, percent: int, buckets: int):
                     held_s.append(sig)
                     held_n.append(np.full(len(sig), node, np.int64))
                     count += len(sig)
-                if count >= 4_000_000:
+                if count >= HELD_SIGNATURES:
                     yield flush()
                     held_s, held_n, count = [], [], 0
         if held_s:
@@ -215,15 +216,16 @@ def _bloom(nodes: DataFrame) -> np.ndarray | None:
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            own[_filter_cells(np.asarray(batch.column(0)), bits).ravel()] = True
-        words = np.packbits(own, bitorder="little").view(np.int64)
+            cells = _filter_cells(np.asarray(batch.column(0)), bits).ravel()
+            np.bitwise_or.at(words, cells >> 6, np.uint64(1) << (cells & 63).astype(np.uint64))
+        words = words.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.record_batch({"i": pa.array(at), "word": pa.array(words[at])})
 
     out = np.zeros(bits // 64, np.int64)
-    for r in nodes.mapInArrow(run, "i long, word long").groupBy("i").agg(F.bit_or("word").alias("word")).toLocalIterator():
+    for r in nodes.mapInArrow(releasing(run), "i long, word long").groupBy("i").agg(F.bit_or("word").alias("word")).toLocalIterator():
         out[r["i"]] = r["word"]
     return out
 
@@ -246,7 +248,7 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             if any(keep):
                 yield batch.filter(pa.array(keep))
 
-    return texts.mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInArrow(releasing(run), "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 # --- candidates and links --------------------------------------------------------------------
@@ -347,7 +349,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return (sides.join(_texts_of(texts, named), "node").drop("node").repartition(shuffle_partitions(texts.sparkSession), "v", "salt")
             .sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
             .select("v", "salt", "u", "text")
-            .mapInArrow(_verify(size, percent), "u long, v long"))
+            .mapInArrow(releasing(_verify(size, percent)), "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -365,21 +367,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_or_empty().alias("text"))
     texts = rows.select("node", "text")
     profile = materialise(
-        rows.mapInArrow(_profile(size), "doc_id long, node long, n long, sketch binary"), "profile")
+        rows.mapInArrow(releasing(_profile(size)), "doc_id long, node long, n long, sketch binary"), "profile")
     nodes = materialise(profile.where("n > 0").groupBy("node").agg(
         F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least")), "nodes")
     sketches = nodes.select("node", "n", "sketch")
 
     buckets = shuffle_partitions(spark) * BUCKETS_PER_PARTITION
     groups = materialise(
-        texts.mapInArrow(_sign(size, percent, buckets), "bucket int, sigs binary, nodes binary")
+        texts.mapInArrow(releasing(_sign(size, percent, buckets)), "bucket int, sigs binary, nodes binary")
         .groupBy("bucket").applyInArrow(_groups_of_bucket, "gid long, pivot long, node long")
         .dropDuplicates(["gid", "node"]), "groups")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         a = sketches.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = sketches.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        return pairs.join(a, "u").join(b, "v").mapInArrow(_bounded(percent), "u long, v long")
+        return pairs.join(a, "u").join(b, "v").mapInArrow(releasing(_bounded(percent)), "u long, v long")
 
     stars = groups.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     linked = materialise(_links(bounded(stars), texts, size, percent), "links")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import free_names, materialise, table, text_or_empty
+from ._io import free_names, materialise, releasing, table, text_or_empty
 from ._text import slices
 
 TRAIN_ROWS = 12_000  # labelled rows that the stems are induced from (lowest hash of doc_id)
@@ -35,6 +35,7 @@ WORD_BITS = 63  # votes in one long of a pattern
 COVER = 4  # stems wanted for each toxic document of the sample
 STEM_LENGTHS = range(3, 9)
 WORDS_PER_HIT = 250  # a repeated stem counts when at least one word in so many has it
+HELD_STEMS, KNOWN_WORDS = 100_000, 100_000  # kept by a task: stems before it sends its counts, words looked up
 ROUNDS = 12
 SAME = 0.6  # voters that correlate more than this within a class share their weight
 THRESHOLD = 0.7
@@ -47,7 +48,7 @@ COUNTS = (1, 2, 3, 5, 8)  # different hit words: extra features of the classifie
 DENSITIES = (400, 200, 100, 50)  # one hit word in so many words
 
 
-@dataclass(frozen=True, order=True)
+@dataclass(frozen=True, order=True, slots=True)
 class Stem:
     text: str
     repeated: bool  # needs two different words, often enough
@@ -93,20 +94,28 @@ def induce_stems(sample: DataFrame, most: int = MOST_VOTERS) -> list[Stem]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            every = sorted(toxic.keys() | clean.keys())
+            return pa.record_batch({"stem": pa.array([s.text for s in every], pa.string()),
+                                    "repeated": pa.array([s.repeated for s in every], pa.bool_()),
+                                    "toxic": pa.array([toxic[s] for s in every], pa.int64()),
+                                    "clean": pa.array([clean[s] for s in every], pa.int64())})
+
         for batch in batches:
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 (toxic if label else clean).update(stems_of(text))
-        every = sorted(toxic.keys() | clean.keys())
-        yield pa.record_batch({"stem": pa.array([s.text for s in every], pa.string()),
-                               "repeated": pa.array([s.repeated for s in every], pa.bool_()),
-                               "toxic": pa.array([toxic[s] for s in every], pa.int64()),
-                               "clean": pa.array([clean[s] for s in every], pa.int64())})
+                if len(toxic) + len(clean) > HELD_STEMS:  # sums of parts are added up after the shuffle
+                    yield counted()
+                    toxic.clear()
+                    clean.clear()
+        yield counted()
 
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return []
     least = max(3, round(0.004 * size[1]))
-    counts = (sample.select("doc_id", "text", "toxic").mapInArrow(count, "stem string, repeated boolean, toxic long, clean long")
+    counts = (sample.select("doc_id", "text", "toxic").mapInArrow(releasing(count), "stem string, repeated boolean, toxic long, clean long")
               .groupBy("stem", "repeated").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
               .where(f"t >= {least} and t >= 2 * c"))
     chosen = frozenset(Stem(r["stem"], r["repeated"]) for r in counts.collect())  # of the bounded sample
@@ -119,7 +128,7 @@ def induce_stems(sample: DataFrame, most: int = MOST_VOTERS) -> list[Stem]:
 
     stems = sorted(chosen)
     documents: list[list[set[int]]] = [[set() for _ in stems], [set() for _ in stems]]
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(fired, "toxic int, hits array<int>").where("size(hits) > 0")
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(releasing(fired), "toxic int, hits array<int>").where("size(hits) > 0")
     for n, r in enumerate(rows.collect()):  # of the bounded sample
         for i in r["hits"]:
             documents[r["toxic"]][i].add(n)
@@ -156,7 +165,7 @@ class Voters:
             def __missing__(self, token):
                 found = tuple((by_text[w[:n]], w) for w in _letters.findall(token) for n in sizes
                               if len(w) >= n and w[:n] in by_text) or None
-                if len(self) < 500_000:
+                if len(self) < KNOWN_WORDS:
                     self[token] = found
                 return found
 
@@ -196,24 +205,17 @@ class Voters:
         return [bits >> at & (1 << WORD_BITS) - 1 for at in range(0, self.bits, WORD_BITS)]
 
 
-_workers: dict[tuple, Voters] = {}
-
-
 def vote(docs: DataFrame, stems: list[Stem]) -> DataFrame:
     """``docs`` (doc_id, rid, text) -> (doc_id, rid, pattern array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(stems)
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Voters(stems)
-        voters = _workers[key]
+        voters = Voters(stems)
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.record_batch({"doc_id": part.column(0), "rid": part.column(1), "pattern": pa.array(
                     list(map(voters.pattern, part.column(2).to_pylist())), pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, rid long, pattern array<long>")
+    return docs.mapInArrow(releasing(run), "doc_id long, rid long, pattern array<long>")
 
 
 # --- label model and classifier ---------------------------------------------------------------
@@ -238,7 +240,7 @@ def add_up(patterns: DataFrame, per_batch) -> np.ndarray:
         if total is not None:
             yield pa.record_batch({"i": pa.array(np.arange(len(total)), pa.int32()), "v": pa.array(total)})
 
-    rows = patterns.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    rows = patterns.mapInArrow(releasing(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     return np.array([r["v"] for r in rows])
 
 
