@@ -18,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18  # the tables of powers, which a worker keeps, have 16 bytes for each of its bytes
 _powers: dict[str, np.ndarray] = {}
 
 

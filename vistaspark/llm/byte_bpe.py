@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +43,13 @@ def split_pattern() -> str:
         r"\s", r"\p{White_Space}")
 
 
-@lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
 
 
-@lru_cache(4)
 def _merger(path: str):
-    """bytes of one pre-token -> its ids."""
+    """bytes of one pre-token -> its ids. Built for each task: workers don't keep its tables between stages."""
     import tiktoken
 
     whole = tiktoken.Encoding(path, pat_str=r"(?s).+", mergeable_ranks=load_ranks(path), special_tokens={})

@@ -37,6 +37,7 @@ LEAST_SKETCH_BITS = 512  # and at least four bits an element
 SIGNATURE_BYTES = 5  # kept of a signature beside its bucket
 BUCKETS_PER_PARTITION = 4
 FIRST_GROUPS = 6
+PIECE_BYTES = 1 << 20  # of text hashed at once
 HELD_SIGNATURES = 1_000_000  # of a task, before it sends them
 FILTER_BITS = 1 << 27  # most bits of a broadcast Bloom filter
 
@@ -125,7 +126,7 @@ def _profile(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 sets = row_sets(part, "text", size)
                 yield pa.record_batch({
                     "doc_id": part.column(0), "node": part.column(1),
@@ -160,7 +161,7 @@ def _sign(size: int, percent: int, buckets: int):
                 "nodes": pa.array([node[bounds[b]: bounds[b + 1]].tobytes() for b in used], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 nodes = part.column(0).to_pylist()
                 for node, elements in zip(nodes, row_sets(part, "text", size), strict=True):
                     if not len(elements) or node in seen:
@@ -318,7 +319,7 @@ def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 u, v = [], []
                 names = part.schema.names
                 keys = list(zip(*(part.column(names.index(x)).to_pylist() for x in ("v", "salt")), strict=True))
