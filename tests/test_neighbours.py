@@ -1,6 +1,7 @@
 """Nearest neighbours by cells equal brute force, and cells do prune."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vistaspark.ml import neighbours as NB
@@ -59,3 +60,46 @@ def test_cells_prune():
     q, c, ring = cells.blocks_for(t, np.array([2.0, 2.0]), cells.cell_of(t), False)
     assert 0 not in q.tolist() and set(c[q == 1].tolist()) == {1}  # the second lies on the plane between two pivots
     assert ring[q == 1].tolist() == [1]
+
+
+def test_a_query_is_sent_once_to_each_block_and_in_bounded_frames(monkeypatch):
+    """Where nothing can be pruned, a frame of routed queries grows neither with the cells nor with their rings."""
+    points = DRAW.normal(0, 1, (200, 16))
+    cells = NB.Cells(points, 1e-6)
+    cells.filled[:] = True
+    cells.number()
+    cells.pack(np.full(200, 10), 500)
+    assert cells.blocks == 4
+    queries = pd.DataFrame({"qid": range(3000), "qv": list(DRAW.normal(0, 1, (3000, 16))), "reach": np.inf})
+    monkeypatch.setattr(NB, "ROUTED_ROWS", 700)
+    own, others = (list(NB.routed(queries, cells, 16, x)) for x in (True, False))
+    assert max(map(len, own + others)) <= 700
+    pairs = pd.concat(own + others)[["qid", "block"]]
+    assert len(pairs) == 3000 * 4 == len(pairs.drop_duplicates())
+
+
+def test_copies_are_dealt_over_blocks(spark, monkeypatch):
+    """A ring of copies, which no distance can part, is many blocks; the smallest keys of equal ones win."""
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 50)
+    df = lambda rows: spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    train = [(i, [1.0, 2.0]) for i in range(900)] + [(1000 + i, [float(i), 0.0]) for i in range(30)]
+    cells, placed, _ = NB._cells(df(train).toDF("rid", "rv"), 12)
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert sum(sizes) == 930 and len(sizes) <= cells.blocks and max(sizes) < 150
+    got = NB.nearest_neighbours(df(train), df([(1, [1.0, 2.1]), (2, [20.0, 0.0])]), "id", "v", 3, pivots=12, block_rows=25).collect()
+    assert {q: sorted(r.rid for r in got if r.qid == q) for q in (1, 2)} == {1: [0, 1, 2], 2: [1019, 1020, 1021]}
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-4, 1e3), (1e6, 0.0)])
+def test_measured_pairs_equal_all_pairs(scale, shift):
+    a, b = (np.round(DRAW.normal(0, 1, (n, 6)), 1) * scale + shift for n in (60, 300))
+    b[100:140] = b[:40]
+    a[:20] = b[:20]
+    rid = DRAW.permutation(300)
+    exact = np.einsum("ijk,ijk->ij", a[:, None] - b, a[:, None] - b)
+    order = np.lexsort((np.broadcast_to(rid, exact.shape), exact), axis=1)[:, :5]
+    reach = np.sqrt(np.take_along_axis(exact, order, 1)[:, -1])
+    for r in (np.full(60, np.inf), reach):
+        got = pd.concat(NB.nearest_of(np.arange(60), a, r, rid, b, 5))
+        assert got.rid.tolist() == rid[order].ravel().tolist()
+        assert np.array_equal(got.d2, np.take_along_axis(exact, order, 1).ravel())
